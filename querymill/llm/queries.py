@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querymill.llm import exactdup, neardup, overlap
+from querymill.llm import defects, exactdup, neardup, overlap, splits
 from querymill.session import table
 
 
@@ -16,6 +16,19 @@ def _held_out(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d, "dev").unionByName(_records(spark, d, "test"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.flag(_records(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.misnamed(_records(spark, d), table(spark, d, "db_catalog"))
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    shares = {r["split_name"]: r["share"] for r in table(spark, d, "split_targets").collect()}
+    return splits.split(_records(spark, d), table(spark, d, "db_catalog"), shares)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlaps(_records(spark, d), _held_out(spark, d))
 
@@ -36,4 +49,4 @@ def p7_copies(spark: SparkSession, d: str) -> DataFrame:
     return exactdup.collapse(_records(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_report, p6_found, p7_found, p7_copies)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p5_found, p5_report, p6_found, p7_found, p7_copies)}
