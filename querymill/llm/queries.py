@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querymill.llm import defects, exactdup, neardup, overlap, splits
+from querymill.llm import defects, exactdup, neardup, overlap, splits, tokens
 from querymill.session import table
 
 
@@ -49,4 +49,8 @@ def p7_copies(spark: SparkSession, d: str) -> DataFrame:
     return exactdup.collapse(_records(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p5_found, p5_report, p6_found, p7_found, p7_copies)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p5_found, p5_report, p6_found, p7_found, p7_copies, p8_ids)}
