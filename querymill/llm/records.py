@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Characters that survive canonicalisation; every other one is formatting.
 KEPT = "a-z0-9<>=*+/%"
+KEPT_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789<>=*+/%"
 
 
 def canonical(value: Column) -> Column:
@@ -17,9 +18,3 @@ def canonical(value: Column) -> Column:
 def fingerprint(value: Column) -> Column:
     """A 128-bit integer (two longs) that stands for a string on every executor, with no numbering pass."""
     return F.struct(F.xxhash64(value).alias("hi"), F.xxhash64(F.lit(1), value).alias("lo"))
-
-
-def words(*values: Column) -> Column:
-    """Distinct runs of a-z and 0-9 of the values together, in lower case; null as empty."""
-    text = F.concat_ws(" ", *[F.coalesce(v, F.lit("")) for v in values])
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
