@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querymill.llm import defects, exactdup, neardup, overlap, splits, tokens
+from querymill.llm import consensus, defects, exactdup, langid, mixing, neardup, overlap, splits, tokens
 from querymill.session import table
 
 
@@ -29,6 +29,18 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split(_records(spark, d), table(spark, d, "db_catalog"), shares)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.disputed(table(spark, d, "voters"), table(spark, d, "calibration_verdicts"))
+
+
+def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "voters"), table(spark, d, "calibration_verdicts"))
+
+
+def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(table(spark, d, "voters"), table(spark, d, "calibration_verdicts"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlaps(_records(spark, d), _held_out(spark, d))
 
@@ -53,4 +65,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p5_found, p5_report, p6_found, p7_found, p7_copies, p8_ids)}
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.segments(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_consensus, p4_reliability, p5_found, p5_report, p6_found, p7_found, p7_copies, p8_ids, p9_mix, p9_report, p10_found, p10_segments)}
