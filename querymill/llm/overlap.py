@@ -8,19 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querymill.llm.neardup import similar_pairs
-from querymill.llm.records import canonical, fingerprint
-
-
-def hashed(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
-    """(id, key): the 128-bit hashes of the record's canonicalised fields, in sorted order."""
-    key = F.array_sort(F.array(*[fingerprint(canonical(F.col(c))) for c in columns]))
-    return df.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), key.alias("key")).distinct()
+from querymill.llm.records import record_hashes
 
 
 def same_pairs(train: DataFrame, held_out: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("question", "query")) -> DataFrame:
     """(train_id, eval_id) of records whose fields agree, in either order, once canonicalised."""
-    a, b = hashed(train, id_column, list(columns)), hashed(held_out, id_column, list(columns))
-    return a.withColumnRenamed("id", "train_id").join(b.withColumnRenamed("id", "eval_id"), "key").select("train_id", "eval_id")
+    a, b = (record_hashes(df, id_column, list(columns)).distinct() for df in (train, held_out))
+    return a.withColumnRenamed("id", "train_id").join(b.withColumnRenamed("id", "eval_id"), ["hi", "lo"]).select("train_id", "eval_id")
 
 
 def overlaps(train: DataFrame, held_out: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("question", "query"), threshold: float = 0.75) -> DataFrame:
