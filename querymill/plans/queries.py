@@ -1,29 +1,14 @@
-"""Queries of the core: name → (spark, sf_dir) → DataFrame, and their DuckDB twins."""
+"""All queries of the core. Importing this module registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from querymill.operators import drift
+from querymill.plans import corpus_queries, table_queries  # noqa: F401
+from querymill.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from querymill.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query and, where SQL can express it, its twin."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
 
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
