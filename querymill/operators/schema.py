@@ -44,7 +44,9 @@ def fk_classes(fks: DataFrame, columns: DataFrame, dialect: str = "sqlite") -> D
     Parents are looked up once: a foreign key meets the map of its parent's columns by one join.
     """
     info = F.struct(type_family(F.col("type"), dialect).alias("family"), (F.trim(F.coalesce("type", F.lit(""))) == "").alias("untyped"), F.coalesce("pk", F.lit(False)).alias("pk"), F.coalesce("uniq", F.lit(False)).alias("uniq"))
-    per = columns.groupBy("db_id", "table").agg(F.map_from_entries(F.collect_list(F.struct("name", info))).alias("cols"))
+    # of columns of one name, the first is the one a key means
+    named = columns.groupBy("db_id", "table", "name").agg(F.min_by(F.struct("type", "pk", "uniq"), "pos").alias("x")).select("db_id", "table", "name", "x.*")
+    per = named.groupBy("db_id", "table").agg(F.map_from_entries(F.collect_list(F.struct("name", info))).alias("cols"))
     parents = per.select("db_id", F.col("table").alias("parent_table"), F.col("cols").alias("parent"))
     own = per.select("db_id", "table", F.col("cols").alias("own"))
     j = fks.join(parents, ["db_id", "parent_table"], "left").join(own, ["db_id", "table"], "left")

@@ -301,3 +301,20 @@ def corpus_coverage(spark: SparkSession, d: str) -> DataFrame:
 
     m = audit(table(spark, d, "calibration_train", "id", "db_id", F.col("query").alias("sql")))
     return reports.coverage_by_db(m, table(spark, d, "cat_columns", "db_id", F.col("table_name").alias("table")))
+
+
+# streams, here over tables at rest ------------------------------------------------------------------
+@query("windowed_events", "SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def windowed_events(spark: SparkSession, d: str) -> DataFrame:
+    from querymill.streaming import ingest
+
+    out = ingest.windowed_counts(table(spark, d, "events", "ts", "event_type", "value"))
+    return out.withColumn("value", F.round("value", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("event_sessions", "WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS \"end\", count(*) AS events FROM s GROUP BY user_id, n")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    from querymill.streaming import ingest
+
+    out = ingest.session_counts(table(spark, d, "events", "ts", "user_id"))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))

@@ -1,0 +1,291 @@
+import gzip
+import json
+import sqlite3
+
+import pytest
+from pyspark.sql import functions as F
+
+from querymill import sinks
+from querymill.operators import audit, calibration, drift, execution, judge, normalize, schema
+from querymill.sources import config, files
+
+
+def test_audit_keeps_columns_and_handles_nulls(spark):
+    df = spark.createDataFrame([(1, "SELECT 1", "x"), (2, None, "y"), (3, "SELECT " + ", ".join(f"c{i}" for i in range(3000)) + " FROM t", "z")], "id int, sql string, tables string")
+    out = {r["id"]: r for r in audit.audit(df).collect()}
+    assert out[1]["parseable"] and not out[2]["parseable"] and out[3]["column_count"] == 3000
+    assert out[2]["err"] == "Empty or null SQL" and out[2]["quality_score"] == 0 and out[1]["tables"] == []
+    assert audit.audit(df.limit(0)).count() == 0
+
+
+def test_native_scores_equal_python(spark):
+    from querymill.plans.corpus import TEMPLATES
+
+    df = spark.createDataFrame([(t,) for t in TEMPLATES], "sql string")
+    for r in audit.audit(df).collect():
+        f, a = audit.collect_features(r["sql"]), audit.detect_antipatterns(r["sql"])
+        assert (r["difficulty_level"], r["complexity_score"], r["quality_score"], r["quality_level"]) == (f["difficulty_level"], f["complexity_score"], a["quality_score"], a["quality_level"])
+
+
+def test_sql_functions(spark):
+    audit.register(spark)
+    row = spark.sql("select sql_features('SELECT * FROM t').difficulty_level d, sql_antipatterns('SELECT * FROM t')[0].pattern p").first()
+    assert tuple(row) == ("easy", "select_star")
+
+
+# drift ----------------------------------------------------------------------------------------------
+LINES = "feed string, file_no int, file_name string, line_no int, line string, extra string"
+
+
+def _lines(*files_):
+    return [("f", n, f"f/{n}", i, line if isinstance(line, str) or line is None else json.dumps(line), "e") for n, lines in enumerate(files_, 1) for i, line in enumerate(lines, 1)]
+
+
+A = {"id": 1, "question": "Show the names of all singers please", "sql": "SELECT name FROM singer", "db_id": "concert_1"}
+
+
+def test_drift_changes(spark, rows):
+    b = {"uid": "it-1", "question": "Show the names of all singers now", "query": {"text": "SELECT a FROM b"}, "weight": 0.5}
+    df = spark.createDataFrame(_lines([A, A, "not json", "[1]", None, ""], [b, {**b, "weight": None}], [b | {"Weight": 0.25, "weight": None}]), LINES)
+    assert rows(drift.changes(df)) == sorted(
+        [("f/2", "added", "weight"), ("f/2", "removed", "db_id"), ("f/2", "renamed", "query"), ("f/2", "renamed", "uid"), ("f/2", "retyped", "query"), ("f/2", "retyped", "uid"), ("f/3", "renamed", "Weight")], key=repr
+    )
+
+
+def test_drift_edge_cases(spark):
+    empty = spark.createDataFrame([], LINES)
+    assert drift.changes(empty).count() == 0 and drift.consistent(empty).count() == 0
+    only = spark.createDataFrame(_lines([A]), LINES)
+    assert drift.changes(only).count() == 0
+    gap = spark.createDataFrame(_lines([A], ["{"], [A]), LINES)
+    assert sorted(r["change"] for r in drift.changes(gap).collect()) == ["added"] * 4 + ["removed"] * 4
+
+
+def test_drift_consistent_table(spark):
+    df = spark.createDataFrame(_lines([A], [{"uid": "x9", "sql_prompt": ["List all", "the shops here now"], "SQL": ["SELECT a", "FROM b"], "database": {"name": "d_1", "engine": "sqlite"}, "tags": "a,b", "checked": "true", "weight": "0.5", "ts": 1746954844, "gold_rows": "12", "level": 2}] * 2), LINES)
+    out = [r for r in drift.consistent(df).collect() if r["file_no"] == 2]
+    assert len(out) == 2
+    r = out[0]
+    assert (r["id"], r["question"], r["sql"], r["dbId"], r["tags"], r["checked"], r["weight"], r["gold_rows"], r["difficulty"]) == ("x9", "List all the shops here now", "SELECT a FROM b", "d_1", ["a", "b"], True, 0.5, 12, "medium")
+    assert str(r["created"]) == "2025-05-11 09:14:04"
+
+
+def test_drift_matches_a_brute_force(spark, rows):
+    from tests.conftest import DATA
+
+    df = spark.read.parquet(f"{DATA}/dataitem_lines.parquet")
+    roles = {n: role for role, (names, _, _) in drift.ROLES.items() for n in names.split()} | {"Question": "question"}
+    state, names = {}, {}
+    for r in df.orderBy("feed", "file_no", "line_no").collect():
+        key = (r["feed"], r["file_no"])
+        names[key] = r["file_name"]
+        for k, v in (drift.parse(r["line"]) or {}).items():
+            if v is not None:
+                state.setdefault(key, {})[roles[k]] = (k, drift.json_type(v))
+    want = set()
+    for (feed, n), name in names.items():
+        if (feed, n - 1) in names:
+            a, b = state[feed, n - 1], state[feed, n]
+            want |= {(name, "added", b[r][0]) for r in b.keys() - a.keys()} | {(name, "removed", a[r][0]) for r in a.keys() - b.keys()}
+            want |= {(name, "renamed", b[r][0]) for r in a.keys() & b.keys() if a[r][0] != b[r][0]} | {(name, "retyped", b[r][0]) for r in a.keys() & b.keys() if a[r][1] != b[r][1]}
+    assert set(rows(drift.changes(df))) == want
+
+
+# schema ---------------------------------------------------------------------------------------------
+def test_schema_classes_and_status(spark):
+    columns = spark.createDataFrame([("d", "p", 0, "id", "INTEGER", False, True, True), ("d", "p", 1, "t", "TEXT", True, False, False), ("d", "c", 0, "pid", "INT", True, False, False), ("d", "c", 1, "x", "TEXT", True, False, False), ("d", "c", 2, "x", "TEXT", True, False, False)], "db_id string, table string, pos int, name string, type string, nullable boolean, pk boolean, uniq boolean")
+    fk = lambda i, local, parent, theirs: ("d", "c", i, local, parent, theirs)
+    fks = spark.createDataFrame([fk(0, ["pid"], "p", ["id"]), fk(1, ["pid"], "q", ["id"]), fk(2, ["pid"], "p", ["zz"]), fk(3, ["pid"], "p", [None]), fk(4, ["pid", "x"], "p", ["id"]), fk(5, ["x"], "p", ["t"]), fk(6, ["x"], "p", ["id"])], "db_id string, table string, fk_id int, local array<string>, parent_table string, parent_columns array<string>")
+    kinds = {r["fk_id"]: r["fk_class"] for r in schema.fk_classes(fks, columns).collect()}
+    assert kinds == {0: "valid", 1: "fk_missing_table", 2: "fk_missing_column", 3: "fk_missing_column", 4: "fk_arity_mismatch", 5: "fk_target_not_key", 6: "fk_type_mismatch"}
+    dbs = spark.createDataFrame([("d", True), ("gone", False), ("bare", True)], "db_id string, healthy boolean")
+    tables = spark.createDataFrame([("d", "p", False), ("d", "c", True)], "db_id string, table string, is_empty boolean")
+    out = {r["db_id"]: r for r in schema.validate(dbs, tables, columns, fks).collect()}
+    assert (out["d"]["status"], out["d"]["fk_invalid"], out["d"]["duplicate_columns_count"], out["d"]["empty_tables"], out["d"]["blocking_errors_total"]) == ("errors", 6, 1, ["c"], 7)
+    assert (out["gone"]["status"], out["bare"]["status"], out["bare"]["tables"]) == ("failed", "ok", 0)
+    text = {r["table"]: r["ddl"] for r in schema.ddl(columns, fks.where("fk_id = 0"), spark.createDataFrame([("d", "p", "t", ["it's", "b"])], "db_id string, table string, name string, examples array<string>")).collect()}
+    assert text["p"] == 'CREATE TABLE "p" (\n  "id" INTEGER NOT NULL,\n  "t" TEXT /* ex: [\'it\\\'s\', \'b\'] */,\n  PRIMARY KEY ("id")\n);'
+    assert 'FOREIGN KEY ("pid") REFERENCES "p" ("id")' in text["c"]
+
+
+def test_orphans_ignore_nulls(spark):
+    child, parent = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(1,)], "id int")
+    assert [r["k"] for r in schema.orphans(child, parent, ["k"], ["id"]).collect()] == [2]
+
+
+# judge ----------------------------------------------------------------------------------------------
+def test_votes(spark):
+    V = "item_id string, model string, verdict string, weight double, error string"
+    votes = spark.createDataFrame([("a", "m", "correct", 1.0, None), ("a", "n", "PARTIALLY-CORRECT", 3.0, None), ("b", "m", "FAILED", 1.0, "x"), ("c", "m", " INCORRECT ", None, None), ("c", "n", "incorrect", None, None), ("c", "o", None, None, None), (None, "m", "CORRECT", 1.0, None)], V)
+    out = {r["item_id"]: r for r in judge.aggregate(votes).collect()}
+    assert set(out) == {"a", "b", "c"}
+    assert (out["a"]["weighted_score"], out["a"]["consensus_verdict"], out["a"]["status"], out["a"]["err"]) == (0.625, None, "warns", "Mixed: 1 CORRECT, 1 PARTIALLY_CORRECT")
+    assert (out["b"]["status"], out["b"]["weighted_score"]) == ("failed", 0.0)
+    assert (out["c"]["consensus_verdict"], out["c"]["is_unanimous"], out["c"]["status"], out["c"]["err"], out["c"]["voters_failed"]) == ("INCORRECT", True, "errors", "Unanimous INCORRECT (2/2)", 1)
+    assert judge.aggregate(votes.limit(0)).count() == 0
+
+
+def test_replies_and_asking(spark):
+    texts = ['```json\n{"verdict": "correct", "explanation": "e"}\n```', '{"verdict": "MAYBE"}', "no", None, '{"explanation": "x"}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0]["verdict"] for r in df.select(judge.reply(F.col("t"))).collect()] == ["CORRECT", "INCORRECT", "FAILED", "FAILED", "INCORRECT"]
+    items = spark.createDataFrame([("1", "q", "s", "d")], "id string, question string, sql string, ddl string")
+    voters = spark.createDataFrame([("m", "p", None), ("bad", "p", 2.0)], "model string, provider string, weight double")
+
+    def call(provider, model, text):
+        if model == "bad":
+            raise RuntimeError("down")
+        return json.dumps({"verdict": "CORRECT", "explanation": text})
+
+    out = {r["model"]: r for r in judge.ask(items, voters, call, "{{dialect}} {{ddl_schema}} {{natural_question}} {{sql_to_revise}}").collect()}
+    assert (out["m"]["verdict"], out["m"]["explanation"], out["bad"]["verdict"], out["bad"]["error"]) == ("CORRECT", "sqlite d q s", "FAILED", "down")
+
+
+# calibration ----------------------------------------------------------------------------------------
+def test_calibration_texts(spark):
+    row = spark.createDataFrame([("Final note: PARTIALLY_CORRECT, HUMAN (CORRECT)", "2 CORRECT, 1 INCORRECT", "Mixed (x)")], "a string, b string, c string").select(calibration.human_verdict(F.col("a")), calibration.majority_of(F.col("b")), calibration.normal(F.col("c")), calibration.majority_of(F.lit("1 CORRECT, 1 INCORRECT")), calibration.human_verdict(F.lit("HUMAN: INCORRECT")), calibration.majority_of(F.lit("3 PARTIALLY_CORRECT"))).first()
+    assert tuple(row) == ("PARTIALLY_CORRECT", "CORRECT", "Mixed", None, "INCORRECT", "PARTIALLY_CORRECT")
+
+
+def test_kappa_extremes(spark):
+    same = spark.createDataFrame([("CORRECT", "CORRECT")] * 3, "original string, human string")
+    assert calibration.kappa(same).first()["kappa"] == 1.0
+    assert calibration.kappa(same.limit(0)).first()["kappa"] == 0.0
+
+
+# normalisers ----------------------------------------------------------------------------------------
+def test_normalisers(spark, rows):
+    raw = spark.createDataFrame([("q", "s", "d", None, 7), (None, None, None, "x", 8)], "q string, query string, db string, id string, other int")
+    items = normalize.alias_mapper(raw, {"question": "q", "sql": "query", "dbId": "db"})
+    assert rows(items, "id", "question", "sql", "metadata") == [("x", "", "", '{"other":8}'), (None, "q", "s", '{"other":7}')]
+    ids = {r["question"]: r["id"] for r in normalize.hash_ids(items, 8).collect()}
+    import hashlib
+
+    assert ids == {"q": hashlib.sha256(b"d\0q\0s").hexdigest()[:8], "": "x"}
+    many = spark.range(40).select(F.when(F.col("id") % 3 == 0, "k").alias("id"), F.col("id").alias("n"))
+    assert [r["id"] for r in normalize.incremental_ids(many, ["n"], 5).where("id <> 'k'").orderBy("n").collect()] == [str(i) for i in range(5, 31)]
+    with pytest.raises(ValueError):
+        normalize.hash_ids(items, 3)
+
+
+def test_database_identity(spark):
+    items = spark.createDataFrame([("1", "good", None), ("2", "bad", "CREATE TABLE a (b INT)"), ("3", "bad", None), ("4", None, "CREATE TABLE a (b INT)"), ("5", " ", ""), ("6", None, "CREATE nonsense")], "id string, dbId string, schema string").withColumn("steps", F.array().cast(f"array<{normalize.STEP}>"))
+    out = {r["id"]: r for r in normalize.database_identity(items, spark.createDataFrame([("good", "ok"), ("bad", "error")], "db_id string, health string")).collect()}
+    assert [out[i]["steps"][-1]["status"] for i in "123456"] == ["ok", "ok", "failed", "ok", "failed", "failed"]
+    assert out["4"]["dbId"].startswith("t2sql_") and out["2"]["dbId"] == "bad"
+
+
+# execution ------------------------------------------------------------------------------------------
+def test_execution_gate_and_limit():
+    assert execution.gate("drop table t") == "Blocked destructive statement: DROP"
+    assert execution.gate("DELETE FROM t") == "Only SELECT statements are allowed" and execution.gate("DELETE FROM t", "all") is None
+    assert execution.gate(" ") == "Empty SQL" and execution.gate("SELECT a FROM t UNION SELECT b FROM u") is None
+    assert execution.gate("SELECT a FROM t UNION SELECT b FROM u", strict_compat=True)
+    assert execution.limited("SELECT a FROM t; -- x") == "SELECT a FROM t\nLIMIT 1" and execution.limited("SELECT a FROM t LIMIT 3") == "SELECT a FROM t LIMIT 3"
+    c = sqlite3.connect(":memory:", isolation_level=None)
+    c.execute("create table t (a)")
+    assert execution.attempt(c, "INSERT INTO t VALUES (1)", "all")[0] and c.execute("select count(*) from t").fetchone() == (0,)
+    slow = "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r) SELECT MAX(n) FROM r"
+    assert execution.attempt(c, slow, timeout=0.2)[1] == "Query timed out after 0.2s"
+    assert "no such table" in execution.attempt(c, "SELECT a FROM zz")[1]
+
+
+def test_execution_probe_and_sqlite_catalog(spark, tmp_path):
+    for db in ("toy",):
+        (tmp_path / db).mkdir()
+        with sqlite3.connect(tmp_path / db / f"{db}.sqlite") as c:
+            c.executescript("create table users (id integer primary key, email text unique); create table orders (id integer primary key, user_id int references users); insert into users values (1, 'a');")
+    items = spark.createDataFrame([(1, "toy", "SELECT * FROM users"), (2, "toy", "SELECT x FROM users"), (3, "none", "SELECT 1"), (4, None, "SELECT 1"), (5, "toy", None)], "id int, db_id string, sql string")
+    out = {r["id"]: r for r in execution.probe(items, root=str(tmp_path)).collect()}
+    assert [out[i]["ok"] for i in range(1, 6)] == [True, False, False, False, False]
+    assert execution.error_patterns(execution.probe(items, root=str(tmp_path))).first()["kind"] == "no such column"
+    tables, columns, fks = files.sqlite_catalog(spark, str(tmp_path), items.select("db_id").where("db_id is not null"))
+    assert {(r["table"], r["is_empty"]) for r in tables.collect()} == {("users", False), ("orders", True)}
+    assert {r["name"] for r in columns.where("uniq").collect()} == {"email"}
+    assert fks.first()["parent_columns"] == ["id"]
+    with pytest.raises(ValueError):
+        execution.probe(items, root="x", mode="odd")
+
+
+# sources and sinks ----------------------------------------------------------------------------------
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"q": 1}\n\n{"q": 2}\n')
+    with gzip.open(tmp_path / "b.jsonl.gz", "wt") as f:
+        f.write('{"q": 3}\n')
+    assert files.read_jsonl(spark, f"{tmp_path}/a.jsonl", "q int").count() == 2 and files.read_jsonl(spark, f"{tmp_path}/b.jsonl.gz").first()["q"] == 3
+    (tmp_path / "bad.jsonl").write_text('{"q": 1}\n{"q"\n')
+    with pytest.raises(Exception):
+        files.read_jsonl(spark, f"{tmp_path}/bad.jsonl", "q int").collect()
+    (tmp_path / "c.json").write_text('[{"q": 1}, {"q": 2}]')
+    assert files.read_json(spark, f"{tmp_path}/c.json").count() == 2
+    (tmp_path / "d.csv").write_text("number;word\n1;abc\n2;de\n")
+    assert files.read_csv(spark, f"{tmp_path}/d.csv").columns == ["number", "word"]
+    assert files.read_csv(spark, f"{tmp_path}/d.csv", has_header=False).columns == ["col_1", "col_2"] and files.read_csv(spark, f"{tmp_path}/d.csv", has_header=False).count() == 3
+    (tmp_path / "p.yaml").write_text("default: two\none: {template: 'x {{dialect}}'}\ntwo: one\n")
+    assert files.prompt_template(f"{tmp_path}/p.yaml") == "x {{dialect}}"
+    with pytest.raises(KeyError):
+        files.prompt_template(f"{tmp_path}/p.yaml", "three")
+
+
+def test_config():
+    assert config.resolve({"a": ["${X}", "${Y:d}", 3]}, {"X": "1"}) == {"a": ["1", "d", 3]}
+    with pytest.raises(ValueError):
+        config.resolve("${Z}", {})
+    assert config.severities({"sqlite": {"low": ["a"]}, "postgresql": {"high": ["b"]}}, "pg") == {"high": ["b"]}
+    assert config.severities({"low": ["a"]}, "pg") == {"low": ["a"]} and config.severities({}, "pg") is None
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ok", "a|b")], "id int, status string, t string")
+    sinks.write_metrics(sinks.envelope(df, "x", "e", "d"), str(tmp_path), "x")
+    assert sinks.metric_tables(spark, str(tmp_path)) == ["x"] and spark.read.parquet(f"{tmp_path}/metrics_x").first()["success"]
+    assert "a\\|b" in sinks.markdown_table(df)
+    assert sinks.run_directory("r/", "d", 5.9) == "r/d_5"
+    sinks.write_all(df, lambda x: sinks.write_jsonl(x, f"{tmp_path}/j"), lambda x: sinks.export(x, f"{tmp_path}/c"))
+    assert spark.read.json(f"{tmp_path}/j").count() == 1
+
+
+def test_pipeline_and_reports(spark, tmp_path):
+    from querymill.plans import pipeline
+
+    (tmp_path / "dbs/toy").mkdir(parents=True)
+    with sqlite3.connect(tmp_path / "dbs/toy/toy.sqlite") as c:
+        c.executescript("create table users (id integer primary key, name text); insert into users values (1, 'a'); create table archive (id int);")
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(x) for x in [{"question": "q1", "query": "SELECT name FROM users", "db_id": "toy"}, {"question": "q2", "query": "SELECT nope FROM users", "db_id": "toy"}, {"question": "q3", "query": "SELECT 1", "db_id": None}]))
+    out = pipeline.run(
+        spark,
+        {
+            "sourceDb": {"dialect": "sqlite", "endpoint": str(tmp_path / "dbs")}, "load": {"name": "jsonl", "params": {"path": str(tmp_path / "in.jsonl")}}, "output": {"base_dir": str(tmp_path / "runs")},
+            "normalize": [{"name": "alias_mapper", "params": {"mapping": {"sql": "query", "dbId": "db_id"}}}, {"name": "id_assign", "params": {"mode": "hash"}}, {"name": "db_identity_assign"}],
+            "analyze": [{"name": "schema_validation_analyzer"}, {"name": "query_syntax_analyzer"}, {"name": "query_antipattern_analyzer"}, {"name": "query_execution_analyzer"}, {"name": "semantic_llm_analyzer", "params": {"prompt_template": "{{ddl_schema}} {{sql_to_revise}}", "voters": [{"model": "m", "provider": "stub"}]}}],
+        },
+    )
+    assert sinks.metric_tables(spark, out) == ["query_audit", "query_execution", "schema_tables", "schema_validation", "semantic_llm_judge"]
+    assert sorted(r["status"] for r in spark.read.parquet(f"{out}/metrics_query_audit").collect()) == ["ok", "ok", "skipped"]
+    assert sorted(r["status"] for r in spark.read.parquet(f"{out}/metrics_query_execution").collect()) == ["failed", "ok"]
+    assert spark.read.parquet(f"{out}/metrics_schema_validation").first()["empty_tables"] == ["archive"]
+    for name in pipeline.REPORTS:
+        assert (tmp_path / "x").parent.joinpath(out, "all_reports", f"{name}_report.md").read_text().startswith("# ")
+
+
+def test_registry():
+    from querymill.plans import pipeline  # noqa: F401
+    from querymill.registry import get
+
+    assert get("loader", " JSONL ") is files.read_jsonl
+    with pytest.raises(KeyError, match="csv"):
+        get("loader", "odd")
+
+
+def test_stream(spark, tmp_path):
+    from querymill.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"id": "1", "db_id": "d", "sql": "SELECT 1"}\n')
+    for k in (1, 2):
+        ingest.audit_stream(ingest.read_items(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", once=True).awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/out/metrics_query_audit").count() == k
+        (tmp_path / "in/b.json").write_text('{"id": "2", "db_id": "d", "sql": "SELECT ("}\n')
+    q = ingest.first_seen(ingest.read_items(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("seen").count() == 1
