@@ -24,6 +24,8 @@ OPEN_WORDS = {
 RESERVED = OPEN_WORDS | {"all", "asc", "desc", "end", "null", "true", "false", "first", "last", "only"}
 JOINERS = {"join", "inner", "left", "right", "full", "outer", "cross", "natural"}
 SETS = {"union", "except", "intersect"}
+#: Words that are names where an operand is due.
+SOFT = JOINERS - {"join"} | {"first", "last", "only", "any", "some", "interval", "partition", "over", "recursive", "explain", "nulls", "glob", "regexp", "rlike", "ilike", "like", "returning", "offset", "escape", "asc", "desc", "end", "by", "outer"}
 
 _TOKEN = re.compile(
     r"(?P<space>\s+)|(?P<comment>--[^\n]*|/\*.*?(?:\*/|$))|(?P<string>'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`)|(?P<cut>['\"`])"
@@ -63,7 +65,7 @@ class Pushdown:
         low = text.lower() if kind == "word" else text
         if kind == "word" and self.word == "as":  # an alias, whatever it is called
             self.kind, self.word, self.run = "name", "alias", 2
-        elif kind == "word" and self.word != "." and low in RESERVED:
+        elif kind == "word" and self.word != "." and low in RESERVED and not (low in SOFT and self.word in ("where", "and", "or", "=", "<>", "<", ">", "<=", ">=", ",", "select", "on")):
             self._keyword(low)
         elif kind in ("word", "string", "number", "other"):
             self.run = 1 if self.word in (".", "::") or (self.kind == "op") else self.run + 1
