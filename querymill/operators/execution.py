@@ -141,3 +141,8 @@ def error_patterns(probed: DataFrame) -> DataFrame:
 def totals(probed: DataFrame) -> DataFrame:
     """Q8, Q25: items tried, sound and failed."""
     return probed.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ok")).alias("sound"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def failures(probed: DataFrame) -> DataFrame:
+    """Q26: failed items with the first 400 characters of their error, for a listing in numerical order."""
+    return probed.where("not ok").select("id", "db_id", F.substring("err", 1, 400).alias("err"))

@@ -64,6 +64,27 @@ def ask(items: DataFrame, voters: DataFrame, call: Callable[[str, str, str], str
     return out.select("item_id", "model", "provider", "weight", r["verdict"].alias("verdict"), r["explanation"].alias("explanation"), F.coalesce("failure", r["error"]).alias("error"))
 
 
+def expand_voters(providers: list[dict], known: tuple[str, ...] = ("openai", "anthropic", "gemini", "ollama", "stub")) -> list[dict]:
+    """A voter for each model of each provider; weight 1 and temperature 0 unless given, unknown providers left out.
+
+    A model is a name or a dict with a name and settings of its own, which win over its provider's.
+    """
+    out = []
+    for p in providers:
+        if str(p.get("name", "")).lower() not in known:
+            continue
+        for m in p.get("models") or ([p["model"]] if p.get("model") else []):
+            own = m if isinstance(m, dict) else {"name": m}
+            out.append({"provider": p["name"].lower(), "model": own["name"], "weight": float(own.get("weight", p.get("weight", 1.0))), "temperature": float(own.get("temperature", p.get("temperature", 0.0)))})
+    return out
+
+
+def invalid(providers: int) -> Column:
+    """Why an item can't be judged, null if it can: what it lacks of sql, question, dbId, ddl, or a lack of voters."""
+    lacks = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    return F.coalesce(*[F.when(lacks(c), f"empty {c}") for c in ("sql", "question", "dbId", "ddl")], F.lit("no providers") if not providers else F.lit(None).cast("string"))
+
+
 def stub(provider: str, model: str, text: str) -> str:
     """A voter that needs no network: a verdict that depends on model and prompt only."""
     import hashlib

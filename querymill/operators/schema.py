@@ -111,6 +111,25 @@ def top_issue(validated: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("findings")) for k in kinds])).alias("x")).select("x.*").orderBy(F.desc("findings"), "kind").limit(1)
 
 
+#: Order of the statuses in listings.
+STATUS_ORDER = {"failed": 1, "errors": 2, "warns": 3, "ok": 4}
+
+
+def listing(validated: DataFrame, status: str | None = None, k: int | None = None) -> DataFrame:
+    """Q16, Q20 to Q24: databases with what was found, by status and name; one status only, or its first k."""
+    order = F.create_map(*[F.lit(x) for n, i in STATUS_ORDER.items() for x in (n, i)])
+    rows = validated if status is None else validated.where(F.col("status") == status)
+    rows = rows.select(order[F.col("status")].alias("status_order"), "db_id", "status", "tables", "columns", "fk_total", "fk_invalid", "blocking_errors_total", F.size("empty_tables").alias("warnings"))
+    return rows.orderBy("status_order", "db_id").limit(k) if k else rows
+
+
+def empty_tables_used(tables: DataFrame, used: DataFrame) -> DataFrame:
+    """Q18: empty tables by database, those that statements use and those that none does. used: (db_id, table, queries)."""
+    empty = tables.where(F.coalesce("is_empty", F.lit(True))).select("db_id", F.lower("table").alias("table")).distinct()
+    j = empty.join(used.select("db_id", F.lower("table").alias("table"), "queries"), ["db_id", "table"], "left")
+    return j.groupBy("db_id").agg(F.count_if(F.col("queries").isNotNull()).alias("empty_used"), F.count_if(F.col("queries").isNull()).alias("empty_unused"))
+
+
 def items_on_bad_dbs(items: DataFrame, validated: DataFrame) -> DataFrame:
     """Q17: items on databases with errors, and their share."""
     bad = validated.where("status in ('errors', 'failed')").select("db_id").withColumn("bad", F.lit(True))

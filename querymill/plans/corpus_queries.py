@@ -88,3 +88,22 @@ def analyzer_success(spark: SparkSession, d: str) -> DataFrame:
     m = metrics(spark, d).withColumns(status())
     steps = m.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("status"), F.col("collect_ms").alias("duration_ms")) for n, c in (("query_syntax", "syntax_status"), ("query_antipattern", "antipattern_status"))])).alias("x")).select("x.*")
     return reports.analyzer_success(steps).drop("avg_ms")
+
+
+@query("empty_tables_used", f"{_G}, {_CATALOG_SQL}, {_USED_SQL} SELECT db_id, count(queries) AS empty_used, count(*) - count(queries) AS empty_unused FROM (SELECT c.db_id, u.queries FROM catalog c LEFT JOIN used u USING (db_id, \"table\") WHERE c.\"table\" IN ('singer', 'archive')) GROUP BY 1")
+def empty_tables_used(spark: SparkSession, d: str) -> DataFrame:
+    from querymill.operators import schema
+
+    tables = catalog(spark).withColumn("is_empty", F.col("table").isin("singer", "archive"))
+    return schema.empty_tables_used(tables, reports.used_tables(metrics(spark, d)))
+
+
+@query("failing_then_skipped", f"{_G} SELECT CASE WHEN tpl % 4 = 1 THEN 'skipped' WHEN parseable THEN 'ok' ELSE 'failed' END AS status, count(*) AS items FROM m GROUP BY 1")
+def failing_then_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """Items that an earlier step failed never reach the parser and come back as skipped."""
+    from querymill.operators import normalize
+
+    items = corpus.items(spark, d).withColumn("steps", F.array(normalize.step("earlier", F.when(F.col("tpl") % 4 == 1, "failed").otherwise("ok"))))
+    bad = normalize.failed_before()
+    done = audit(items.where(~bad)).withColumns(status()).select(F.col("syntax_status").alias("status"))
+    return done.union(items.where(bad).select(F.lit("skipped"))).groupBy("status").agg(F.count(F.lit(1)).alias("items"))

@@ -185,6 +185,16 @@ def schema_totals(spark: SparkSession, d: str) -> DataFrame:
     return schema.schema_totals(_validated(spark, d))
 
 
+@query("schema_listing", f"WITH {_STATUS} SELECT CASE status WHEN 'failed' THEN 1 WHEN 'errors' THEN 2 WHEN 'warns' THEN 3 ELSE 4 END AS status_order, db_id, status, tables, columns, fk_total, fk_total - fk_valid AS fk_invalid, blocking_errors_total, CAST(0 AS INTEGER) AS warnings FROM val")
+def schema_listing(spark: SparkSession, d: str) -> DataFrame:
+    return schema.listing(_validated(spark, d))
+
+
+@query("clean_dbs_preview", f"WITH {_STATUS} SELECT db_id, tables, columns FROM val WHERE status = 'ok' ORDER BY db_id LIMIT 3")
+def clean_dbs_preview(spark: SparkSession, d: str) -> DataFrame:
+    return schema.listing(_validated(spark, d), "ok", 3).select("db_id", "tables", "columns")
+
+
 @query("top_issue", f"WITH {_STATUS}, x AS (SELECT fk_class AS kind, count(*) AS findings FROM cls WHERE fk_class <> 'valid' GROUP BY 1 UNION ALL SELECT 'duplicate_columns_count', CAST(sum(dups) AS BIGINT) FROM val) SELECT kind, CAST(findings AS BIGINT) AS findings FROM x ORDER BY findings DESC, kind LIMIT 1")
 def top_issue(spark: SparkSession, d: str) -> DataFrame:
     return schema.top_issue(_validated(spark, d))
@@ -284,6 +294,11 @@ def execution_error_patterns(spark: SparkSession, d: str) -> DataFrame:
     return execution.error_patterns(_probed(spark, d))
 
 
+@query("execution_failures")
+def execution_failures(spark: SparkSession, d: str) -> DataFrame:
+    return execution.failures(_probed(spark, d))
+
+
 # audit of the project's own statements ---------------------------------------------------------------
 @query("corpus_audit")
 def corpus_audit(spark: SparkSession, d: str) -> DataFrame:

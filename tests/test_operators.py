@@ -141,6 +141,14 @@ def test_replies_and_asking(spark):
     assert (out["m"]["verdict"], out["m"]["explanation"], out["bad"]["verdict"], out["bad"]["error"]) == ("CORRECT", "sqlite d q s", "FAILED", "down")
 
 
+def test_voters_and_items_that_cannot_be_judged(spark):
+    out = judge.expand_voters([{"name": "OpenAI", "models": ["a", {"name": "b", "weight": 2}], "weight": 0.5}, {"name": "odd", "models": ["x"]}, {"name": "stub", "model": "s"}])
+    assert [(v["provider"], v["model"], v["weight"], v["temperature"]) for v in out] == [("openai", "a", 0.5, 0.0), ("openai", "b", 2.0, 0.0), ("stub", "s", 1.0, 0.0)]
+    df = spark.createDataFrame([("s", "q", "d", "c"), ("s", "q", "d", " "), (None, None, "d", "c")], "sql string, question string, dbId string, ddl string")
+    assert [r[0] for r in df.select(judge.invalid(1)).collect()] == [None, "empty ddl", "empty sql"]
+    assert df.select(judge.invalid(0)).first()[0] == "no providers"
+
+
 # calibration ----------------------------------------------------------------------------------------
 def test_calibration_texts(spark):
     row = spark.createDataFrame([("Final note: PARTIALLY_CORRECT, HUMAN (CORRECT)", "2 CORRECT, 1 INCORRECT", "Mixed (x)")], "a string, b string, c string").select(calibration.human_verdict(F.col("a")), calibration.majority_of(F.col("b")), calibration.normal(F.col("c")), calibration.majority_of(F.lit("1 CORRECT, 1 INCORRECT")), calibration.human_verdict(F.lit("HUMAN: INCORRECT")), calibration.majority_of(F.lit("3 PARTIALLY_CORRECT"))).first()
