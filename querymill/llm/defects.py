@@ -236,9 +236,9 @@ def refuses(text: str) -> bool:
 _CODE = [
     re.compile(p, re.M)
     for p in (
-        r"%>%|\|>\s*\w+\(|<-\s*\w+|\blibrary\(", r"\bdb(?:\.\w+|\[.+?\])+\.(?:find|aggregate|count|distinct)\w*\(", r"=>|===|\b(?:const|let|var)\s+\w+\s*=|\bfunction\b.*\{|console\.log", r"^\s*(?:for|while|if|def|class|with|elif)\b.*:\s*$|^\s*(?:from \w[\w.]* )?import \w|\bprint\(|\blambda \w*:",
+        r"%>%|\|>\s*\w+\(|<-\s*\w+|\blibrary\(", r"\bdb(?:\.\w+|\[.+?\])+\.(?:find|aggregate|count|distinct)\w*\(", r"=>|===|\b(?:const|let|var)\s+\w+\s*=|\bfunction\b.*\{|console\.log", r"^\s*(?:for \w+(?:\s*,\s*\w+)* in \S.*|(?:while|if|elif)\b.*[=<>()\[\]].*|def \w+\(.*\).*|class \w+(?:\(.*\))?|with \w[\w.]*\(.*\) as \w+):\s*$|^\s*(?:from \w[\w.]* )?import \w|\bprint\(|\blambda \w*:",
         r"\w+\[\w*\[?['\"].+?['\"]\]|\bpd\.\w+|\bdf\b\s*[=.\[]|\.(?:groupby|loc|iloc|head|filter|map|select|where|sort_values|merge|query)\(", r"\b(?:public|private|static|void|System\.out|new \w+\()|\.stream\(\)|::\w+\)", r"<\?php|\$\w+\s*(?:=|->)|->\w+\(", r"\b(?:puts|fmt\.Print\w*|println!?|printf|func \w*\()|\bdo \|\w+\|",
-        r"^\s*(?:awk|grep|sed|cat|curl|jq|cut|sort)\s.+\|?|\$\{?\w+\}?", r"\bMATCH\s*\(.*\).*\bRETURN\b", r"^=\s*[A-Z]+\(.+\)$", r"^\s*\{\s*(?:\w+\s*(?:\(.*?\))?\s*\{|[\"']\w+[\"']\s*:)", r"\bfrom \w+ in \w+\b.*\bselect\b", r"\w+\s*=\s*\w+\(.*\);?\s*$|;\s*$\n|\)\s*\{",
+        r"^\s*(?:awk|grep|sed|cat|curl|jq|cut|sort)\s.+\|?|\$\{\w+\}|^\s*\$\w+\s*=", r"\bMATCH\s*\(.*\).*\bRETURN\b", r"^=\s*[A-Z]+\(.+\)$", r"^\s*\{\s*(?:\w+\s*(?:\(.*?\))?\s*\{|[\"']\w+[\"']\s*:)", r"\bfrom \w+ in \w+\b.*\bselect\b", r"^\s*\w+\s*=\s*\w[\w.]*\(.*\);?\s*$|\)\s*\{\s*$",
     )
 ]
 
@@ -336,6 +336,8 @@ def defect(question: str | None, answer: str | None) -> str | None:
                 return "truncated" if truncated(sql) else None
     if copied(question, text) or comments and copied(question, f"{comments} {text}"):
         return "copy"
+    if _is_sql(question):  # the two fields are exchanged
+        return None
     if len(words) == 1 and len(words[0]) >= 3 and any(o.startswith(words[0].lower()) for o in ("select", "insert", "update", "delete")):
         return "truncated"
     if refuses(text):
@@ -360,6 +362,12 @@ def _sql_like(text: str) -> bool:
     return bool(re.search(r"\b(?:into|set|from|table|view|index|values|select|database)\b|\(", head))
 
 
+def _is_sql(text: str) -> bool:
+    bare = _LEAD.sub("", _unwrapped(text)[0])
+    opener = re.match(r"[A-Za-z]+", bare)
+    return bool(opener) and opener.group().lower() in OPENERS and not _SPARQL.match(bare) and _sql_like(bare)
+
+
 def flag(df: DataFrame, id_column: str = "id", prompt: str = "question", response: str = "query") -> DataFrame:
     """(id, defect): the records whose response is no usable SQL answer to the prompt.
 
