@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querymill.llm.records import canonical, fingerprint
+from querymill.llm.records import field_digest, fingerprint, lowered
 
 
 def dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(raw, code) of every distinct value of the columns.
+    """(raw, hi, lo) of every distinct value of the columns.
 
     Each distinct value is canonicalised once, after a distinct whose map-side half already drops
-    the repeats of a task. `code` is the integer identifier of the canonical form, `raw` that of the
+    the repeats of a task. (hi, lo) is the integer identifier of the canonical form, `raw` that of the
     value as written; both are content-derived 128-bit integers, so numbering needs no order, no
     driver and no second pass, and a lost executor computes the same ones again.
     """
-    values = reduce(DataFrame.union, [df.select(F.coalesce(F.col(c), F.lit("")).alias("v")) for c in columns]) if len(columns) > 4 else df.select(F.explode(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])).alias("v"))
-    return values.distinct().select(fingerprint(F.col("v")).alias("raw"), fingerprint(canonical(F.col("v"))).alias("code"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.frombuffer(b"".join([field_digest(lowered(v)) for v in batch.column("v").to_pylist()]), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("raw"), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["raw", "hi", "lo"])
+
+    values = df.select(F.explode(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])).alias("v")).distinct()
+    return values.select("v", fingerprint(F.col("v")).alias("raw")).mapInArrow(run, "raw struct<hi:long,lo:long>, hi long, lo long")
 
 
 def encode(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
@@ -30,8 +38,8 @@ def encode(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
     codes = dictionary(df, columns)
     out = df.select(F.col(id_column).alias("id"), *[fingerprint(F.coalesce(F.col(c), F.lit(""))).alias(f"r{i}") for i, c in enumerate(columns)])
     for i in range(len(columns)):
-        out = out.join(codes.select(F.col("raw").alias(f"r{i}"), F.col("code").alias(f"c{i}")), f"r{i}").drop(f"r{i}")
-    return out.select("id", F.array_sort(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("key"))
+        out = out.join(codes.select(F.col("raw").alias(f"r{i}"), F.struct("hi", "lo").alias(f"c{i}")), f"r{i}").drop(f"r{i}")
+    return out.select("id", F.sort_array(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("key"))
 
 
 def duplicates(df: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("question", "query")) -> DataFrame:

@@ -10,16 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that survive canonicalisation; every other one is formatting.
-KEPT = "a-z0-9<>=*+/%"
+#: Fixed value: characters that survive canonicalisation, after lower-casing; every other one is formatting.
 KEPT_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789<>=*+/%"
 
 
-def canonical(value: Column) -> Column:
-    """Lower case, every character but KEPT dropped; null as empty."""
-    return F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), f"[^{KEPT}]+", "")
-
-
 def fingerprint(value: Column) -> Column:
     """A 128-bit integer (two longs) that stands for a string on every executor, with no numbering pass."""
     return F.struct(F.xxhash64(value).alias("hi"), F.xxhash64(F.lit(1), value).alias("lo"))
@@ -33,9 +27,14 @@ def lowered(value: str | None) -> bytes:
     return value.lower().encode("utf-8", "surrogatepass") if value else b""
 
 
+def field_digest(field: bytes) -> bytes:
+    """16 bytes that stand for a lowered field's canonical form: every byte but those of KEPT_BYTES is formatting."""
+    return xxhash.xxh3_128_digest(field.translate(None, _DROPPED))
+
+
 def record_digest(fields: list[bytes]) -> bytes:
-    """16 bytes that stand for a record: its lowered fields canonicalised, hashed and put in sorted order."""
-    return xxhash.xxh3_128_digest(b"".join(sorted(xxhash.xxh3_128_digest(f.translate(None, _DROPPED)) for f in fields)))
+    """16 bytes that stand for a record: the digests of its lowered fields in sorted order."""
+    return xxhash.xxh3_128_digest(b"".join(sorted(field_digest(f) for f in fields)))
 
 
 def record_hashes(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
