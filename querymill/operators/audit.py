@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querymill.session import spread
 from querymill.sql import facts
 
 _BOOLEANS = ("is_select", "is_read_only", "uses_wildcard", "has_distinct", "has_group_by", "has_having", "has_where", "has_order_by", "has_limit", "has_offset", "has_recursive_cte", "has_window_frame", "has_like", "has_in", "has_between", "has_case")
@@ -153,7 +154,7 @@ def audit(items: DataFrame, sql: str = "sql", severities: dict[str, list[str]] |
             rows = [one(t) for t in batch.column(sql).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=arrow)], names=[*batch.schema.names, "_audit"])
 
-    out = kept.mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in kept.columns], "_audit.*")
+    out = spread(kept).mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in kept.columns], "_audit.*")
     out = out.withColumn("difficulty_level", difficulty()).withColumn("complexity_score", complexity())
     out = out.withColumn("quality_score", quality(F.col("antipatterns"), F.col("parseable"), penalties))
     flags = {f"has_{name}": F.exists("antipatterns", lambda x: x["pattern"].isin("unsafe_delete", "unsafe_update") if name == "unsafe_update_delete" else x["pattern"] == name) for name in facts.SWITCHES}  # noqa: B023

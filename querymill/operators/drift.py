@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querymill.session import spread
+
 #: The roles of a raw item, names they are known by, the contents and types they come in.
 ROLES = {
     "id": ("id item_id uid question_id ID key index sample_id", "number label", "integer string"),
@@ -226,7 +228,7 @@ def observed(lines: DataFrame) -> DataFrame:
 
     keys = ["feed", "file_no", "file_name", "field", "type", "kind"]
     rows = lines.where("feed is not null and file_no is not null and line_no is not null").select("feed", "file_no", F.coalesce("file_name", F.lit("")).alias("file_name"), "line_no", "line")
-    found = rows.mapInPandas(run, "feed string, file_no int, file_name string, field string, type string, kind string, n long, first long, last long")
+    found = spread(rows).mapInPandas(run, "feed string, file_no int, file_name string, field string, type string, kind string, n long, first long, last long")
     return found.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 

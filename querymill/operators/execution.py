@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querymill.session import spread
 from querymill.sql.facts import WRITES, read
 
 #: Statements that are never run.
@@ -100,9 +101,9 @@ def probe(items: DataFrame, databases: DataFrame | None = None, root: str | None
         raise ValueError(f"mode must be one of {MODES}")
     if databases is not None:
         texts = databases.groupBy("db_id").agg(F.array_join(F.array_sort(F.collect_list("ddl")), "\n").alias("_ddl"))
-        source = items.select("id", "db_id", "sql").join(texts, "db_id", "left")
+        source = spread(items.select("id", "db_id", "sql")).join(texts, "db_id", "left")
     else:
-        source = items.select("id", "db_id", "sql", F.lit(None).cast("string").alias("_ddl"))
+        source = spread(items.select("id", "db_id", "sql")).select("id", "db_id", "sql", F.lit(None).cast("string").alias("_ddl"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[str, sqlite3.Connection | str] = {}

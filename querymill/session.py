@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -65,3 +66,16 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for a pass whose work a row outweighs moving it.
+
+    Only a plain scan of fewer partitions is dealt out anew: it is small then, at most one split a core.
+    Anything larger, or anything that has a shuffle or a join of its own, stays as it is.
+    """
+    plan = df._jdf.queryExecution().sparkPlan()
+    if re.search(r"Exchange|Join|Aggregate|Window|Sort|InMemoryTableScan|Python|Pandas|Arrow|Union|Limit|Subquery", plan.toString()):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < plan.execute().getNumPartitions() < cores else df
