@@ -1,4 +1,4 @@
-"""Near-duplicate records: b-bit MinHash with band candidate generation and an exact check."""
+"""Near-duplicate records: an exact prefix filter over words, a bound by parity sketches in the join and an exact check."""
 
 from __future__ import annotations
 
@@ -13,15 +13,9 @@ from pyspark.sql import functions as F
 from querymill.llm.records import lowered, record_digest
 from querymill.session import write_shared
 
-#: Rows of a band and number of bands over the distinguishing words, and the same over all words
-#: for records that have few distinguishing ones.
-ROWS, BANDS = 3, 24
-FULL_ROWS, FULL_BANDS = 6, 32
 #: A word is distinguishing if at most this share of the records has it. The others are at most
 #: mean words per record / COMMON_SHARE many, whatever the number of records: that bounds the broadcast.
 COMMON_SHARE = 0.001
-#: Records with fewer distinguishing words than this also get the bands over all words.
-FEW = 8
 #: Low bits kept of each minimum, and minima kept: together one packed long.
 BITS, MINIMA = 1, 64
 #: Standard deviations by which the bit estimate may fall short before a candidate is dropped unseen.
@@ -48,19 +42,6 @@ def minima(hashes: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndar
     return out
 
 
-def _band_keys(least: np.ndarray, rows: int, salt: int) -> np.ndarray:
-    """(records, bands) keys: the rows of a band folded into one integer that also names the band."""
-    bands = least.shape[0] // rows
-    keys = np.empty((least.shape[1], bands), dtype=np.uint64)
-    for band in range(bands):
-        key = np.full(least.shape[1], ((salt + band) * int(MIX)) % 2**64, dtype=np.uint64)
-        for row in range(band * rows, band * rows + rows):
-            key = (key ^ least[row]) * np.uint64(0xD6E8FEB86659FD93)
-            key ^= key >> np.uint64(29)
-        keys[:, band] = key
-    return keys
-
-
 def packed_bits(least: np.ndarray) -> np.ndarray:
     """The lowest bit of each of MINIMA minima, packed into one long a record."""
     out = np.zeros(least.shape[1], dtype=np.uint64)
@@ -173,8 +154,19 @@ def _words(ids, sides, fields, hashes, lengths) -> Iterator[pa.RecordBatch]:
     yield _batch(unit=units[first], w=lists.take(pa.array(first)))
 
 
-def _bands(common: np.ndarray) -> Callable:
-    """One row per band of each different word set of a batch: its copies go no further."""
+def _prefixes(common: np.ndarray, rank: np.ndarray, threshold: float) -> Callable:
+    """One row per prefix word of each different word set of a batch: its copies go no further.
+
+    The order of words puts the distinguishing ones first, by hash, then the common ones, rarest first.
+    Similar sets share one of the first n - ceil(t n) + 1 of the n words of either, and it is one of the
+    first n - ceil(2 t / (1 + t) n) + 1 of the smaller set: these rows `lead`. So common words lead only
+    where there are few distinguishing ones. If the shared word is common, the distinguishing words of
+    both count as differences: then neither has more of them than (1 - t) / t of its words.
+
+    `rare` and `common` are sketches: which of 64 bits an odd number of the set's words fall on. Two
+    sets differ in at least as many words as their sketches in bits.
+    """
+    t = round(threshold * 1000)
 
     def make(ids, sides, fields, hashes, lengths) -> Iterator[pa.RecordBatch]:
         units = _units(hashes, lengths)
@@ -184,50 +176,56 @@ def _bands(common: np.ndarray) -> Callable:
         flat = hashes[np.repeat(chosen, lengths)]
         units, sides, lengths = units[first], sides[first], lengths[first]
         starts = _starts(lengths)
-        bits = packed_bits(minima(flat, starts, MINIMA, 11))
-        rare = np.ones(len(flat), dtype=bool)
+        place = np.zeros(len(flat), dtype=np.int64)
         if len(common):
-            rare = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat
-        n_rare = np.add.reduceat(rare.astype(np.int64), starts)
-        emit = []
-        if len(has := np.flatnonzero(n_rare)):
-            emit.append((has, _band_keys(minima(flat[rare], _starts(n_rare[has]), ROWS * BANDS, 5), ROWS, 1)))
-        if len(few := np.flatnonzero(n_rare < FEW)):
-            short = np.zeros(len(lengths), dtype=bool)
-            short[few] = True
-            emit.append((few, _band_keys(minima(flat[np.repeat(short, lengths)], _starts(lengths[few]), FULL_ROWS * FULL_BANDS, 7), FULL_ROWS, 1001)))
-        for rows, keys in emit:
-            n = keys.shape[1]
-            yield _batch(unit=np.repeat(units[rows], n), side=np.repeat(sides[rows], n), bits=np.repeat(bits[rows], n), band=keys.reshape(-1))
+            at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+            place = np.where(common[at] == flat, rank[at] + 1, 0)
+        bit = np.uint64(1) << (flat >> np.uint64(58))
+        rare_odd, common_odd = (np.bitwise_xor.reduceat(np.where(kind, bit, np.uint64(0)), starts) for kind in (place == 0, place > 0))
+        n_rare = np.add.reduceat((place == 0).astype(np.int64), starts)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        order = np.lexsort((flat, place, owner))
+        flat, rare = flat[order], place[order] == 0
+        after = np.arange(len(flat)) - np.repeat(starts, lengths)
+        lead = after <= np.repeat(lengths + (-lengths * 2 * t) // (1000 + t), lengths)
+        keep = (after <= np.repeat(lengths + (-lengths * t) // 1000, lengths)) & (rare | np.repeat(n_rare * t <= lengths * (1000 - t), lengths))
+        rows = owner[keep]
+        yield _batch(unit=units[rows], side=sides[rows], n=lengths[rows].astype(np.int32), rare=rare_odd[rows], common=common_odd[rows], word=flat[keep], lead=lead[keep])
 
     return make
 
 
-def common_words(source: DataFrame, records: int) -> np.ndarray:
-    """Sorted hashes of the words in more than COMMON_SHARE of the records, counted over all of them."""
+def common_words(source: DataFrame, records: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks): the words in more than COMMON_SHARE of the records, sorted by hash, the rarest having rank 0."""
     most = max(int(records * COMMON_SHARE), 2)
-    rows = _scan(source, "h long, n long", _counts).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("h")
-    return np.sort(rows.toArrow().column("h").to_numpy().view(np.uint64))
+    rows = _scan(source, "h long, n long", _counts).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most).toArrow()
+    hashes, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    rank = np.empty(len(hashes), dtype=np.int64)
+    rank[np.lexsort((hashes, n))] = np.arange(len(hashes))
+    order = np.argsort(hashes)
+    return hashes[order], rank[order]
 
 
 def candidates(source: DataFrame, across: bool, records: int, threshold: float) -> DataFrame:
-    """(a, b): pairs of different word sets that share a band and whose bits say they may be similar, a < b.
+    """(a, b): pairs of different word sets that share a prefix word and whose sketches say they may be similar, a < b.
 
-    across: only pairs of a unit of side 0 with one of side 1. The bits are compared inside the join,
-    so that a chance candidate never leaves the task that met it.
+    across: only pairs of a unit of side 0 with one of side 1. The sketches are compared inside the
+    join, so that a chance candidate hardly ever leaves the task that met it; no similar pair fails there.
     """
     common = source.sparkSession.sparkContext.broadcast(common_words(source, records))
 
     def make(*args):
-        return _bands(common.value)(*args)
-
-    bands = _scan(source, "unit long, side int, bits long, band long", make)
-    bands = bands if across else bands.drop("side")
-    a, b = bands.alias("a"), bands.alias("b")
-    alike = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= MINIMA - least_matches(threshold)
-    order = (F.col("a.side") == 0) & (F.col("b.side") == 1) & (F.col("a.unit") != F.col("b.unit")) if across else F.col("a.unit") < F.col("b.unit")
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & order & alike).select(F.least("a.unit", "b.unit").alias("a"), F.greatest("a.unit", "b.unit").alias("b")).distinct()
+        return _prefixes(*common.value, threshold)(*args)
 
+    # read once for each side of the join, so it is kept
+    prefixes = write_shared(_scan(source, "unit long, side int, n int, rare long, common long, word long, lead boolean", make), "similar-prefixes")
+    sides = [(prefixes.where(f"side = {x}"), prefixes.where(f"side = {1 - x}")) for x in (0, 1)] if across else [(prefixes, prefixes)]
+    differ = sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("rare", "common"))
+    t = round(threshold * 1000)
+    alike = F.greatest(differ, F.col("b.n") - F.col("a.n")) * (1000 + t) <= (F.col("a.n") + F.col("b.n")) * (1000 - t)
+    order = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.unit") < F.col("b.unit"))
+    met = [a.where("lead").alias("a").join(b.alias("b"), (F.col("a.word") == F.col("b.word")) & order & alike).select(F.least("a.unit", "b.unit").alias("a"), F.greatest("a.unit", "b.unit").alias("b")) for a, b in sides]
+    return reduce(DataFrame.union, met).distinct()
 
 
 def exact(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
@@ -261,10 +259,10 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, id_column: st
     without words are similar to none; rows that repeat an id count once; null ids are no records;
     other columns are ignored; empty tables give no pairs.
 
-    Word sets rather than records meet in the bands: copies are one unit. Bands are made of the
-    minima over distinguishing words (and over all words where a record has few), so that chance
-    candidates don't grow with the wording that all records share. A candidate's similarity is first
-    estimated by the packed bits, in the join itself, then computed from the words. No bucket is
+    Word sets rather than records meet: copies are one unit. Similar sets share a word of their
+    prefixes, distinguishing words first, so none is missed for how its words fall; common words meet
+    only where no distinguishing one need be shared. A candidate's difference is first
+    bounded by parity sketches, in the join itself, then its similarity computed from the words. No word is
     capped: a hot one is split by the adaptive skew join.
     """
     across = right is not None

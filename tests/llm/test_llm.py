@@ -82,6 +82,16 @@ def test_similar_pairs_of_the_tables(spark):
         assert pairs(neardup.similar_pairs(df)) == brute(rows)
 
 
+def test_similar_pairs_of_a_hot_family_with_words_of_their_own(spark):
+    base = [f"common{i}" for i in range(60)]
+    rows = [(0, " ".join(base), "")]
+    rows += [(i, " ".join(base), " ".join(f"own{i}x{k}" for k in range(8 + i % 12))) for i in range(1, 40)]
+    rows += [(100 + i, " ".join(f"other{i}x{k}" for k in range(30)), " ".join(base[:5])) for i in range(60)]
+    want = brute(rows)
+    assert len(want) > 100 and pairs(neardup.similar_pairs(records(spark, *rows))) == want
+    assert pairs(overlap.overlaps(records(spark, *rows[::2]), records(spark, *rows[1::2]))) == brute(rows[::2], rows[1::2])
+
+
 def test_overlaps_against_brute_force(spark):
     train = spark.read.parquet(f"{DATA}/calibration_train.parquet")
     held = queries._held_out(spark, DATA)
