@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querymill.llm.components import components
 from querymill.llm.records import lowered, record_digest
 from querymill.session import write_shared
 
@@ -251,6 +252,38 @@ def exact(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(check, "a long, b long").distinct()
 
 
+def _linked(tables: tuple[DataFrame, ...], id_column: str, columns: tuple[str, ...], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((id, side, key, unit) of the records with words, (a, b) of the similar different word sets)."""
+    parts = [x.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.lit(side).alias("side"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]) for side, x in enumerate(tables)]
+    source = reduce(DataFrame.union, parts)
+    # the compact part is read several times, so it is kept; the words are cheaper to make again than to keep
+    ids = write_shared(_scan(source, "id long, side int, key long, unit long", _ids), "similar-ids").distinct()
+    words = _scan(source, "unit long, w array<long>", _words).groupBy("unit").agg(F.first("w").alias("w"))
+    return ids, exact(candidates(source, len(tables) > 1, ids.count(), threshold), words, threshold)
+
+
+def similar_groups(df: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("question", "query"), threshold: float = 0.75) -> DataFrame:
+    """(id, group): every record with the smallest id of its group, its own if it is like no other.
+
+    A group is what similar pairs and copies connect, directly or over others. Components are of word
+    sets, so copies add no edges. Records without words are similar to none: only copies share their
+    group. Rows that repeat an id count once; null ids are no records.
+    """
+    ids, found = _linked((df,), id_column, columns, threshold)
+    # copies whose words are divided differently are different word sets of one key
+    least = ids.groupBy("key").agg(F.min("unit").alias("b"), F.max("unit").alias("most")).where("b <> most").drop("most")
+    copies = ids.join(least, "key").where("unit <> b").select(F.col("unit").alias("a"), "b").distinct()
+    of = components(found.union(copies)).select(F.col("node").alias("unit"), "component")
+    records = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), *columns)
+    signs = F.array_join(F.array_sort(F.array(*[F.regexp_replace(F.coalesce(c, F.lit("")), "[^<>=*+/%]+", "") for c in columns])), " ")
+    # few have no ASCII letter or digit, and some of them have words once lowered: only these are looked up
+    bare = records.where(~F.concat_ws(" ", *columns).rlike("[A-Za-z0-9]"))
+    wordless = bare.join(ids.select("id"), "id", "left_anti").select("id", signs.alias("class"))
+    known = ids.select("id", "unit").join(of, "unit", "left").select("id", F.coalesce("component", "unit").cast("string").alias("class"))
+    members = write_shared(known.union(wordless).groupBy("id").agg(F.min("class").alias("class")), "similar-members")
+    return members.join(members.groupBy("class").agg(F.min("id").alias("group")), "class").select("id", "group")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, id_column: str = "id", columns: tuple[str, ...] = ("question", "query"), threshold: float = 0.75) -> DataFrame:
     """(id_a, id_b), smaller first: all pairs of similar records that are not the same when canonicalised.
 
@@ -266,12 +299,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, id_column: st
     capped: a hot one is split by the adaptive skew join.
     """
     across = right is not None
-    parts = [x.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.lit(side).alias("side"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]) for side, x in enumerate((left, right) if across else (left,))]
-    source = reduce(DataFrame.union, parts)
-    # the compact part is read several times, so it is kept; the words are cheaper to make again than to keep
-    ids = write_shared(_scan(source, "id long, side int, key long, unit long", _ids), "similar-ids").distinct()
-    words = _scan(source, "unit long, w array<long>", _words).groupBy("unit").agg(F.first("w").alias("w"))
-    found = exact(candidates(source, across, ids.count(), threshold), words, threshold)
+    ids, found = _linked((left, right) if across else (left,), id_column, columns, threshold)
     # records that are the same count as one class here, so a hot group of copies is paired once
     classes = ids.select("unit", "key", "side").distinct()
     one, two = (classes.select(F.col("unit").alias(u), F.col("key").alias(f"k{u}"), F.col("side").alias(f"s{u}")) for u in "ab")

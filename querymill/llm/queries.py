@@ -53,6 +53,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(_records(spark, d))
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(_records(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return exactdup.duplicates(_records(spark, d))
 
@@ -81,4 +85,4 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_consensus, p4_reliability, p5_found, p5_report, p6_found, p7_found, p7_copies, p8_ids, p9_mix, p9_report, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_consensus, p4_reliability, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_copies, p8_ids, p9_mix, p9_report, p10_found, p10_segments)}

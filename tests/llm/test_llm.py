@@ -92,6 +92,21 @@ def test_similar_pairs_of_a_hot_family_with_words_of_their_own(spark):
     assert pairs(overlap.overlaps(records(spark, *rows[::2]), records(spark, *rows[1::2]))) == brute(rows[::2], rows[1::2])
 
 
+def test_similar_groups(spark):
+    chain = [(20 + i, " ".join(f"c{k}" for k in range(i, i + 12)), "") for i in range(6)]
+    rows = [*ODD, *chain, (40, "C0 c1 c2 c3 c4 c5 c6 c7 c8 c9 c10", "c11"), (41, "ab c", ""), (42, "a bc", "")]
+    known = {r for r in rows if r[0]}
+    group = {r[0]: r[0] for r in known}
+    links = brute(known) | {(x[0], y[0]) for x in known for y in known if x[0] < y[0] and canonical(x) == canonical(y)}
+    for _ in group:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    got = queries.QUERIES["p6_groups"](spark, DATA)
+    assert pairs(neardup.similar_groups(records(spark, *rows))) == set(group.items()) and group[25] == group[40] == 20
+    assert neardup.similar_groups(records(spark).limit(0)).count() == 0
+    assert got.count() == got.select("id").distinct().count() == queries._records(spark, DATA).select("id").distinct().count()
+
+
 def test_overlaps_against_brute_force(spark):
     train = spark.read.parquet(f"{DATA}/calibration_train.parquet")
     held = queries._held_out(spark, DATA)
