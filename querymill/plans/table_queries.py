@@ -105,6 +105,13 @@ def complement_ids(spark: SparkSession, d: str) -> DataFrame:
     return calibration.complement(20_000, table(spark, d, "calibration_train", "id"))
 
 
+@query("complement_ids_all", "SELECT i AS id FROM (SELECT unnest(range(1, max(id) + 1)) AS i FROM calibration_train) WHERE i NOT IN (SELECT id FROM calibration_train WHERE id IS NOT NULL)")
+def complement_ids_all(spark: SparkSession, d: str) -> DataFrame:
+    """complement_ids up to the greatest id of the table rather than to 20,000."""
+    ids = table(spark, d, "calibration_train", "id")
+    return calibration.complement(ids.agg(F.max("id")).first()[0] or 0, ids)
+
+
 @query("default_verdicts", "WITH t AS (SELECT DISTINCT id FROM calibration_train), v AS (SELECT id, max(original) AS verdict FROM calibration_verdicts WHERE original <> 'CORRECT' GROUP BY 1) SELECT coalesce(v.verdict, 'CORRECT') AS verdict, count(*) AS items FROM t LEFT JOIN v USING (id) GROUP BY 1")
 def default_verdicts(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "calibration_verdicts").where("original <> 'CORRECT'").groupBy("id").agg(F.max("original").alias("verdict"))

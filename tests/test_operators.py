@@ -155,6 +155,14 @@ def test_calibration_texts(spark):
     assert tuple(row) == ("PARTIALLY_CORRECT", "CORRECT", "Mixed", None, "INCORRECT", "PARTIALLY_CORRECT")
 
 
+def test_complement_reaches_the_greatest_id(spark, tmp_path):
+    from querymill.plans import queries
+
+    spark.createDataFrame([(1,), (None,), (25_000,), (25_000,)], "id long").write.parquet(f"{tmp_path}/calibration_train.parquet")
+    got = {r["id"] for r in queries.QUERIES["complement_ids_all"](spark, str(tmp_path)).collect()}
+    assert got == set(range(2, 25_000))
+
+
 def test_kappa_extremes(spark):
     same = spark.createDataFrame([("CORRECT", "CORRECT")] * 3, "original string, human string")
     assert calibration.kappa(same).first()["kappa"] == 1.0
