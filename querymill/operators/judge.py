@@ -148,6 +148,21 @@ def breakdown(votes: DataFrame, models: list[str]) -> DataFrame:
     return wide.where(" and ".join(f"`{m}` is not null" for m in models)).groupBy(*[F.col(f"`{m}`") for m in models]).agg(F.count(F.lit(1)).alias("items"))
 
 
+def mixed_breakdown(votes: DataFrame) -> DataFrame:
+    """Q29: combinations of verdicts on items without consensus: one column a model that voted on one of them.
+
+    The models come from the votes. Items with fewer than two models' verdicts don't count; a model
+    without a verdict on an item is null there. The rows without nulls are those of the original report.
+    """
+    v = normal_verdict(F.col("verdict"))
+    mixed = aggregate(votes).where("not consensus_reached and status <> 'failed'").select("item_id")
+    good = votes.where(F.col("error").isNull() & v.isin(*VERDICTS) & F.col("model").isNotNull()).join(mixed, "item_id", "left_semi")
+    models = sorted(r["model"] for r in good.select("model").distinct().collect())
+    wide = good.groupBy("item_id").pivot("model", models).agg(F.min(v)) if models else good.select("item_id")
+    several = wide.where(sum((F.col(f"`{m}`").isNotNull().cast("int") for m in models), F.lit(0)) >= 2)
+    return several.groupBy(*[F.col(f"`{m}`") for m in models]).agg(F.count(F.lit(1)).alias("items")).where("items > 0")
+
+
 def listing(judged: DataFrame, verdict: str | None, only_divided: bool = False, k: int | None = None) -> DataFrame:
     """Q30 to Q35: items of a consensus (None: mixed), numerically ordered; k for the reports that show the first k."""
     rows = judged.where("consensus_verdict is null and status <> 'failed'") if verdict is None else judged.where(F.col("consensus_verdict") == verdict)

@@ -50,6 +50,12 @@ def verdict_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return judge.breakdown(table(spark, d, "voters"), MODELS)
 
 
+@query("verdict_breakdown_mixed")
+def verdict_breakdown_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """verdict_breakdown over all models of the votes and the items without consensus."""
+    return judge.mixed_breakdown(table(spark, d, "voters"))
+
+
 _LIST = "SELECT item_id, consensus_verdict, total_voters, f AS voters_failed FROM st WHERE"
 
 

@@ -125,6 +125,15 @@ def test_votes(spark):
     assert judge.aggregate(votes.limit(0)).count() == 0
 
 
+def test_breakdown_over_all_models_and_mixed_items(spark, rows):
+    votes = [("1", "m1", "CORRECT"), ("1", "m2", "INCORRECT"), ("2", "m1", "CORRECT"), ("2", "m2", "CORRECT"), ("3", "m2", "correct"), ("3", "new.4", "UNANSWERABLE"), ("4", "m1", "CORRECT"), ("4", "m2", "FAILED"), ("5", "m1", "CORRECT"), ("5", "m2", "INCORRECT")]
+    df = spark.createDataFrame([(*v, 1.0, None) for v in votes], "item_id string, model string, verdict string, weight double, error string")
+    got = judge.mixed_breakdown(df)
+    assert got.columns == ["m1", "m2", "new.4", "items"]
+    assert {tuple(r) for r in got.collect()} == {("CORRECT", "INCORRECT", None, 2), (None, "CORRECT", "UNANSWERABLE", 1)}
+    assert judge.mixed_breakdown(df.limit(0)).count() == 0
+
+
 def test_replies_and_asking(spark):
     texts = ['```json\n{"verdict": "correct", "explanation": "e"}\n```', '{"verdict": "MAYBE"}', "no", None, '{"explanation": "x"}']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
