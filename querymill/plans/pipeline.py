@@ -144,7 +144,7 @@ def write_reports(spark: SparkSession, metrics: str, to: str, which: list[str] |
         elif name == "schema_validation":
             body = {"Totals": schema.schema_totals(sch), "Top issue": schema.top_issue(sch), "Databases": sch.select("db_id", "status", "tables", "columns", "fk_total", "fk_invalid", "blocking_errors_total", F.array_join("empty_tables", ", ").alias("empty_tables")).orderBy("status", "db_id")} if sch is not None else {"Schemas": missing}
         elif name == "llm_judge_issues":
-            body = {"Summary": judge.summary(jud), **{v or "Mixed": judge.listing(jud, v, k=50) for v in (*judge.VERDICTS, None)}} if jud is not None else {"Verdicts": missing}
+            body = {"Summary": judge.summary(jud), **{v or "Mixed": judge.listing(jud, v, v == "CORRECT", 50 if v == "PARTIALLY_CORRECT" else None).orderBy(F.expr("try_cast(item_id as bigint)").asc_nulls_last(), "item_id") for v in (*judge.VERDICTS, None)}} if jud is not None else {"Verdicts": missing}
         elif name == "query_execution_issues":
             body = {"Totals": execution.totals(run_), "Error patterns": execution.error_patterns(run_), "Failures": run_.where("not ok").select("id", "db_id", F.substring("err", 1, 400).alias("err")).orderBy(F.expr("try_cast(id as bigint)").asc_nulls_last(), "id")} if run_ is not None else {"Execution": missing}
         elif name == "query_structure_profile":

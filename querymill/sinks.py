@@ -56,20 +56,20 @@ def metric_tables(spark, base: str) -> list[str]:
     return sorted(s.getPath().getName()[len("metrics_") :] for s in fs.listStatus(hadoop) if s.isDirectory() and s.getPath().getName().startswith("metrics_")) if fs.exists(hadoop) else []
 
 
-def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A report table; reports are small, more than `most` rows end in an ellipsis."""
-    rows = df.limit(most + 1).collect()
+def markdown_table(df: DataFrame, most: int | None = 1000) -> str:
+    """A report table; more than `most` rows end in an ellipsis, None writes them whole."""
+    rows = list(df.toLocalIterator()) if most is None else df.limit(most + 1).collect()
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:most]]
-    return "\n".join(lines + (["| … |"] if len(rows) > most else []))
+    return "\n".join(lines + (["| … |"] if most is not None and len(rows) > most else []))
 
 
 def write_markdown(path: str, title: str, sections: dict[str, DataFrame | str]) -> str:
-    """K6: a report of titled tables or texts."""
+    """K6: a report of titled tables, written whole, or texts."""
     parts = [f"# {title}", ""]
     for name, body in sections.items():
-        parts += [f"## {name}", "", body if isinstance(body, str) else markdown_table(body), ""]
+        parts += [f"## {name}", "", body if isinstance(body, str) else markdown_table(body, None), ""]
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text("\n".join(parts))
     return path

@@ -293,6 +293,17 @@ def test_pipeline_and_reports(spark, tmp_path):
         assert (tmp_path / "x").parent.joinpath(out, "all_reports", f"{name}_report.md").read_text().startswith("# ")
 
 
+def test_judge_report_lists_all_but_the_partial_items(spark, tmp_path):
+    from querymill.plans import pipeline
+
+    votes = [(f"{k}{i}", v) for k, vs in enumerate((("INCORRECT",), ("PARTIALLY_CORRECT",), ("CORRECT",), ("CORRECT", "CORRECT", "INCORRECT"))) for i in range(1200 if k == 0 else 60) for v in vs]
+    judged = judge.aggregate(spark.createDataFrame([(*v, 1.0, None) for v in votes], "item_id string, verdict string, weight double, error string"))
+    judged.write.parquet(f"{tmp_path}/metrics_semantic_llm_judge")
+    path = pipeline.write_reports(spark, str(tmp_path), f"{tmp_path}/r", ["llm_judge_issues"])[0]
+    parts = {p.split("\n")[0]: sum(line.startswith("| ") for line in p.split("\n")) - 1 for p in open(path).read().split("## ")[1:]}
+    assert {k: parts[k] for k in ("INCORRECT", "PARTIALLY_CORRECT", "CORRECT", "Mixed")} == {"INCORRECT": 1200, "PARTIALLY_CORRECT": 50, "CORRECT": 60, "Mixed": 0}
+
+
 def test_registry():
     from querymill.plans import pipeline  # noqa: F401
     from querymill.registry import get
