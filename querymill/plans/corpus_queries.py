@@ -69,6 +69,7 @@ _BY = f"by_pattern AS (SELECT pattern, severity, count(*) AS findings, count(DIS
 _over(reports.antipattern_by_pattern, "antipattern_by_pattern", f"{_G}, {_P}, {_BY} SELECT * FROM by_pattern")
 _over(reports.antipattern_top, "antipattern_top", f"{_G}, {_P}, {_BY} SELECT *, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS severity_order FROM by_pattern ORDER BY severity_order, findings DESC, pattern LIMIT 15")
 _over(reports.antipattern_items, "antipattern_items", f"{_G}, {_P} SELECT pattern, severity, count(DISTINCT id) AS queries, min(CAST(id AS BIGINT)) AS first_id, max(CAST(id AS BIGINT)) AS last_id FROM p GROUP BY 1, 2")
+_over(reports.antipattern_statements, "antipattern_statements", f"{_G}, {_P} SELECT DISTINCT pattern, severity, id FROM p")
 _over(reports.quality_summary, "quality_summary", f"{_G} SELECT count(*) AS total, count(*) FILTER (parseable) AS parsed, round(avg(quality_score) FILTER (parseable), 6) AS avg_quality, round(avg(len(patterns)) FILTER (parseable), 6) AS avg_findings, count(*) FILTER (parseable AND len(patterns) = 0) AS clean, round(count(*) FILTER (parseable AND len(patterns) = 0) * 100.0::DOUBLE / count(*) FILTER (parseable), 1) AS clean_share FROM m")
 _over(reports.quality_levels, "quality_levels", f"{_G} SELECT CASE WHEN quality_score >= 90 THEN 'excellent' WHEN quality_score >= 70 THEN 'good' WHEN quality_score >= 50 THEN 'fair' ELSE 'poor' END AS quality_level, count(*) AS queries FROM m GROUP BY 1")
 _over(reports.worst_items, "worst_items", f"{_G} SELECT id, CAST(quality_score AS INTEGER) AS quality_score, CAST(len(patterns) AS INTEGER) AS total_antipatterns FROM m WHERE parseable AND quality_score < 90 ORDER BY total_antipatterns DESC, quality_score, CAST(id AS BIGINT), id LIMIT 10")

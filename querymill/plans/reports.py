@@ -173,12 +173,17 @@ def antipattern_top(m: DataFrame, k: int = 15) -> DataFrame:
 
 
 def antipattern_items(m: DataFrame) -> DataFrame:
-    """Q62: by pattern, the statements that have it, numerically ordered."""
+    """By pattern, the number of statements that have it, with the least and greatest numeric id; antipattern_statements lists them."""
     d = antipattern_rows(m).select("pattern", "severity", "id").distinct()
     number = F.expr("try_cast(id as bigint)")
     return d.groupBy("pattern", "severity").agg(F.count(F.lit(1)).alias("queries"), F.min(number).alias("first_id"), F.max(number).alias("last_id"))
 
 
+def antipattern_statements(m: DataFrame) -> DataFrame:
+    """Q62: by pattern, every statement that has it once, numerically ordered; ids that are no numbers come last."""
+    return antipattern_rows(m).select("pattern", "severity", "id").distinct().orderBy("pattern", "severity", F.expr("try_cast(id as bigint)").asc_nulls_last(), "id")
+
+
 def quality_summary(m: DataFrame) -> DataFrame:
     """Q9, Q58, Q60: means of quality and findings, statements without findings."""
     p = F.col("parseable")

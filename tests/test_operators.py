@@ -304,6 +304,14 @@ def test_judge_report_lists_all_but_the_partial_items(spark, tmp_path):
     assert {k: parts[k] for k in ("INCORRECT", "PARTIALLY_CORRECT", "CORRECT", "Mixed")} == {"INCORRECT": 1200, "PARTIALLY_CORRECT": 50, "CORRECT": 60, "Mixed": 0}
 
 
+def test_antipattern_statements_lists_every_id(spark):
+    from querymill.plans import reports
+
+    found = "array(named_struct('pattern', 'p', 'severity', 's'), named_struct('pattern', 'p', 'severity', 's'))"
+    m = spark.createDataFrame([(i, "d", True) for i in ("10", "9", "ab3f", "11")], "id string, db_id string, parseable boolean").selectExpr("*", f"{found} as antipatterns")
+    assert [tuple(r) for r in reports.antipattern_statements(m).collect()] == [("p", "s", i) for i in ("9", "10", "11", "ab3f")]
+
+
 def test_registry():
     from querymill.plans import pipeline  # noqa: F401
     from querymill.registry import get
