@@ -1,4 +1,4 @@
-"""Near-duplicate records: an exact prefix filter over words, a bound by parity sketches in the join and an exact check."""
+"""Near-duplicate records: an exact prefix filter over words, the rarest first, a bound by parity sketches in the join and an exact check."""
 
 from __future__ import annotations
 
@@ -14,54 +14,13 @@ from querymill.llm.components import components
 from querymill.llm.records import lowered, record_digest
 from querymill.session import write_shared
 
-#: A word is distinguishing if at most this share of the records has it. The others are at most
-#: mean words per record / COMMON_SHARE many, whatever the number of records: that bounds the broadcast.
-COMMON_SHARE = 0.001
-#: Low bits kept of each minimum, and minima kept: together one packed long.
-BITS, MINIMA = 1, 64
-#: Standard deviations by which the bit estimate may fall short before a candidate is dropped unseen.
-SLACK = 4.5
+#: Bits of a word's hash that choose its counter. The counters, 8 bytes each, are all that is broadcast,
+#: whatever the number of records and words; words that share one only share a place in the order.
+COUNTERS = 20
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
-    return a, rng.integers(0, 2**63, n, dtype=np.uint64)
-
-
-def minima(hashes: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """(n, records) minima of n permutations over the slices of hashes that begin at starts (none empty)."""
-    a, b = _multipliers(n, seed)
-    out = np.empty((n, len(starts)), dtype=np.uint64)
-    for k in range(n):
-        mixed = hashes * a[k] + b[k]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= MIX
-        out[k] = np.minimum.reduceat(mixed, starts)
-    return out
-
-
-def packed_bits(least: np.ndarray) -> np.ndarray:
-    """The lowest bit of each of MINIMA minima, packed into one long a record."""
-    out = np.zeros(least.shape[1], dtype=np.uint64)
-    for k in range(MINIMA):
-        out |= ((least[k] >> np.uint64(17)) & np.uint64(1)) << np.uint64(k)
-    return out
-
-
-def least_matches(threshold: float) -> int:
-    """Equal bits below which a candidate can't be similar: the expected number less SLACK deviations.
-
-    Two records of similarity s agree in a bit with probability c + (1 - c) s, c = 2^-BITS being
-    the chance of an accidental collision.
-    """
-    c = 2.0**-BITS
-    p = c + (1 - c) * threshold
-    return int(np.floor(MINIMA * p - SLACK * np.sqrt(MINIMA * p * (1 - p))))
-
-
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
 _BYTE = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,19 +77,18 @@ def _key(fields: list[bytes]) -> int:
     return int.from_bytes(record_digest(fields)[:8], "little", signed=True)
 
 
-def _scan(df: DataFrame, schema: str, make: Callable) -> DataFrame:
-    """One pass over (id, side, fields…): make gets (ids, sides, fields, hashes, lengths) of records with words."""
+def _scan(df: DataFrame, schema: str, make: Callable, digests: bool = False) -> DataFrame:
+    """One pass over (id, fields…): make gets (ids, fields if digests, hashes, lengths) of records with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[lowered(v) for v in c.to_pylist()] for c in batch.columns[2:]]
+            columns = [[lowered(v) for v in c.to_pylist()] for c in batch.columns[1:]]
             texts = [b" ".join(fields) for fields in zip(*columns)]
             hashes, lengths = word_sets(texts) if texts else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
             has = np.flatnonzero(lengths)
             if len(has):
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[has]
-                sides = batch.column(1).to_numpy(zero_copy_only=False)[has]
-                yield from make(ids, sides, [[c[i] for c in columns] for i in has] if make is _ids else None, hashes, lengths[has])
+                yield make(ids, [[c[i] for c in columns] for i in has] if digests else None, hashes, lengths[has])
 
     return df.mapInArrow(run, schema)
 
@@ -139,94 +97,90 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) if isinstance(c, np.ndarray) else c for c in columns.values()], names=list(columns))
 
 
-def _ids(ids, sides, fields, hashes, lengths) -> Iterator[pa.RecordBatch]:
-    yield _batch(id=ids, side=sides, key=np.array([_key(f) for f in fields], dtype=np.int64), unit=_units(hashes, lengths))
+def _ids(ids, fields, hashes, lengths) -> pa.RecordBatch:
+    return _batch(id=ids, key=np.array([_key(f) for f in fields], dtype=np.int64), unit=_units(hashes, lengths))
 
 
-def _counts(ids, sides, fields, hashes, lengths) -> Iterator[pa.RecordBatch]:
-    """Words with the records of the batch that have them: combined before the shuffle."""
-    h, n = np.unique(hashes, return_counts=True)
-    yield _batch(h=h, n=n.astype(np.int64))
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
-def _words(ids, sides, fields, hashes, lengths) -> Iterator[pa.RecordBatch]:
+def _counts(ids, fields, hashes, lengths) -> pa.RecordBatch:
+    """Counters with the words of the batch that fall on them: combined before the shuffle."""
+    n = np.bincount(_counter(hashes))
+    used = np.flatnonzero(n)
+    return _batch(counter=used, n=n[used])
+
+
+def _words(ids, fields, hashes, lengths) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(hashes.view(np.int64)))
     first = np.unique(units := _units(hashes, lengths), return_index=True)[1]
-    yield _batch(unit=units[first], w=lists.take(pa.array(first)))
+    return _batch(unit=units[first], w=lists.take(pa.array(first)))
 
 
-def _prefixes(common: np.ndarray, rank: np.ndarray, threshold: float) -> Callable:
+def _prefixes(frequency: np.ndarray, threshold: float) -> Callable:
     """One row per prefix word of each different word set of a batch: its copies go no further.
 
-    The order of words puts the distinguishing ones first, by hash, then the common ones, rarest first.
-    Similar sets share one of the first n - ceil(t n) + 1 of the n words of either, and it is one of the
-    first n - ceil(2 t / (1 + t) n) + 1 of the smaller set: these rows `lead`. So common words lead only
-    where there are few distinguishing ones. If the shared word is common, the distinguishing words of
-    both count as differences: then neither has more of them than (1 - t) / t of its words.
-
-    `rare` and `common` are sketches: which of 64 bits an odd number of the set's words fall on. Two
-    sets differ in at least as many words as their sketches in bits.
+    All sets are in one order of words: by the frequency of their counters, then by hash. Similar sets
+    share one of the first n - ceil(t n) + 1 words of either. place: how many words of the set come
+    before the word. odd: which of 64 bits an odd number of the set's words fall on.
     """
     t = round(threshold * 1000)
 
-    def make(ids, sides, fields, hashes, lengths) -> Iterator[pa.RecordBatch]:
+    def make(ids, fields, hashes, lengths) -> pa.RecordBatch:
         units = _units(hashes, lengths)
-        first = np.sort(np.unique(np.stack([units.view(np.int64), sides.astype(np.int64)]), axis=1, return_index=True)[1]) if len(set(sides)) > 1 else np.sort(np.unique(units, return_index=True)[1])
+        first = np.sort(np.unique(units, return_index=True)[1])
         chosen = np.zeros(len(lengths), dtype=bool)
         chosen[first] = True
         flat = hashes[np.repeat(chosen, lengths)]
-        units, sides, lengths = units[first], sides[first], lengths[first]
+        units, lengths = units[first], lengths[first]
         starts = _starts(lengths)
-        place = np.zeros(len(flat), dtype=np.int64)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-            place = np.where(common[at] == flat, rank[at] + 1, 0)
-        bit = np.uint64(1) << (flat >> np.uint64(58))
-        rare_odd, common_odd = (np.bitwise_xor.reduceat(np.where(kind, bit, np.uint64(0)), starts) for kind in (place == 0, place > 0))
-        n_rare = np.add.reduceat((place == 0).astype(np.int64), starts)
+        odd = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), starts)
         owner = np.repeat(np.arange(len(lengths)), lengths)
-        order = np.lexsort((flat, place, owner))
-        flat, rare = flat[order], place[order] == 0
-        after = np.arange(len(flat)) - np.repeat(starts, lengths)
-        lead = after <= np.repeat(lengths + (-lengths * 2 * t) // (1000 + t), lengths)
-        keep = (after <= np.repeat(lengths + (-lengths * t) // 1000, lengths)) & (rare | np.repeat(n_rare * t <= lengths * (1000 - t), lengths))
+        order = np.lexsort((flat, frequency[_counter(flat)], owner))
+        place = np.arange(len(flat)) - np.repeat(starts, lengths)
+        keep = place <= np.repeat(lengths + (-lengths * t) // 1000, lengths)
         rows = owner[keep]
-        yield _batch(unit=units[rows], side=sides[rows], n=lengths[rows].astype(np.int32), rare=rare_odd[rows], common=common_odd[rows], word=flat[keep], lead=lead[keep])
+        return _batch(unit=units[rows], n=lengths[rows].astype(np.int32), place=place[keep].astype(np.int32), odd=odd[rows], word=flat[order][keep])
 
     return make
 
 
-def common_words(source: DataFrame, records: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ranks): the words in more than COMMON_SHARE of the records, sorted by hash, the rarest having rank 0."""
-    most = max(int(records * COMMON_SHARE), 2)
-    rows = _scan(source, "h long, n long", _counts).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most).toArrow()
-    hashes, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    rank = np.empty(len(hashes), dtype=np.int64)
-    rank[np.lexsort((hashes, n))] = np.arange(len(hashes))
-    order = np.argsort(hashes)
-    return hashes[order], rank[order]
+def frequencies(sources: list[DataFrame]) -> np.ndarray:
+    """How many words of the records fall on each of 2^COUNTERS counters; that many rows at most reach the driver."""
+    counted = reduce(DataFrame.union, [_scan(s, "counter long, n long", _counts) for s in sources])
+    rows = counted.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTERS, dtype=np.int64)
+    out[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
-def candidates(source: DataFrame, across: bool, records: int, threshold: float) -> DataFrame:
-    """(a, b): pairs of different word sets that share a prefix word and whose sketches say they may be similar, a < b.
+def candidates(sources: list[DataFrame], threshold: float) -> DataFrame:
+    """(a, b): pairs of different word sets, of one source or across two, that may be similar, a < b.
 
-    across: only pairs of a unit of side 0 with one of side 1. The sketches are compared inside the
+    They share a prefix word, and neither their sizes, nor the words before the shared one, nor their
+    sketches show too many differences: two sets differ in at least as many words as their sketches in
+    bits, and the first shared word has only unshared ones before it. All of it is compared inside the
     join, so that a chance candidate hardly ever leaves the task that met it; no similar pair fails there.
     """
-    common = source.sparkSession.sparkContext.broadcast(common_words(source, records))
+    shared = sources[0].sparkSession.sparkContext.broadcast(frequencies(sources))
 
     def make(*args):
-        return _prefixes(*common.value, threshold)(*args)
+        return _prefixes(shared.value, threshold)(*args)
 
-    # read once for each side of the join, so it is kept
-    prefixes = write_shared(_scan(source, "unit long, side int, n int, rare long, common long, word long, lead boolean", make), "similar-prefixes")
-    sides = [(prefixes.where(f"side = {x}"), prefixes.where(f"side = {1 - x}")) for x in (0, 1)] if across else [(prefixes, prefixes)]
-    differ = sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("rare", "common"))
+    rows = [_scan(s, "unit long, n int, place int, odd long, word long", make) for s in sources]
     t = round(threshold * 1000)
-    alike = F.greatest(differ, F.col("b.n") - F.col("a.n")) * (1000 + t) <= (F.col("a.n") + F.col("b.n")) * (1000 - t)
-    order = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.unit") < F.col("b.unit"))
-    met = [a.where("lead").alias("a").join(b.alias("b"), (F.col("a.word") == F.col("b.word")) & order & alike).select(F.least("a.unit", "b.unit").alias("a"), F.greatest("a.unit", "b.unit").alias("b")) for a, b in sides]
-    return reduce(DataFrame.union, met).distinct()
+    excess = lambda words, n: words * (1000 + t) - n * (1000 - t)  # noqa: E731 - above 0: too many differences
+    differ = F.greatest(F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))), F.col("a.place") + F.col("b.place"), F.abs(F.col("b.n") - F.col("a.n")))
+    over = excess(differ, F.col("a.n") + F.col("b.n"))
+    less = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.unit") < F.col("b.unit"))
+    # the smaller set's first shared word comes even earlier
+    early = F.greatest(over, F.when(less, excess(F.col("a.place"), F.col("a.n"))).otherwise(excess(F.col("b.place"), F.col("b.n"))))
+    on = (F.col("a.word") == F.col("b.word")) & (early <= 0)
+    # of a self-join, both sides read one exchange: nothing in `on` can be pushed below either
+    on = on & less if len(rows) == 1 else on & (F.col("a.unit") != F.col("b.unit"))
+    met = rows[0].alias("a").join(rows[-1].alias("b"), on)
+    return met.select(F.least("a.unit", "b.unit").alias("a"), F.greatest("a.unit", "b.unit").alias("b")).distinct()
 
 
 def exact(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
@@ -254,12 +208,15 @@ def exact(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
 
 def _linked(tables: tuple[DataFrame, ...], id_column: str, columns: tuple[str, ...], threshold: float) -> tuple[DataFrame, DataFrame]:
     """((id, side, key, unit) of the records with words, (a, b) of the similar different word sets)."""
-    parts = [x.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.lit(side).alias("side"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]) for side, x in enumerate(tables)]
-    source = reduce(DataFrame.union, parts)
+    sources = [x.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]) for x in tables]
     # the compact part is read several times, so it is kept; the words are cheaper to make again than to keep
-    ids = write_shared(_scan(source, "id long, side int, key long, unit long", _ids), "similar-ids").distinct()
-    words = _scan(source, "unit long, w array<long>", _words).groupBy("unit").agg(F.first("w").alias("w"))
-    return ids, exact(candidates(source, len(tables) > 1, ids.count(), threshold), words, threshold)
+    ids = [_scan(s, "id long, key long, unit long", _ids, True).select("id", F.lit(side).alias("side"), "key", "unit") for side, s in enumerate(sources)]
+    ids = write_shared(reduce(DataFrame.union, ids), "similar-ids").distinct()
+    # kept too, so that only the words of candidates are sent, past a broadcast of them where they are few
+    pairs = write_shared(candidates(sources, threshold), "similar-candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
+    words = reduce(DataFrame.union, [_scan(s, "unit long, w array<long>", _words) for s in sources])
+    return ids, exact(pairs, words.join(asked, "unit", "left_semi").groupBy("unit").agg(F.first("w").alias("w")), threshold)
 
 
 def similar_groups(df: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("question", "query"), threshold: float = 0.75) -> DataFrame:
@@ -293,9 +250,9 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, id_column: st
     other columns are ignored; empty tables give no pairs.
 
     Word sets rather than records meet: copies are one unit. Similar sets share a word of their
-    prefixes, distinguishing words first, so none is missed for how its words fall; common words meet
-    only where no distinguishing one need be shared. A candidate's difference is first
-    bounded by parity sketches, in the join itself, then its similarity computed from the words. No word is
+    prefixes, rarest words first, so none is missed for how its words fall; common words meet only
+    in sets that have hardly any rarer ones. A candidate's difference is first bounded by sizes, places
+    and parity sketches, in the join itself, then its similarity computed from the words. No word is
     capped: a hot one is split by the adaptive skew join.
     """
     across = right is not None

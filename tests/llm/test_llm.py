@@ -118,23 +118,6 @@ def test_overlaps_against_brute_force(spark):
     assert sum(r["pairs"] for r in report) == len(brute(a, b) | same)
 
 
-def test_bits_estimate_the_collision_corrected_similarity():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    whole = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    for shared in (300, 200):
-        x, y = np.sort(whole[:shared + 50]), np.sort(np.r_[whole[:shared], whole[350:]])
-        rows = []
-        for seed in range(40):
-            least = neardup.minima(np.r_[x, y], np.array([0, len(x)]), neardup.MINIMA, seed)
-            bits = neardup.packed_bits(least)
-            rows.append(1 - bin(int(bits[0] ^ bits[1])).count("1") / neardup.MINIMA)
-        true = len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
-        assert abs((np.mean(rows) - 0.5) / 0.5 - true) < 0.06
-    assert neardup.least_matches(0.75) < neardup.MINIMA * 0.875
-
-
 # components and splits ------------------------------------------------------------------------------
 def test_components(spark):
     rng = random.Random(3)
