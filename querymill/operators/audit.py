@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querymill.session import spread
-from querymill.sql import facts
+from querymill.sql import facts, findings
 
 _BOOLEANS = ("is_select", "is_read_only", "uses_wildcard", "has_distinct", "has_group_by", "has_having", "has_where", "has_order_by", "has_limit", "has_offset", "has_recursive_cte", "has_window_frame", "has_like", "has_in", "has_between", "has_case")
 _INTEGERS = ("table_count", "column_count", "join_count", "subquery_count", "max_subquery_depth", "aggregate_count", "where_condition_count", "order_by_columns", "cte_count", "window_fn_count", "set_op_count")
@@ -50,7 +50,7 @@ def detect_antipatterns(sql: str | None, severities: dict[str, list[str]] | None
     statement, err = facts.read(sql)
     if statement is None:
         return {"parseable": False, "antipatterns": [], "quality_score": 0, "quality_level": "poor", "err": err}
-    found = facts.antipatterns(statement, severities)
+    found = findings.antipatterns(statement, severities)
     cost = PENALTIES | (penalties or {})
     score = max(0, min(100, 100 - sum(cost.get(f[1], OTHER_PENALTY) for f in found)))
     return {"parseable": True, "antipatterns": [dict(zip(ANTIPATTERN.names, f)) for f in found], "quality_score": score, "quality_level": "excellent" if score >= 90 else "good" if score >= 70 else "fair" if score >= 50 else "poor", "err": None}
@@ -147,7 +147,7 @@ def audit(items: DataFrame, sql: str = "sql", severities: dict[str, list[str]] |
             if statement is None:
                 row = {**_EMPTY, "err": err, "antipatterns": []}
             else:
-                row = {"parseable": True, **facts.features(statement), "err": None, "antipatterns": [dict(zip(ANTIPATTERN.names, f)) for f in facts.antipatterns(statement, severities)]}
+                row = {"parseable": True, **facts.features(statement), "err": None, "antipatterns": [dict(zip(ANTIPATTERN.names, f)) for f in findings.antipatterns(statement, severities)]}
             return {**row, "collect_ms": (time.perf_counter() - began) * 1000}
 
         for batch in batches:
@@ -157,7 +157,7 @@ def audit(items: DataFrame, sql: str = "sql", severities: dict[str, list[str]] |
     out = spread(kept).mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in kept.columns], "_audit.*")
     out = out.withColumn("difficulty_level", difficulty()).withColumn("complexity_score", complexity())
     out = out.withColumn("quality_score", quality(F.col("antipatterns"), F.col("parseable"), penalties))
-    flags = {f"has_{name}": F.exists("antipatterns", lambda x: x["pattern"].isin("unsafe_delete", "unsafe_update") if name == "unsafe_update_delete" else x["pattern"] == name) for name in facts.SWITCHES}  # noqa: B023
+    flags = {f"has_{name}": F.exists("antipatterns", lambda x: x["pattern"].isin("unsafe_delete", "unsafe_update") if name == "unsafe_update_delete" else x["pattern"] == name) for name in findings.SWITCHES}  # noqa: B023
     return out.withColumn("quality_level", quality_level(F.col("quality_score"))).withColumn("total_antipatterns", F.size("antipatterns")).withColumns(flags)
 
 
