@@ -77,18 +77,36 @@ def _key(fields: list[bytes]) -> int:
     return int.from_bytes(record_digest(fields)[:8], "little", signed=True)
 
 
-def _scan(df: DataFrame, schema: str, make: Callable, digests: bool = False) -> DataFrame:
-    """One pass over (id, fields…): make gets (ids, fields if digests, hashes, lengths) of records with words."""
+def word_table(df: DataFrame) -> DataFrame:
+    """(id, side, key, unit, w) of (id, side, fields…): each record with words, its words, and what stands for both.
+
+    key: the record, canonicalised; unit: its word set; w: the hashes of its words. The texts are read
+    this once; all that follows reads the written table, column by column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[lowered(v) for v in c.to_pylist()] for c in batch.columns[1:]]
-            texts = [b" ".join(fields) for fields in zip(*columns)]
-            hashes, lengths = word_sets(texts) if texts else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+            columns = [[lowered(v) for v in c.to_pylist()] for c in batch.columns[2:]]
+            hashes, lengths = word_sets([b" ".join(fields) for fields in zip(*columns)])
             has = np.flatnonzero(lengths)
             if len(has):
-                ids = batch.column(0).to_numpy(zero_copy_only=False)[has]
-                yield make(ids, [[c[i] for c in columns] for i in has] if digests else None, hashes, lengths[has])
+                lengths = lengths[has]
+                keys = np.array([_key([c[i] for c in columns]) for i in has], dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield _batch(id=batch.column(0).take(pa.array(has)), side=batch.column(1).take(pa.array(has)), key=keys, unit=_units(hashes, lengths), w=lists)
+
+    return write_shared(df.mapInArrow(run, "id long, side int, key long, unit long, w array<long>"), "similar-words")
+
+
+def _each(df: DataFrame, schema: str, make: Callable[..., pa.RecordBatch]) -> DataFrame:
+    """make(hashes, lengths, units) of each batch of (w, unit…)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                w = batch.column(0)
+                units = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) if batch.num_columns > 1 else None
+                yield make(w.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(w.offsets.to_numpy()).astype(np.int64), units)
 
     return df.mapInArrow(run, schema)
 
@@ -97,38 +115,36 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) if isinstance(c, np.ndarray) else c for c in columns.values()], names=list(columns))
 
 
-def _ids(ids, fields, hashes, lengths) -> pa.RecordBatch:
-    return _batch(id=ids, key=np.array([_key(f) for f in fields], dtype=np.int64), unit=_units(hashes, lengths))
-
-
 def _counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
-def _counts(ids, fields, hashes, lengths) -> pa.RecordBatch:
-    """Counters with the words of the batch that fall on them: combined before the shuffle."""
-    n = np.bincount(_counter(hashes))
-    used = np.flatnonzero(n)
-    return _batch(counter=used, n=n[used])
+def frequencies(words: DataFrame) -> np.ndarray:
+    """How many words of the records fall on each of 2^COUNTERS counters; that many rows at most reach the driver."""
 
+    def count(hashes, lengths, units) -> pa.RecordBatch:
+        n = np.bincount(_counter(hashes))
+        used = np.flatnonzero(n)
+        return _batch(counter=used, n=n[used])
 
-def _words(ids, fields, hashes, lengths) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(hashes.view(np.int64)))
-    first = np.unique(units := _units(hashes, lengths), return_index=True)[1]
-    return _batch(unit=units[first], w=lists.take(pa.array(first)))
+    rows = _each(words.select("w"), "counter long, n long", count).groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTERS, dtype=np.int64)
+    out[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
-def _prefixes(frequency: np.ndarray, threshold: float) -> Callable:
+def _prefixes(frequency: np.ndarray, threshold: float, smaller: bool) -> Callable[..., pa.RecordBatch]:
     """One row per prefix word of each different word set of a batch: its copies go no further.
 
     All sets are in one order of words: by the frequency of their counters, then by hash. Similar sets
-    share one of the first n - ceil(t n) + 1 words of either. place: how many words of the set come
-    before the word. odd: which of 64 bits an odd number of the set's words fall on.
+    share one of the first n - ceil(t n) + 1 of the n words of either, and it is one of the first
+    n - ceil(2 t / (1 + t) n) + 1 of the smaller one. place: how many words of the set come before the
+    word. odd: which of 64 bits an odd number of the set's words fall on.
     """
     t = round(threshold * 1000)
+    part, whole = (2 * t, 1000 + t) if smaller else (t, 1000)
 
-    def make(ids, fields, hashes, lengths) -> pa.RecordBatch:
-        units = _units(hashes, lengths)
+    def make(hashes, lengths, units) -> pa.RecordBatch:
         first = np.sort(np.unique(units, return_index=True)[1])
         chosen = np.zeros(len(lengths), dtype=bool)
         chosen[first] = True
@@ -139,48 +155,37 @@ def _prefixes(frequency: np.ndarray, threshold: float) -> Callable:
         owner = np.repeat(np.arange(len(lengths)), lengths)
         order = np.lexsort((flat, frequency[_counter(flat)], owner))
         place = np.arange(len(flat)) - np.repeat(starts, lengths)
-        keep = place <= np.repeat(lengths + (-lengths * t) // 1000, lengths)
+        keep = place <= np.repeat(lengths + (-lengths * part) // whole, lengths)
         rows = owner[keep]
-        return _batch(unit=units[rows], n=lengths[rows].astype(np.int32), place=place[keep].astype(np.int32), odd=odd[rows], word=flat[order][keep])
+        return _batch(unit=units[rows], n=lengths[rows], place=place[keep], odd=odd[rows], word=flat[order][keep])
 
     return make
 
 
-def frequencies(sources: list[DataFrame]) -> np.ndarray:
-    """How many words of the records fall on each of 2^COUNTERS counters; that many rows at most reach the driver."""
-    counted = reduce(DataFrame.union, [_scan(s, "counter long, n long", _counts) for s in sources])
-    rows = counted.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << COUNTERS, dtype=np.int64)
-    out[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
-def candidates(sources: list[DataFrame], threshold: float) -> DataFrame:
-    """(a, b): pairs of different word sets, of one source or across two, that may be similar, a < b.
+def candidates(words: DataFrame, across: bool, threshold: float) -> DataFrame:
+    """(a, b): pairs of different word sets that may be similar, a < b; across: of side 0 with side 1.
 
-    They share a prefix word, and neither their sizes, nor the words before the shared one, nor their
-    sketches show too many differences: two sets differ in at least as many words as their sketches in
+    They share a prefix word, and neither their sketches, nor the words before the shared one, nor their
+    sizes show too many differences: two sets differ in at least as many words as their sketches in
     bits, and the first shared word has only unshared ones before it. All of it is compared inside the
     join, so that a chance candidate hardly ever leaves the task that met it; no similar pair fails there.
     """
-    shared = sources[0].sparkSession.sparkContext.broadcast(frequencies(sources))
+    shared = words.sparkSession.sparkContext.broadcast(frequencies(words))
+
+    def rows(side: int, smaller: bool) -> DataFrame:
+        def make(*args):
+            return _prefixes(shared.value, threshold, smaller)(*args)
 
-    def make(*args):
-        return _prefixes(shared.value, threshold)(*args)
+        mine = words.where(F.col("side") == side) if across else words
+        return _each(mine.select("w", "unit"), "unit long, n long, place long, odd long, word long", make)
 
-    rows = [_scan(s, "unit long, n int, place int, odd long, word long", make) for s in sources]
     t = round(threshold * 1000)
-    excess = lambda words, n: words * (1000 + t) - n * (1000 - t)  # noqa: E731 - above 0: too many differences
-    differ = F.greatest(F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))), F.col("a.place") + F.col("b.place"), F.abs(F.col("b.n") - F.col("a.n")))
-    over = excess(differ, F.col("a.n") + F.col("b.n"))
-    less = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.unit") < F.col("b.unit"))
-    # the smaller set's first shared word comes even earlier
-    early = F.greatest(over, F.when(less, excess(F.col("a.place"), F.col("a.n"))).otherwise(excess(F.col("b.place"), F.col("b.n"))))
-    on = (F.col("a.word") == F.col("b.word")) & (early <= 0)
-    # of a self-join, both sides read one exchange: nothing in `on` can be pushed below either
-    on = on & less if len(rows) == 1 else on & (F.col("a.unit") != F.col("b.unit"))
-    met = rows[0].alias("a").join(rows[-1].alias("b"), on)
-    return met.select(F.least("a.unit", "b.unit").alias("a"), F.greatest("a.unit", "b.unit").alias("b")).distinct()
+    most = (F.col("a.n") + F.col("b.n")) * (1000 - t)
+    on = (F.col("a.word") == F.col("b.word")) & (F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))) * (1000 + t) <= most)
+    on = on & ((F.col("a.place") + F.col("b.place")) * (1000 + t) <= most) & (F.col("b.n") * t <= F.col("a.n") * 1000)
+    on = on & ((F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.unit") < F.col("b.unit")))
+    met = [rows(x, True).alias("a").join(rows(1 - x, False).alias("b"), on) for x in ((0, 1) if across else (0,))]
+    return reduce(DataFrame.union, [m.select(F.least("a.unit", "b.unit").alias("a"), F.greatest("a.unit", "b.unit").alias("b")) for m in met]).distinct()
 
 
 def exact(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
@@ -208,15 +213,13 @@ def exact(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
 
 def _linked(tables: tuple[DataFrame, ...], id_column: str, columns: tuple[str, ...], threshold: float) -> tuple[DataFrame, DataFrame]:
     """((id, side, key, unit) of the records with words, (a, b) of the similar different word sets)."""
-    sources = [x.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]) for x in tables]
-    # the compact part is read several times, so it is kept; the words are cheaper to make again than to keep
-    ids = [_scan(s, "id long, key long, unit long", _ids, True).select("id", F.lit(side).alias("side"), "key", "unit") for side, s in enumerate(sources)]
-    ids = write_shared(reduce(DataFrame.union, ids), "similar-ids").distinct()
-    # kept too, so that only the words of candidates are sent, past a broadcast of them where they are few
-    pairs = write_shared(candidates(sources, threshold), "similar-candidates")
+    parts = [x.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.lit(side).alias("side"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]) for side, x in enumerate(tables)]
+    words = word_table(reduce(DataFrame.union, parts))
+    # kept, so that only candidates' words are sent, past a broadcast of their units where they are few
+    pairs = write_shared(candidates(words, len(tables) > 1, threshold), "similar-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    words = reduce(DataFrame.union, [_scan(s, "unit long, w array<long>", _words) for s in sources])
-    return ids, exact(pairs, words.join(asked, "unit", "left_semi").groupBy("unit").agg(F.first("w").alias("w")), threshold)
+    sets = words.select("unit", "w").join(asked, "unit", "left_semi").groupBy("unit").agg(F.first("w").alias("w"))
+    return words.select("id", "side", "key", "unit").distinct(), exact(pairs, sets, threshold)
 
 
 def similar_groups(df: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("question", "query"), threshold: float = 0.75) -> DataFrame:
