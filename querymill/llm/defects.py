@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -11,15 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that stand for no value.
-PLACEHOLDERS = {"null", "none", "nil", "nan", "n a", "na", "undefined", "empty", "blank", "missing", "void", "tbd", "todo", "no value", "no answer", "no query", "no sql", "not available", "not applicable", "unknown"}
+PLACEHOLDERS = {
+    "null", "none", "nil", "nan", "n a", "na", "undefined", "empty", "blank", "missing", "void", "tbd", "todo", "no value", "no answer",
+    "no query", "no sql", "not available", "not applicable", "unknown",
+}
 #: Words that open a statement.
-OPENERS = {"select", "with", "insert", "update", "delete", "create", "drop", "alter", "values", "replace", "merge", "explain", "pragma", "truncate"}
+OPENERS = {
+    "select", "with", "insert", "update", "delete", "create", "drop", "alter", "values", "replace", "merge", "explain", "pragma", "truncate",
+}
 #: Words after which SQL can't stop.
 OPEN_WORDS = {
-    "select", "distinct", "from", "where", "and", "or", "not", "in", "like", "ilike", "glob", "regexp", "rlike", "between", "is", "on", "join", "inner", "left", "right", "full", "outer", "cross", "natural", "as", "by", "group", "order", "having",
-    "limit", "offset", "union", "except", "intersect", "with", "recursive", "exists", "case", "when", "then", "else", "set", "into", "values", "using", "over", "partition", "escape", "collate", "nulls", "insert", "update", "delete", "create", "drop",
-    "alter", "table", "interval", "any", "some", "explain", "merge", "returning",
-}
+    "select", "distinct", "from", "where", "and", "or", "not", "in", "like", "ilike", "glob", "regexp", "rlike", "between", "is", "on", "join",
+    "inner", "left", "right", "full", "outer", "cross", "natural", "as", "by", "group", "order", "having", "limit", "offset", "union",
+    "except", "intersect", "with", "recursive", "exists", "case", "when", "then", "else", "set", "into", "values", "using", "over",
+    "partition", "escape", "collate", "nulls", "insert", "update", "delete", "create", "drop", "alter", "table", "interval", "any", "some",
+    "explain", "merge", "returning",
+}
 #: Words that are never a name without quotes.
 RESERVED = OPEN_WORDS | {"all", "asc", "desc", "end", "null", "true", "false", "first", "last", "only"}
 JOINERS = {"join", "inner", "left", "right", "full", "outer", "cross", "natural"}
@@ -226,60 +235,105 @@ _REFUSAL = [
 ]
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?;])\s+")
+
+
 def refuses(text: str) -> bool:
-    """Whether a reply in English declines to answer."""
+    """Whether a reply in English declines to answer, in any of its sentences."""
     low = re.sub(r"\s+", " ", text.replace("’", "'").replace("‘", "'").replace("`", "'").lower()).strip(" \t\n-/*#>\"'([{.")
-    return len(low) < 600 and any(p.search(low) for p in _REFUSAL)
+    sentences = _SENTENCE_END.split(low)
+    return any(p.search(part) for part in ([low] if len(sentences) == 1 else [*sentences, " ".join(sentences[:2])]) for p in _REFUSAL)
 
 
 #: Signs of program code other than SQL.
 _CODE = [
     re.compile(p, re.M)
     for p in (
-        r"%>%|\|>\s*\w+\(|<-\s*\w+|\blibrary\(", r"\bdb(?:\.\w+|\[.+?\])+\.(?:find|aggregate|count|distinct)\w*\(", r"=>|===|\b(?:const|let|var)\s+\w+\s*=|\bfunction\b.*\{|console\.log", r"^\s*(?:for \w+(?:\s*,\s*\w+)* in \S.*|(?:while|if|elif)\b.*[=<>()\[\]].*|def \w+\(.*\).*|class \w+(?:\(.*\))?|with \w[\w.]*\(.*\) as \w+):\s*$|^\s*(?:from \w[\w.]* )?import \w|\bprint\(|\blambda \w*:",
-        r"\w+\[\w*\[?['\"].+?['\"]\]|\bpd\.\w+|\bdf\b\s*[=.\[]|\.(?:groupby|loc|iloc|head|filter|map|select|where|sort_values|merge|query)\(", r"\b(?:public|private|static|void|System\.out|new \w+\()|\.stream\(\)|::\w+\)", r"<\?php|\$\w+\s*(?:=|->)|->\w+\(", r"\b(?:puts|fmt\.Print\w*|println!?|printf|func \w*\()|\bdo \|\w+\|",
-        r"^\s*(?:awk|grep|sed|cat|curl|jq|cut|sort)\s.+\|?|\$\{\w+\}|^\s*\$\w+\s*=", r"\bMATCH\s*\(.*\).*\bRETURN\b", r"^=\s*[A-Z]+\(.+\)$", r"^\s*\{\s*(?:\w+\s*(?:\(.*?\))?\s*\{|[\"']\w+[\"']\s*:)", r"\bfrom \w+ in \w+\b.*\bselect\b", r"^\s*\w+\s*=\s*\w[\w.]*\(.*\);?\s*$|\)\s*\{\s*$",
+        r"%>%|\|>\s*\w+\(|<-\s*\w+|\blibrary\(",
+        r"\bdb(?:\.\w+|\[.+?\])+\.(?:find|aggregate|count|distinct)\w*\(",
+        r"=>|===|\b(?:const|let|var)\s+\w+\s*=|\bfunction\b.*\{|console\.log",
+        r"^\s*(?:for \w+(?:\s*,\s*\w+)* in \S.*|(?:while|if|elif)\b.*[=<>()\[\]].*|def \w+\(.*\).*|class \w+(?:\(.*\))?|with \w[\w.]*\(.*\) as \w+):\s*$",
+        r"^\s*(?:from \w[\w.]* )?import \w|\bprint\(|\blambda \w*:",
+        r"\w+\[\w*\[?['\"].+?['\"]\]|\bpd\.\w+|\bdf\b\s*[=.\[]",
+        r"\b(?:public|private|static|void|System\.out|new \w+\()|\w::\w+",
+        r"<\?php|\$\w+\s*(?:=|->)|->\w+\(",
+        r"\b(?:puts|fmt\.Print\w*|println!?|printf|func \w*\()|\bdo \|\w+\|",
+        r"^\s*(?:awk|grep|sed|cat|curl|jq|cut|sort)\s.+\|?|\$\{\w+\}|^\s*\$\w+\s*=",
+        r"\bMATCH\s*\(.*\).*\bRETURN\b",
+        r"^=\s*[A-Z]+\(.+\)$",
+        r"^\s*\{\s*(?:\w+\s*(?:\(.*?\))?\s*\{|[\"']\w+[\"']\s*:)",
+        r"\bfrom \w+ in \w+\b.*\bselect\b",
+        r"^\s*\w+\s*=\s*\w[\w.]*\(.*\);?\s*$|\)\s*\{\s*$",
+        # of any language: a call of a member, of what a call gave or on a closing bracket
+        r"(?<![.\w])[A-Za-z_]\w*(?:\.\w+)*[.]\w+!?\(|[)\]}]\s*\.\s*\w+!?\s*[({]",
     )
-]
-
-#: Frequent function words of languages written in Latin letters.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that for it with as on be at by this are from or an have not which you we can will was but if they their there what all when your would should has do more",
-    "de": "der die das und ist nicht ein eine einen den dem des mit für auf von zu im sich auch wird werden hat haben oder aber wenn dass nach bei aus man muss als wie zuerst danach dazu weil größer",
-    "fr": "le la les des une est et dans pour que qui sur avec pas par plus ne il elle au aux du ce cette sont faut puis car mais ou comme dont vaut si on nous vous d'abord",
-    "es": "el la los las una es y en que de por con para se no su al del como más pero hay esta este porque después primero cuyo son tiene ser está lo",
-    "pt": "o os as uma é e em que de por com para se não seu ao do da no na como mais mas há esta este porque depois primeiro são tem ser está pois preciso",
-    "it": "il lo gli una è e in che di per con non si al del della nel nella come più ma sono questa questo perché poi prima bisogna ci quel anche",
-    "nl": "de het een en is niet in van op met voor te dat die er aan als ook wordt worden moet naar bij maar om je daarna eerst want staan deze",
-    "pl": "jest i w na z do nie się że o po przez dla jak oraz ale lub ponieważ trzeba potem najpierw według tym ma są być a taką",
-    "sv": "och det att en ett som är på för med av den inte till har de om kan ska från",
-    "da": "og det at en et som er på for med af den ikke til har de om kan skal fra",
-    "cs": "je a v na z do ne se že o po pro jak ale nebo protože podle musí být tabulky",
-    "ro": "este și în la cu de nu se că pe pentru din care sau dar mai trebuie",
-    "tr": "ve bir bu için ile da de ne gibi daha olan olarak çok en sonra önce",
-    "fi": "ja on ei että se oli ovat hän mutta tai kun joka myös kuin ensin sitten",
-    "hu": "a az és hogy nem egy is van meg ez de ha csak kell majd szerint",
-    "id": "yang dan di ke dari untuk dengan pada ini itu adalah tidak akan atau karena",
-}
-_FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+]
+#: Marks that prose hardly has; of more than DENSE of the characters, if at least MARKS, text is code.
+_MARK = re.compile(r"[{}()\[\]=<>|&$@\\;*+]|->|:=|::")
+DENSE, MARKS = 0.12, 6
+
+#: The model of English: a sequence of GRAM letters, word edges included, is English if the training text has it
+#: at least twice. Text of at least LEAST_WORDS words is foreign if less than ENGLISH of its sequences are English.
+GRAM, LEAST_WORDS, ENGLISH = 4, 3, 0.7
+_OF_CODE = regex.compile(r"[\d_=<>{}\[\]/\\@#|`]")
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def _grams(word: str) -> list[str]:
+    edged = f" {word} "
+    return [edged[i : i + GRAM] for i in range(max(1, len(edged) - GRAM + 1))]
 
 
-def foreign(text: str) -> bool:
-    """Whether text is prose in a human language other than English, by scripts and function words."""
+@lru_cache(maxsize=1)
+def english() -> frozenset[str]:
+    """The model, trained once a worker on the English that comes with Python: the topics of its documentation."""
+    from pydoc_data.topics import topics
+
+    seen: Counter = Counter()
+    for word, n in Counter(_LETTERS.findall(" ".join(topics.values()).lower())).items():
+        for g in _grams(word):
+            seen[g] += n
+    return frozenset(g for g, n in seen.items() if n >= 2)
+
+
+def prose(text: str, known: str = "") -> list[str]:
+    """The words of a text, without identifiers, numbers, names (capitals within a sentence) and the words of `known`."""
+    skipped = set(_LETTERS.findall(known.lower()))
+    out: list[str] = []
+    first = True
+    for token in text.split():
+        if not _OF_CODE.search(token):
+            for word in _LETTERS.findall(token):
+                if word.lower() not in skipped and (first or not word[0].isupper()):
+                    out.append(word.lower())
+                first = False
+        first = token[-1] in ".!?:;"
+    return out
+
+
+def foreign(text: str, question: str = "") -> bool:
+    """Whether text is prose in a human language other than English: by its script, else by the model of English.
+
+    Words of the question say nothing: an answer in any language names the tables and values it is about.
+    """
     letters = len(_LETTER.findall(text))
     if not letters:
         return False
     if len(_NOT_LATIN.findall(text)) >= 0.3 * letters:
         return True
-    found = regex.findall(r"[\p{L}']+", text.lower())
-    hits = {k: sum(1 for w in found if w in v) for k, v in _FUNCTION.items()}
-    most = max(v for k, v in hits.items() if k != "en")
-    return most >= 2 and most > hits["en"] or most >= 1 and hits["en"] == 0 and bool(regex.search(r"[^\x00-\x7f’‘“”–—…\ufeff]", text))
+    words = prose(text, question)
+    if len(words) < LEAST_WORDS:
+        return False
+    grams = [g for w in words for g in _grams(w)]
+    return sum(g in english() for g in grams) < ENGLISH * len(grams)
 
 
 def coded(text: str) -> bool:
-    """Whether text is program code other than SQL."""
-    return any(p.search(text) for p in _CODE)
+    """Whether text, which is no SQL, is program code."""
+    if any(p.search(text) for p in _CODE):
+        return True
+    marks = len(_MARK.findall(text))
+    return marks >= MARKS and marks > DENSE * len(re.sub(r"\s", "", text))
 
 
 def _unwrapped(answer: str) -> tuple[str, str]:
@@ -315,7 +369,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
         if not _WORD.search(comments):
             return "empty"
         said = re.sub(r"--|/\*|\*/", " ", comments)
-        return "copy" if copied(question, said) else "refusal" if refuses(said) else "other_language" if foreign(said) else "empty"
+        return "copy" if copied(question, said) else "refusal" if refuses(said) else "other_language" if foreign(said, question) else "empty"
     if len(words) <= 3 and " ".join(words).lower() in PLACEHOLDERS:
         return "empty"
     bare = _LEAD.sub("", text)
@@ -342,14 +396,14 @@ def defect(question: str | None, answer: str | None) -> str | None:
         return "truncated"
     if refuses(text):
         return "refusal"
-    if _SPARQL.match(bare) or coded(text) or foreign(text):
+    if _SPARQL.match(bare) or coded(text) or foreign(text, question):
         return "other_language"
     return None
 
 
 def _sql_like(text: str) -> bool:
     """Whether text that begins with a statement's word is SQL rather than an English sentence such as "Select the ..."."""
-    head = text[:400].lower()
+    head = text.lower()
     if head.startswith("select"):
         rest = head[6:].strip()
         if not rest:

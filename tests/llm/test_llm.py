@@ -196,6 +196,45 @@ def test_defects(answer, kind):
     assert defects.defect(Q, answer) == kind
 
 
+FOREIGN = """Broj korisnika dobije se brojanjem redaka tablice
+Käyttäjien määrä saadaan laskemalla taulun rivit
+Jumlah pengguna didapat dengan menghitung baris tabel
+Antallet brukere finnes ved å telle radene i tabellen
+Počet uživatelů zjistíme spočítáním řádků tabulky
+Kullanıcı sayısı tablonun satırları sayılarak bulunur
+A felhasználók száma a tábla sorainak megszámlálásával kapható meg
+Numărul de utilizatori se obține numărând rândurile tabelului
+Số người dùng có được bằng cách đếm các hàng
+De gebruikers worden geteld per rij
+Lietotāju skaitu iegūst, saskaitot tabulas rindas
+Vartotojų skaičius gaunamas suskaičiuojant lentelės eilutes
+Kasutajate arv saadakse tabeli ridade loendamisel
+Numri i përdoruesve merret duke numëruar rreshtat
+Idadi ya watumiaji hupatikana kwa kuhesabu safu za jedwali
+Erabiltzaile kopurua taulako errenkadak zenbatuz lortzen da
+El nombre d'usuaris s'obté comptant les files de la taula
+Fjöldi notenda fæst með því að telja raðir töflunnar
+Ang bilang ng mga gumagamit ay makukuha sa pagbilang
+Število uporabnikov dobimo s štetjem vrstic tabele""".splitlines()
+ENGLISH = ["You need to filter the table first and then count the rows", "Just count all rows of singer grouped by city please", "the answer depends on the year", "Here is the query you asked for", "All departments, sorted alphabetically", "singer Marie Curie from Kraków"]
+PROGRAMS = ["users.iter().count()", "return users.stream().filter(u -> u.active).count();", "items.each { |x| puts x }", "len([u for u in users if u['age'] > 3])", "int n = 0; for (int i = 0; i < k; i++) { n += a[i]; }", "users |> Enum.count()", "std::count(v.begin(), v.end(), 3)"]
+
+
+def test_languages_and_programs_that_no_list_names():
+    assert [t for t in FOREIGN if defects.defect(Q, t) != "other_language"] == []
+    assert [t for t in ENGLISH if defects.defect(Q, t) is not None] == []
+    assert [t for t in PROGRAMS if defects.defect(Q, t) != "other_language"] == []
+
+
+def test_long_replies_are_read_whole():
+    more = "The table has many columns and each of them is described in the notes. " * 30
+    assert defects.defect(Q, "I'm sorry, but I can't help with that. " + more) == "refusal"
+    assert defects.defect(Q, more + "I cannot write this query.") == "refusal"
+    assert defects.defect(Q, more) is None
+    wide = "SELECT " + ", ".join(f"column_{i}" for i in range(200))
+    assert defects.defect(Q, wide + " FROM t WHERE") == "truncated" and defects.defect(Q, wide + " FROM t") is None
+
+
 def test_defects_of_exchanged_and_null_fields(spark):
     assert defects.defect("SELECT name FROM singer", Q) is None and defects.defect(None, None) is None
     df = records(spark, (1, Q, None), (1, Q, None), (2, None, None), (None, Q, ""), (3, Q, "SELECT a FROM t WHERE b IN (" + "1, " * 50_000 + "2)"), (4, "", ""))
