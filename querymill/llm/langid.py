@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,7 +12,7 @@ from functools import lru_cache
 import pandas as pd
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: How a language is written in labels besides its two-letter code.
@@ -35,6 +37,10 @@ SAMPLE, LONGEST = 250, 20_000
 DICTIONARY, LEVEL, ROUNDS = 24_576, 6, 1
 #: A sentence is left undecided unless the best language saves this many bytes and this share over the next.
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.03
+#: Letters below which zstandard can't tell a sentence's language: it counts with the stretch it stands in.
+SHORT = 12
+#: Bits by which the best language of a document must win if zstandard decides none of its sentences.
+MARGIN_BITS = 2.0
 #: A language counts if at least this share of the letters of a document's sentences is in it.
 SHARE = 0.2
 
@@ -42,8 +48,8 @@ SHARE = 0.2
 REMEMBERED = 200_000
 
 _KEYWORDS = (
-    "SELECT|FROM|WHERE|AND|OR|NOT|IN|LIKE|BETWEEN|IS|NULL|ON|JOIN|INNER|LEFT|RIGHT|OUTER|CROSS|AS|BY|GROUP|ORDER|HAVING|LIMIT|OFFSET|UNION|ALL|EXCEPT|INTERSECT|WITH|EXISTS|CASE|WHEN|THEN|ELSE|END|DISTINCT|COUNT|SUM|AVG|MIN|MAX|ASC|DESC|"
-    "INSERT|INTO|VALUES|UPDATE|SET|DELETE|CREATE|TABLE|PRIMARY|KEY|FOREIGN|REFERENCES|INTEGER|TEXT|REAL|DATE|VARCHAR"
+    "SELECT|FROM|WHERE|AND|OR|NOT|IN|LIKE|BETWEEN|IS|NULL|ON|JOIN|INNER|LEFT|RIGHT|OUTER|CROSS|AS|BY|GROUP|ORDER|HAVING|LIMIT|OFFSET|UNION|ALL|EXCEPT|"
+    "INTERSECT|WITH|EXISTS|CASE|WHEN|THEN|ELSE|END|DISTINCT|COUNT|SUM|AVG|MIN|MAX|ASC|DESC|INSERT|INTO|VALUES|UPDATE|SET|DELETE|CREATE|TABLE|PRIMARY|KEY|FOREIGN|REFERENCES|INTEGER|TEXT|REAL|DATE|VARCHAR"
 )
 _QUOTED = r"'(?:[^'\n]|'')*'|\"[^\"\n]*\""
 #: Where a statement may begin, and how far its tokens reach: literals, operators, keywords, and names
@@ -64,6 +70,7 @@ _NO_WORD = re.compile(r"[\d_@#{}<>|\\=`\u200b-\u200f\ufeff\u2060]|://")
 _SENTENCE = re.compile(r"[^.!?…\n]+(?:[.!?…]+(?!\s|$)[^.!?…\n]+)*[.!?…]*[\"”»')]*")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}")
+_WORDS = re.compile(r"[^\W\d_]+")
 _CYRILLIC = regex.compile(r"\p{Cyrillic}")
 
 
@@ -91,6 +98,7 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
 
     Positions are those of the text; letters are those of the sentence's words. Prose is what is
     classified: names belong to no language either, so words with a capital within a sentence are dropped.
+    Sentences of fewer than SHORT letters in a row are taken together.
     """
     if "```" in text:
         text = _FENCED.sub(lambda m: _NOT_BREAK.sub(" ", m.group()), text)
@@ -100,21 +108,40 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
     text = _QUOTATION.sub(lambda m: " " * len(m.group()), text)
     strange = _NO_WORD.search
     out = []
+    short: list[tuple[str, int]] = []  # short sentences in a row, and where they are
+    begin = end = 0
+
+    def close() -> None:
+        if short:
+            out.append((begin, end, " ".join(p for p, _ in short), sum(n for _, n in short)))
+            short.clear()
+
     for m in _SENTENCE.finditer(text):
         words = [w for w in m.group().split() if not strange(w)]
-        letters = len(_NO_LETTER.sub("", "".join(words)))
-        if letters >= 12:
-            common = words[:1] + [w for w in words[1:] if not w[0].isupper()]
-            prose = " ".join(common) if len(common) * 2 > len(words) else " ".join(words).lower()
+        prose, letters = _prose(words)
+        if letters >= SHORT:
+            close()
             out.append((m.start(), m.end(), prose, letters))
+        elif letters:
+            begin, end = begin if short else m.start(), m.end()
+            short.append((prose, letters))
+    close()
     return out
 
 
+def _prose(words: list[str]) -> tuple[str, int]:
+    """(what is classified of a sentence's words, their letters)."""
+    letters = len(_NO_LETTER.sub("", "".join(words)))
+    common = words[:1] + [w for w in words[1:] if not w[0].isupper()]
+    return " ".join(common) if len(common) * 2 > len(words) else " ".join(words).lower(), letters
+
+
 class Classifier:
     """Chooses the language whose raw-content dictionary lets zstandard make a text smallest."""
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.by_script: dict[bool, list[tuple[str, object]]] = {False: [], True: []}
+        self.plain: dict[str, str] = {}
         self.known: dict[str, tuple[str | None, float]] = {}
         for language, content in sorted(dictionaries.items()):
             if len(content) < 8:
@@ -123,6 +150,7 @@ class Classifier:
             trained.precompute_compress(level=LEVEL)
             compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False)
             text = content.decode("utf-8", "ignore")
+            self.plain[language] = _plain(text)
             self.by_script[len(_CYRILLIC.findall(text)) * 2 > len(_LETTERS.findall(text))].append((language, compressor.compress))
 
     def __call__(self, prose: str) -> tuple[str | None, float]:
@@ -147,6 +175,34 @@ class Classifier:
         return sizes[0][1], confidence
 
 
+    def by_phrases(self, prose: str) -> tuple[str | None, float]:
+        """The same decision for text of which zstandard, which counts bytes, saves too few.
+
+        The text is cut into the longest phrases that a dictionary has, each at the bits of how rare it is there.
+        """
+        text = _plain(prose)
+        bits = sorted((_phrase_bits(text, content), language) for language, content in self.plain.items())
+        if not text.strip() or not bits:
+            return None, 0.0
+        confidence = 1.0 / sum(2.0 ** min(bits[0][0] - b, 0.0) for b, _ in bits)
+        return (bits[0][1] if len(bits) == 1 or bits[1][0] - bits[0][0] >= MARGIN_BITS else None), confidence
+
+
+def _plain(text: str) -> str:
+    return f" {' '.join(_WORDS.findall(text.lower()))} "
+
+
+def _phrase_bits(text: str, content: str) -> float:
+    at, bits = 0, 0.0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in content:
+            end += 1
+        bits += math.log2((len(content) + 1) / (content.count(text[at:end]) + 0.1))
+        at = end
+    return bits
+
+
 def _dictionaries(pool: dict[str, list[str]]) -> dict[str, bytes]:
     """Of each language, up to DICTIONARY bytes of sentences that cover its word pairs.
 
@@ -177,10 +233,7 @@ def _pairs(prose: str) -> list[tuple[str, str]]:
 
 def hash_of(text: str) -> int:
     """A stable hash: the same order of the sample on every driver."""
-    h = 0
-    for b in text.encode("utf-8", "surrogatepass"):
-        h = (h * 1000003 ^ b) & 0xFFFFFFFF
-    return h
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
 def train(sample: list[tuple[str, str]]) -> dict[str, bytes]:
@@ -190,7 +243,7 @@ def train(sample: list[tuple[str, str]]) -> dict[str, bytes]:
     sentence leaves its pool if it is decided for another language. After ROUNDS of this the pools hold
     what their languages have in common rather than what their labels say.
     """
-    items = [(label, s[2], hash_of(text) & 1) for label, text in sample for s in sentences(text)]
+    items = [(label, s[2], hash_of(text) & 1) for label, text in sample for s in sentences(text) if s[3] >= SHORT]
     # a sentence stays under its label if its words are more at home there than under any other label
     size = Counter(label for label, _, _ in items)
     times: dict[str, Counter] = defaultdict(Counter)
@@ -227,12 +280,23 @@ def train(sample: list[tuple[str, str]]) -> dict[str, bytes]:
 def fit(df: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> dict[str, bytes]:
     """train() on a sample of about `sample` labelled documents a language, chosen by a hash of their ids."""
     spread = 1 << 20
-    known = df.select(F.pmod(F.xxhash64(id_column), F.lit(spread)).alias("h"), label_language(F.col(label)).alias("l"), F.col(text).alias("t")).where(f"l is not null and length(t) between 1 and {LONGEST}")
-    counts = dict(known.groupBy("l").count().collect())
+    known = df.select(F.pmod(F.xxhash64(id_column), F.lit(spread)).alias("h"), label_language(F.col(label)).alias("l"), F.col(text).alias("t")).where("l is not null")
+    counts = dict(known.groupBy("l").count().collect())  # reads the labels only
     if not counts:
         return {}
     below = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, min(spread, spread * sample // n))])
-    return train([(r["l"], r["t"]) for r in known.where(F.col("h") < below[F.col("l")]).select("l", "t").collect()])
+    chosen = known.where((F.col("h") < below[F.col("l")]) & F.length("t").between(1, LONGEST))
+    return train([(r["l"], r["t"]) for r in chosen.select("l", "t").collect()])
+
+
+def save(dictionaries: dict[str, bytes], spark: SparkSession, path: str) -> None:
+    """Writes fitted dictionaries, so that later runs need no training pass."""
+    spark.createDataFrame(sorted((k, bytearray(v)) for k, v in dictionaries.items()), "lang string, content binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> dict[str, bytes]:
+    """Dictionaries that save() wrote, DICTIONARY bytes a language."""
+    return {r["lang"]: bytes(r["content"]) for r in spark.read.parquet(path).collect()}
 
 
 @lru_cache(maxsize=2)
@@ -243,11 +307,13 @@ def _classifier(packed: tuple[tuple[str, bytes], ...]) -> Classifier:
 def segments_of(text: str, classify: Classifier) -> list[tuple[int, int, str | None, float, int]]:
     """(start, end, language, confidence, letters) of the stretches of one language.
 
-    An undecided sentence joins the stretch before it, or the first one after it.
+    An undecided sentence joins the stretch before it, or the first one after it. If none is decided, all
+    of them are one stretch, of the language its phrases tell, if any.
     """
     out: list[list] = []
-    for start, end, prose, letters in sentences(text):
-        language, confidence = classify(prose)
+    found = sentences(text)
+    for start, end, prose, letters in found:
+        language, confidence = classify(prose) if letters >= SHORT else (None, 0.0)
         if out and (language is None or language == out[-1][2] or out[-1][2] is None):
             last = out[-1]
             last[1], last[2] = end, last[2] or language
@@ -255,6 +321,9 @@ def segments_of(text: str, classify: Classifier) -> list[tuple[int, int, str | N
             last[4] += letters
         else:
             out.append([start, end, language, confidence * letters, letters])
+    if len(out) == 1 and out[0][2] is None:
+        language, confidence = classify.by_phrases(" ".join(x[2] for x in found))
+        out[0][2:4] = language, confidence * out[0][4]
     return [(a, b, lang, c / n, n) for a, b, lang, c, n in out if lang is not None]
 
 

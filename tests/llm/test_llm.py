@@ -413,6 +413,16 @@ def test_languages(spark, dictionaries):
     assert langid.mislabelled(df.limit(0)).count() == 0 and langid.documents(df, dictionaries={}).count() == 0
 
 
+def test_short_texts_and_kept_dictionaries(spark, dictionaries, tmp_path):
+    docs = {1: "Kurz. Ja. Nein. Gut so.", 2: "Das ist gut. Wie alt?", 3: "It is so. Why? No.", 4: "C'est bon. Pas mal.", 5: "Так. Ні. Це воно.", 6: "No.", 7: "1. 2. 3.", 8: SAMPLES["de"] + " Ja. Nein."}
+    df = spark.createDataFrame([(i, t, None) for i, t in docs.items()], "doc_id long, text string, lang string")
+    langid.save(dictionaries, spark, str(tmp_path / "dictionaries"))
+    kept = langid.load(spark, str(tmp_path / "dictionaries"))
+    assert kept == dictionaries
+    got = {r["doc_id"]: r["lang"] for r in langid.mislabelled(df, dictionaries=kept).collect()}
+    assert got == {1: "de", 2: "de", 3: "en", 4: "fr", 5: "uk", 8: "de"}
+
+
 def test_held_out_languages(spark, dictionaries):
     """Sentences of documents beyond the training sample, against the documents' own labels, which are right for most."""
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 7 = 0")
