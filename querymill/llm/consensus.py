@@ -29,26 +29,33 @@ def verdict_code(verdict: Column) -> Column:
 
 
 def usable_votes(voters: DataFrame) -> DataFrame:
-    """(item, voter, code): of each model and item the latest vote, by ts, among those with a verdict.
+    """(item, voter, panel, code): of each model and item the latest vote, by ts, among those with a verdict.
 
     Rows that occur twice are one vote; of different verdicts at the same ts the last in the order of
-    receipt, then of VERDICTS, counts. Votes without item or model are none.
+    receipt, then of VERDICTS, counts. Votes without item or model are none. panel is false.
     """
-    votes = voters.select(F.col("item_id").alias("item"), F.col("model").alias("voter"), verdict_code(F.col("verdict")).alias("code"), "ts", "received_at").where("item is not null and voter is not null and code is not null")
-    return votes.groupBy("item", "voter").agg(F.max_by("code", F.struct("ts", "received_at", "code")).alias("code"))
+    votes = voters.select(F.col("item_id").alias("item"), F.col("model").alias("voter"), verdict_code(F.col("verdict")).alias("code"), "ts", "received_at")
+    votes = votes.where("item is not null and voter is not null and code is not null")
+    last = votes.groupBy("item", "voter").agg(F.max_by("code", F.struct("ts", "received_at", "code")).alias("code"))
+    return last.select("item", "voter", F.lit(False).alias("panel"), "code")
 
 
 def panel_votes(verdicts: DataFrame) -> DataFrame:
-    """(item, voter, code) of the original and human verdicts; "Mixed" and null are no vote, of several the last in the order of VERDICTS."""
-    long = verdicts.where("id is not null").select(F.col("id").cast("string").alias("item"), F.explode(F.array(F.struct(F.lit("original").alias("voter"), F.col("original").alias("v")), F.struct(F.lit("human").alias("voter"), F.col("human").alias("v")))).alias("x"))
-    return long.select("item", "x.voter", verdict_code(F.col("x.v")).alias("code")).where("code is not null").groupBy("item", "voter").agg(F.max("code").alias("code"))
+    """(item, voter, panel, code) of the original and human verdicts; "Mixed" and null are no vote, of several the last in the order of VERDICTS.
+
+    panel is true, so that a model that happens to be called human or original is a voter of its own.
+    """
+    sides = F.array(*[F.struct(F.lit(name).alias("voter"), F.col(name).alias("v")) for name in ("original", "human")])
+    long = verdicts.where("id is not null").select(F.col("id").cast("string").alias("item"), F.explode(sides).alias("x"))
+    coded = long.select("item", "x.voter", F.lit(True).alias("panel"), verdict_code(F.col("x.v")).alias("code")).where("code is not null")
+    return coded.groupBy("item", "voter", "panel").agg(F.max("code").alias("code"))
 
 
 @dataclass
 class Model:
     """Posterior of the community confusion model. logs: (voters, truth, vote) expected log probabilities."""
 
-    voters: list[str]
+    voters: list[tuple[bool, str]]
     prior: np.ndarray
     logs: np.ndarray
     confusion: np.ndarray
@@ -104,7 +111,7 @@ def maximise(counts: np.ndarray, prior: np.ndarray, types: np.ndarray | None) ->
     return _dirichlet_logs(own), own / own.sum(-1, keepdims=True), types
 
 
-def fit(patterns: DataFrame, voters: list[str]) -> Model:
+def fit(patterns: DataFrame, voters: list[tuple[bool, str]]) -> Model:
     """The model, from patterns (codes, n): how many items have exactly these votes.
 
     A round is one pass over the patterns; each task returns its expected counts, 16 numbers a voter,
@@ -155,20 +162,23 @@ def fit(patterns: DataFrame, voters: list[str]) -> Model:
     return Model(voters, _dirichlet_logs(1.0 + truth), logs, confusion, types, counts, done)
 
 
-def _prepared(voters: DataFrame, verdicts: DataFrame | None) -> tuple[DataFrame, list[str]]:
-    """(items with their sorted codes, names of the voters)."""
+def _prepared(voters: DataFrame, verdicts: DataFrame | None) -> tuple[DataFrame, list[tuple[bool, str]]]:
+    """(items with their sorted codes, the voters as (panel, name))."""
     votes = usable_votes(voters)
     if verdicts is not None:
         votes = votes.unionByName(panel_votes(verdicts))
-    names = [r[0] for r in votes.select("voter").distinct().limit(MOST_VOTERS + 1).collect()]
+    names = sorted((r["panel"], r["voter"]) for r in votes.select("panel", "voter").distinct().limit(MOST_VOTERS + 1).collect())
     if len(names) > MOST_VOTERS:
         raise ValueError(f"more than {MOST_VOTERS} voters")
-    names.sort()
-    spark = voters.sparkSession
-    numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "voter string, number int")
-    coded = votes.join(numbers, "voter").select("item", (F.col("number") * len(VERDICTS) + F.col("code")).alias("code"), F.col("code").alias("v"), F.col("voter").isin("original", "human").alias("panel"))
+    numbers = voters.sparkSession.createDataFrame([(p, n, i) for i, (p, n) in enumerate(names)], "panel boolean, voter string, number int")
+    coded = votes.join(numbers, ["panel", "voter"]).select("item", (F.col("number") * len(VERDICTS) + F.col("code")).alias("code"), F.col("code").alias("v"), "panel")
     model = ~F.col("panel")
-    items = coded.groupBy("item").agg(F.sort_array(F.collect_list("code")).alias("codes"), F.count_if(model).alias("votes"), F.countDistinct(F.when(model, F.col("v"))).alias("different"), *[F.count_if(model & (F.col("v") == i)).alias(f"n{i}") for i in range(len(VERDICTS))])
+    items = coded.groupBy("item").agg(
+        F.sort_array(F.collect_list("code")).alias("codes"),
+        F.count_if(model).alias("votes"),
+        F.countDistinct(F.when(model, F.col("v"))).alias("different"),
+        *[F.count_if(model & (F.col("v") == i)).alias(f"n{i}") for i in range(len(VERDICTS))],
+    )
     return write_shared(items, "votes"), names
 
 
@@ -177,7 +187,8 @@ def _fitted(voters: DataFrame, verdicts: DataFrame | None) -> tuple[DataFrame, M
     if not names:
         k = len(VERDICTS)
         return items, Model([], np.zeros(k), np.zeros((0, k, k)), np.zeros((0, k, k)), np.zeros((0, COMMUNITIES)), np.zeros((0, k, k)), 0)
-    return items, fit(items.groupBy("codes").agg(F.count(F.lit(1)).alias("n")), names)
+    # the rounds read the patterns, which are far fewer than the items, and group nothing again
+    return items, fit(write_shared(items.groupBy("codes").agg(F.count(F.lit(1)).alias("n")), "vote-patterns"), names)
 
 
 def consensus(voters: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
@@ -212,7 +223,7 @@ def disputed(voters: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
 
 
 def reliability(voters: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """(voter, labels, reliability, community, membership): how often each voter is expected to be right.
+    """(voter, panel, labels, reliability, community, membership): how often each voter is expected to be right.
 
     reliability weighs the diagonal of the voter's confusion matrix by how frequent the truths are among
     all items; it leans on the voter's community where labels are few.
@@ -220,7 +231,7 @@ def reliability(voters: DataFrame, verdicts: DataFrame | None = None) -> DataFra
     _, model = _fitted(voters, verdicts)
     truth = np.exp(model.prior)
     rows = []
-    for i, name in enumerate(model.voters):
+    for i, (panel, name) in enumerate(model.voters):
         right = float((np.diag(model.confusion[i]) * truth).sum() / truth.sum())
-        rows.append((name, int(round(model.counts[i].sum())), right, int(model.types[i].argmax()), float(model.types[i].max())))
-    return voters.sparkSession.createDataFrame(rows, "voter string, labels long, reliability double, community int, membership double")
+        rows.append((name, panel, int(round(model.counts[i].sum())), right, int(model.types[i].argmax()), float(model.types[i].max())))
+    return voters.sparkSession.createDataFrame(rows, "voter string, panel boolean, labels long, reliability double, community int, membership double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,57 +42,65 @@ def exponent_for_entropy(shares: dict[str, float], target: float, most: float =
     return bisect(lambda x: entropy(temperature_weights(shares, x)) <= target, 0.0, most)
 
 
-def plan(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | None = None) -> tuple[dict[str, float], float, float]:
-    """(quota of tokens by source, exponent, budget).
+@dataclass
+class Plan:
+    """Tokens of each source, the exponent they come from, and their sum as it was asked for."""
 
-    The weights are w_s ~ t_s (n_s m_s / t_s)^x with targets t, sizes n and greatest repeats m: at x = 0
-    the targets, at x = 1 the capacities. x is bisected to the least at which no source's quota exceeds
-    its capacity, so the mixture leaves the targets only as far as the repetition limit forces it.
-    Without a budget it is the largest that x = 0 allows: targets are then met to a document. Sources
-    of no tokens, no target or no repeats get nothing, and the others share their part in proportion.
+    quota: dict[str, float]
+    exponent: float
+    budget: float
+
+
+def plan(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | None = None) -> Plan:
+    """Quotas by temperature: target shares, drawn towards the sources' own token shares as far as repetition limits force it.
+
+    The weights are w_s ~ t_s (q_s / t_s)^x with targets t and token shares q, repeats included: at
+    exponent 0 the targets, at 1 what there is. The exponent is bisected to the least at which no
+    source's quota exceeds what its greatest repeats give. Without a budget it is the largest that
+    exponent 0 allows: targets are then met to a document. Sources of no tokens, no target or no repeats
+    get nothing, and the others share their part in proportion.
     """
     capacity = {s: sizes.get(s, 0) * max(repeats.get(s, 1), 0) for s in targets}
     goal = {s: t for s, t in targets.items() if t and t > 0 and capacity[s] > 0}
     if not goal:
-        return {s: 0.0 for s in targets}, 0.0, 0.0
+        return Plan({s: 0.0 for s in targets}, 0.0, 0.0)
     goal = temperature_weights(goal, 1.0)
+    shares = temperature_weights({s: float(capacity[s]) for s in goal}, 1.0)
     if budget is None:
         budget = min(capacity[s] / t for s, t in goal.items())
     budget = min(budget, sum(capacity[s] for s in goal))
 
     def weights(x: float) -> dict[str, float]:
-        raw = {s: t * (capacity[s] / t) ** x for s, t in goal.items()}
-        total = math.fsum(raw.values())
-        return {s: v / total for s, v in raw.items()}
+        return temperature_weights({s: t * (shares[s] / t) ** x for s, t in goal.items()}, 1.0)
 
     x = bisect(lambda x: all(w * budget <= capacity[s] * (1 + 1e-9) for s, w in weights(x).items()))
     chosen = weights(x)
-    return {s: chosen.get(s, 0.0) * budget for s in targets}, x, float(budget)
+    return Plan({s: chosen.get(s, 0.0) * budget for s in targets}, x, float(budget))
+
+
+def entropy_targets(sizes: dict[str, int], target: float) -> dict[str, float]:
+    """Target shares by temperature alone: the sources' token shares, raised to the exponent that gives the target entropy."""
+    shares = temperature_weights({s: float(n) for s, n in sizes.items()}, 1.0)
+    return temperature_weights(shares, exponent_for_entropy(shares, target))
 
 
 def _order(seed: int) -> Column:
     return F.xxhash64(F.col("doc_id"), F.lit(seed))
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0, path: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens, copies): the documents of the mixture and how often each is used.
+def counted(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int = 0) -> DataFrame:
+    """(doc_id, source, tokens, block) of the documents of sources with a target, written once; those without tokens are left out."""
+    rows = tk.count(docs.select("doc_id", "source", "text"), ["doc_id", "source"], "text", path).where("tokens > 0 and source is not null")
+    wanted = targets.where("source is not null").select("source").distinct()
+    return write_shared(rows.join(wanted, "source", "left_semi").withColumn("block", F.pmod(_order(seed + 1), F.lit(BLOCKS)).cast("int")), "mix")
 
-    Every source's documents are dealt into BLOCKS blocks by a hash and ordered by another hash within
-    them; a source's quota is taken pass by pass along this permutation, in whole documents, the last of
-    which has its middle within the quota. No source is put in order in one task: blocks are ordered separately and
-    their sums, BLOCKS rows a source, give each block its start. Documents without tokens (null or
-    empty) or of a source without target are not used. Repeated doc_ids are documents of their own.
-    """
-    counted = tk.count(docs.select("doc_id", "source", "text"), ["doc_id", "source"], "text", path).where("tokens > 0 and source is not null")
-    goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("t"), F.max(F.coalesce(F.col("max_repeats"), F.lit(1))).alias("m"))
-    used = write_shared(counted.join(goal.select("source"), "source", "left_semi").withColumn("block", F.pmod(_order(seed + 1), F.lit(BLOCKS)).cast("int")), "mix")
-    sums = used.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
-    rows = goal.collect()
-    sizes = dict(sums.groupBy("source").agg(F.sum("n")).collect())
-    quota, _, _ = plan(sizes, {r["source"]: r["t"] for r in rows}, {r["source"]: r["m"] for r in rows}, budget)
+
+def realise(used: DataFrame, sums: DataFrame, sizes: dict[str, int], quota: dict[str, float], seed: int = 0) -> DataFrame:
+    """(doc_id, source, tokens, copies) along a permutation of each source: ordered blocks, ordered within."""
     if not any(quota.values()):
         return used.where("false").select("doc_id", "source", "tokens", F.lit(0).alias("copies"))
-    starts = sums.withColumn("start", F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("source", "block", F.coalesce("start", F.lit(0)).alias("start"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("source", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     left = F.create_map(*[F.lit(x) for s, q in sorted(quota.items()) for x in (s, float(q))])[F.col("source")]
     whole = F.create_map(*[F.lit(x) for s, n in sorted(sizes.items()) for x in (s, float(n))])[F.col("source")]
     along = Window.partitionBy("source", "block").orderBy(_order(seed), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
@@ -102,10 +111,41 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     return placed.select("doc_id", "source", "tokens", (passes.cast("int") + more).alias("copies")).where("copies > 0")
 
 
-def report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, share, tokens, documents, most_copies) for every source with a target, met or not."""
-    reached = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
+def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, path: str | None = None, entropy_of: float | None = None) -> tuple[DataFrame, Plan]:
+    """The documents of the mixture with how often each is used, and the plan they follow.
+
+    budget: tokens, or, up to 1 and as a float, the share of all tokens of the sources; by default the
+    most at which the targets can be met. entropy_of: instead of the target shares, those by temperature
+    that have this entropy. Every source's documents are dealt into BLOCKS blocks by a hash and ordered
+    by another hash within them; a source's quota is taken pass by pass along this permutation, in whole
+    documents, the last of which has its middle within the quota. No source is put in order in one task:
+    blocks are ordered separately and their sums, BLOCKS rows a source, give each block its start.
+    Documents without tokens (null or empty) or of a source without target are not used. Repeated
+    doc_ids are documents of their own.
+    """
+    used = counted(docs, targets, path, seed)
+    sums = used.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
+    sizes = dict(sums.groupBy("source").agg(F.sum("n")).collect())
+    rows = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("t"), F.max(F.coalesce(F.col("max_repeats"), F.lit(1))).alias("m")).collect()
+    goal = {r["source"]: r["t"] for r in rows} if entropy_of is None else {r["source"]: 0.0 for r in rows} | entropy_targets(sizes, entropy_of)
+    tokens = budget * sum(sizes.values()) if isinstance(budget, float) and budget <= 1 else budget
+    made = plan(sizes, goal, {r["source"]: r["m"] for r in rows}, tokens)
+    return realise(used, sums, sizes, made.quota, seed), made
+
+
+def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, path: str | None = None) -> DataFrame:
+    """(doc_id, source, tokens, copies) of mixture()."""
+    return mixture(docs, targets, budget, seed, path)[0]
+
+
+def report(mixed: DataFrame, targets: DataFrame, made: Plan | None = None) -> DataFrame:
+    """(source, target_share, share, tokens, documents, most_copies, met) for every source with a target, met or not.
+
+    met: the share is within a hundredth of the target. With the plan, exponent and budget are added.
+    """
+    reached = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
-    total = F.sum("tokens").over(Window.partitionBy())
     out = goal.join(reached, "source", "left").na.fill(0, ["tokens", "documents", "most_copies"])
-    return out.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), total), F.lit(0.0)).alias("share"), "tokens", "documents", "most_copies")
+    share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(Window.partitionBy())), F.lit(0.0))
+    out = out.select("source", "target_share", share.alias("share"), "tokens", "documents", "most_copies").withColumn("met", F.coalesce(F.abs(F.col("share") - F.col("target_share")) < 0.01, F.lit(False)))
+    return out if made is None else out.withColumns({"exponent": F.lit(made.exponent), "budget": F.lit(made.budget)})

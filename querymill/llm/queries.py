@@ -74,7 +74,25 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(p9_mix(spark, d), table(spark, d, "mix_targets"))
+    targets = table(spark, d, "mix_targets")
+    return mixing.report(*_swapped(mixing.mixture(table(spark, d, "documents"), targets), targets))
+
+
+def p9_report_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As many tokens as the documents have: the scarce sources' targets can't be met, the exponent bisects to their limits."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.report(*_swapped(mixing.mixture(table(spark, d, "documents"), targets, 1.0), targets))
+
+
+def p9_report_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Shares by temperature alone, of the entropy of the target shares, over half of all tokens."""
+    targets = table(spark, d, "mix_targets")
+    wanted = mixing.entropy({r["source"]: r["target_share"] for r in targets.collect()})
+    return mixing.report(*_swapped(mixing.mixture(table(spark, d, "documents"), targets, 0.5, entropy_of=wanted), targets))
+
+
+def _swapped(made: tuple[DataFrame, mixing.Plan], targets: DataFrame) -> tuple[DataFrame, DataFrame, mixing.Plan]:
+    return made[0], targets, made[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,4 +103,10 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_consensus, p4_reliability, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_copies, p8_ids, p9_mix, p9_report, p10_found, p10_segments)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p2_found, p2_splits, p4_found, p4_consensus, p4_reliability, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_copies, p8_ids,
+        p9_mix, p9_report, p9_report_whole, p9_report_entropy, p10_found, p10_segments,
+    )
+}

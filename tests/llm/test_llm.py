@@ -302,6 +302,12 @@ def test_consensus_recovers_the_truth(spark):
     disputed = {r["item_id"] for r in consensus.disputed(df).collect()}
     assert disputed == {i for i, r in got.items() if r["different"] > 1}
     assert consensus.consensus(df.limit(0)).count() == 0 and consensus.reliability(df.limit(0)).count() == 0
+    # a model that is called like a panel's side stays a model
+    named = df.replace({"m1": "human"}, subset=["model"])
+    panel = spark.createDataFrame([(i, "CORRECT", None) for i in range(50)], "id long, original string, human string")
+    again = {r["item_id"]: r for r in consensus.consensus(named, panel).collect()}
+    assert {i: r["votes"] for i, r in again.items()} == {i: r["votes"] for i, r in got.items()}
+    assert {(r["voter"], r["panel"]) for r in consensus.reliability(named, panel).collect()} >= {("human", False), ("original", True)}
 
 
 def test_latest_usable_vote_counts(spark):
@@ -354,15 +360,29 @@ def test_encode_and_decode(spark, library):
 
 # mixing ---------------------------------------------------------------------------------------------
 def test_plan():
-    quota, x, budget = mixing.plan({"a": 100, "b": 100}, {"a": 0.75, "b": 0.25}, {"a": 1, "b": 1})
-    assert (quota, x, budget) == ({"a": 100.0, "b": pytest.approx(100 / 3)}, 0.0, pytest.approx(400 / 3))
-    quota, x, _ = mixing.plan({"a": 100, "b": 100}, {"a": 0.75, "b": 0.25}, {"a": 1, "b": 1}, 180)
-    assert 0 < x < 1 and quota["a"] == pytest.approx(100, rel=1e-6) and sum(quota.values()) == pytest.approx(180)
-    assert mixing.plan({"a": 10}, {"a": 0.5, "none": 0.5}, {"a": 2})[0] == {"a": 20.0, "none": 0.0}
-    assert mixing.plan({}, {"a": 1.0}, {})[0] == {"a": 0.0}
+    made = mixing.plan({"a": 100, "b": 100}, {"a": 0.75, "b": 0.25}, {"a": 1, "b": 1})
+    assert (made.quota, made.exponent, made.budget) == ({"a": 100.0, "b": pytest.approx(100 / 3)}, 0.0, pytest.approx(400 / 3))
+    made = mixing.plan({"a": 100, "b": 100}, {"a": 0.75, "b": 0.25}, {"a": 1, "b": 1}, 180)
+    assert 0 < made.exponent < 1 and made.quota["a"] == pytest.approx(100, rel=1e-6) and sum(made.quota.values()) == pytest.approx(180)
+    assert mixing.plan({"a": 10}, {"a": 0.5, "none": 0.5}, {"a": 2}).quota == {"a": 20.0, "none": 0.0}
+    assert mixing.plan({}, {"a": 1.0}, {}).quota == {"a": 0.0}
     shares = {"a": 0.7, "b": 0.2, "c": 0.1}
     x = mixing.exponent_for_entropy(shares, 1.0)
     assert mixing.entropy(mixing.temperature_weights(shares, x)) == pytest.approx(1.0, abs=1e-6)
+    assert mixing.entropy(mixing.entropy_targets({"a": 700, "b": 200, "c": 100}, 1.0)) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_targets_that_cant_be_met_and_shares_by_entropy(spark):
+    d = "/root/testdata/sf0.01"
+    targets = {r["source"]: r for r in spark.read.parquet(f"{d}/mix_targets.parquet").collect()}
+    whole = {r["source"]: r for r in queries.p9_report_whole(spark, d).collect()}
+    assert 0 < whole[min(whole)]["exponent"] <= 1 and not all(r["met"] for r in whole.values())
+    assert all(r["most_copies"] <= targets[s]["max_repeats"] for s, r in whole.items())
+    assert sum(r["tokens"] for r in whole.values()) == pytest.approx(whole[min(whole)]["budget"], rel=0.05)
+    even = {r["source"]: r for r in queries.p9_report_entropy(spark, d).collect()}
+    wanted = mixing.entropy({s: r["target_share"] for s, r in targets.items()})
+    if even[min(even)]["exponent"] == 0:  # no repetition limit in the way
+        assert mixing.entropy({s: r["share"] for s, r in even.items()}) == pytest.approx(wanted, abs=0.02)
 
 
 def test_mixture_of_the_tables(spark):
