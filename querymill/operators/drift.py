@@ -16,24 +16,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from querymill.session import spread
+from querymill.session import spread, write_shared
 
-#: The roles of a raw item, names they are known by, the contents and types they come in.
+#: The roles of a raw item: names they are known by, the contents and types they come in, and the
+#: keys of objects that hold them.
 ROLES = {
-    "id": ("id item_id uid question_id ID key index sample_id", "number label", "integer string"),
-    "question": ("question nl_question utterance sql_prompt prompt natural_language text nl", "prose", "string array"),
-    "sql": ("sql query gold_sql target_query SQL answer statement", "sql", "string object array"),
-    "db": ("db_id dbId database DB_ID db_name db database_id", "name", "string object"),
-    "schema": ("schema ddl sql_context context tables create_statements", "ddl", "string object array"),
-    "evidence": ("evidence hint external_knowledge knowledge note explanation", "hint", "string array"),
-    "difficulty": ("difficulty hardness level complexity grade", "grade small bit", "string integer"),
-    "rows": ("gold_rows row_count n_rows result_rows rows num_rows", "number small", "integer string"),
-    "checked": ("checked is_verified verified reviewed is_checked approved", "flag bit", "boolean string integer"),
-    "weight": ("weight sample_weight importance w score", "fraction", "decimal string"),
-    "tags": ("tags topics labels keywords categories", "words name", "array string"),
-    "metadata": ("metadata extra meta info attributes", "map", "object string"),
-    "created": ("created created_at ts timestamp date time creation_time", "instant", "string integer"),
+    "id": ("id item_id uid question_id ID key index sample_id", "number label", "integer string object", "value id"),
+    "question": ("question nl_question utterance sql_prompt prompt natural_language text nl", "prose", "string array object", "text"),
+    "sql": ("sql query gold_sql target_query SQL answer statement", "sql", "string object array", "text sql query"),
+    "db": ("db_id dbId database DB_ID db_name db database_id", "name", "string object", "name engine db_id"),
+    "schema": ("schema ddl sql_context context tables create_statements", "ddl", "string object array", "tables columns foreign_keys"),
+    "evidence": ("evidence hint external_knowledge knowledge note explanation", "hint", "string array", "text"),
+    "difficulty": ("difficulty hardness level complexity grade", "grade small bit", "string integer", "level"),
+    "rows": ("gold_rows row_count n_rows result_rows rows num_rows", "number small", "integer string", "count"),
+    "checked": ("checked is_verified verified reviewed is_checked approved", "flag bit", "boolean string integer", "value"),
+    "weight": ("weight sample_weight importance w score", "fraction", "decimal string", "value"),
+    "tags": ("tags topics labels keywords categories", "words name", "array string", "tags"),
+    "metadata": ("metadata extra meta info attributes", "map", "object string", "source author"),
+    "created": ("created created_at ts timestamp date time creation_time", "instant", "string integer object", "date time"),
 }
 #: Rounds after which the scores count as settled at the latest, and the change that ends them.
 MOST_ROUNDS, SETTLED = 50, 1e-4
@@ -62,12 +64,15 @@ def content(value: object) -> str:
             return "fraction"
         return "bit" if value in (0, 1) else "small" if 0 < value < 10 else "instant" if 900_000_000 <= value < 5_000_000_000 or value > 10**12 else "number"
     if isinstance(value, dict):
-        if "tables" in value or "columns" in value or "foreign_keys" in value:
+        keys = {k.lower() for k in value}
+        if keys & {"tables", "columns", "foreign_keys"}:
             return "ddl"
-        texts = [v for v in value.values() if isinstance(v, str)]
-        if any(_SQL.match(t) for t in texts):
+        inside = nested(value)
+        if "sql" in inside:
             return "sql"
-        return "name" if {k.lower() for k in value} & {"name", "db_id", "database"} else "map"
+        if keys & {"name", "db_id", "database"}:
+            return "name"
+        return inside.pop() if len(value) == 1 and len(inside) == 1 else "map"
     if isinstance(value, list):
         texts = [v for v in value if isinstance(v, str)]
         if not texts:
@@ -107,6 +112,25 @@ def content(value: object) -> str:
     return "hint" if re.search(r"\b(?:refers? to|means|stands for|denotes|is calculated)\b|=", low) or len(words) < 6 else "prose"
 
 
+def nested(value: object) -> set[str]:
+    """The contents of the leaves below an object, however deep."""
+    leaves, out = [value], set()
+    while leaves:
+        leaf = leaves.pop()
+        if isinstance(leaf, dict):
+            leaves += leaf.values()
+        elif leaf is not None:
+            out.add(content(leaf))
+    return out
+
+
+def properties(value: object) -> list[str]:
+    """The edges of a value in its schema graph: its content and, of an object, its keys and what is nested below them."""
+    if not isinstance(value, dict):
+        return ["c:" + content(value)]
+    return ["c:" + content(value), *("k:" + k.lower() for k in value), *("i:" + c for c in nested(value))]
+
+
 def _tokens(name: str) -> frozenset[str]:
     return frozenset(re.findall(r"[a-z]+|\d+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()))
 
@@ -153,45 +177,41 @@ def flood(start: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return score
 
 
-def match(fields: pd.DataFrame) -> dict[str, str]:
-    """field → role, for the fields of one feed: columns field, type, kind, n, file_no, first, last.
+def match(profiles: pd.DataFrame, beside: set[tuple[str, str]]) -> dict[str, str]:
+    """field → role, for the fields of one feed: profiles has columns field, type, property, n.
 
-    A name has one role in a feed. In the order of their scores, fields take the role they fit best
-    unless a field that occurs beside them in some file has it already.
+    beside: pairs of fields that some file has at the same time. A name has one role in a feed. In the
+    order of their scores, fields take the role they fit best unless a field beside them has it already.
     """
-    names = sorted(fields["field"].unique())
+    names = sorted(profiles["field"].unique())
     roles = list(ROLES)
-    kinds = sorted({k for _, c, t in ROLES.values() for k in [*("c:" + x for x in c.split()), *("t:" + x for x in t.split())]} | {"c:" + k for k in fields["kind"]} | {"t:" + t for t in fields["type"]})
-    at = {k: i for i, k in enumerate(kinds)}
-    left, right = np.zeros((len(names), len(kinds))), np.zeros((len(roles), len(kinds)))
+    edges = {
+        role: [("c:" + c, 3.0 / (j + 1)) for j, c in enumerate(contents.split())] + [("t:" + t, 1.0 / (j + 1)) for j, t in enumerate(types.split())] + [("k:" + k, 0.3) for k in keys.split()] + [("i:" + contents.split()[0], 0.3)]
+        for role, (_, contents, types, keys) in ROLES.items()
+    }
+    known = sorted({p for own in edges.values() for p, _ in own} | set(profiles["property"]) | {"t:" + t for t in profiles["type"]})
+    at = {p: i for i, p in enumerate(known)}
+    left, right = np.zeros((len(names), len(known))), np.zeros((len(roles), len(known)))
     row = {n: i for i, n in enumerate(names)}
-    for field, kind, type_, n in fields[["field", "type", "kind", "n"]].rename(columns={"type": "kind", "kind": "type"}).itertuples(index=False):
-        left[row[field], at["t:" + kind]] += n
-        left[row[field], at["c:" + type_]] += 3 * n
+    for field, type_, property_, n in profiles[["field", "type", "property", "n"]].itertuples(index=False):
+        if property_.startswith("c:"):
+            left[row[field], at["t:" + type_]] += n
+            left[row[field], at[property_]] += 3 * n
+        else:
+            left[row[field], at[property_]] += 0.3 * n
     left /= np.maximum(left.sum(1, keepdims=True), 1)
     for i, role in enumerate(roles):
-        _, contents, types = ROLES[role]
-        for j, c in enumerate(contents.split()):
-            right[i, at["c:" + c]] = 3.0 / (j + 1)
-        for j, t in enumerate(types.split()):
-            right[i, at["t:" + t]] = 1.0 / (j + 1)
+        for p, weight in edges[role]:
+            right[i, at[p]] += weight
     right /= right.sum(1, keepdims=True)
     named = np.array([[max(name_likeness(n, known) for known in ROLES[role][0].split()) for role in roles] for n in names]).reshape(len(names), len(roles))
     fits = np.minimum(left[:, None, :], right[None, :, :]).sum(2)
     score = flood(named * (0.25 + 0.75 * fits / np.maximum(fits.max(1, keepdims=True), 1e-12)) + 0.35 * fits, left, right)
-    spans = {(n, f): (a, b) for n, f, a, b in fields.groupby(["field", "file_no"]).agg(first=("first", "min"), last=("last", "max")).reset_index().itertuples(index=False)}
-    files = defaultdict(set)
-    for n, f in spans:
-        files[n].add(f)
-
-    def beside(a: str, b: str) -> bool:
-        return any(spans[a, f][0] <= spans[b, f][1] and spans[b, f][0] <= spans[a, f][1] for f in files[a] & files[b])
-
     out: dict[str, str] = {}
     taken = defaultdict(list)
-    for value, i, j in sorted(((score[i, j], i, j) for i in range(len(names)) for j in range(len(roles))), key=lambda x: (-x[0], x[1], x[2])):
+    for _, i, j in sorted(((score[i, j], i, j) for i in range(len(names)) for j in range(len(roles))), key=lambda x: (-x[0], x[1], x[2])):
         name, role = names[i], roles[j]
-        if (named[i, j] >= LIKE_NAME or fits[i, j] >= LIKE_CONTENT) and name not in out and not any(beside(name, other) for other in taken[role]):
+        if (named[i, j] >= LIKE_NAME or fits[i, j] >= LIKE_CONTENT) and name not in out and not any((min(name, other), max(name, other)) in beside for other in taken[role]):
             out[name] = role
             taken[role].append(name)
     return out
@@ -207,7 +227,7 @@ def parse(line: str | None) -> dict | None:
 
 
 def observed(lines: DataFrame) -> DataFrame:
-    """(feed, file_no, file_name, field, type, kind, n, first, last): what each file's fields look like.
+    """(feed, file_no, field, type, property, n, first, last): what each file's fields look like.
 
     One pass over the lines; each task counts before the shuffle, so a file of any size sends a few rows
     a task. Values that are null and lines that aren't JSON objects don't count.
@@ -216,34 +236,46 @@ def observed(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: dict[tuple, list[int]] = {}
-            for feed, file_no, file_name, line_no, line in batch.itertuples(index=False):
+            for feed, file_no, line_no, line in batch.itertuples(index=False):
                 for field, value in (parse(line) or {}).items():
                     if value is None:
                         continue
-                    key = (feed, file_no, file_name, field, json_type(value), content(value))
-                    have = seen.setdefault(key, [0, line_no, line_no])
-                    have[0] += 1
-                    have[1], have[2] = min(have[1], line_no), max(have[2], line_no)
-            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["feed", "file_no", "file_name", "field", "type", "kind", "n", "first", "last"])
-
-    keys = ["feed", "file_no", "file_name", "field", "type", "kind"]
-    rows = lines.where("feed is not null and file_no is not null and line_no is not null").select("feed", "file_no", F.coalesce("file_name", F.lit("")).alias("file_name"), "line_no", "line")
-    found = spread(rows).mapInPandas(run, "feed string, file_no int, file_name string, field string, type string, kind string, n long, first long, last long")
+                    type_ = json_type(value)
+                    for p in properties(value):
+                        have = seen.setdefault((feed, file_no, field, type_, p), [0, line_no, line_no])
+                        have[0] += 1
+                        have[1], have[2] = min(have[1], line_no), max(have[2], line_no)
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=[*keys, "n", "first", "last"])
+
+    keys = ["feed", "file_no", "field", "type", "property"]
+    rows = lines.where("feed is not null and file_no is not null and line_no is not null").select("feed", "file_no", "line_no", "line")
+    found = spread(rows).mapInPandas(run, "feed string, file_no int, field string, type string, property string, n long, first long, last long")
     return found.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-def _with_roles(seen: DataFrame) -> DataFrame:
+def roles_of(seen: DataFrame) -> DataFrame:
+    """(feed, field, role) of the fields that play a role.
+
+    A feed's fields are matched once, from profiles over all its files: the rows that meet in a task are
+    as many as the feed has kinds of fields, and pairs of them, however many files and lines there are.
+    """
+    spans = seen.groupBy("feed", "file_no", "field").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    of_file = spans.groupBy("feed", "file_no").agg(F.collect_list(F.struct("field", "first", "last")).alias("fs"))  # as many as a file has fields
+    pairs = of_file.select("feed", F.explode("fs").alias("a"), "fs").select("feed", "a", F.explode("fs").alias("b"))
+    pairs = pairs.where("a.field < b.field and a.first <= b.last and b.first <= a.last").select("feed", F.col("a.field").alias("field"), F.col("b.field").alias("other")).distinct()
+    profiles = seen.groupBy("feed", "field", "type", "property").agg(F.sum("n").alias("n"))
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        roles = match(group)
-        return group.assign(role=group["field"].map(roles))[["feed", "file_no", "file_name", "field", "type", "last", "role"]]
+        met = group[group["other"].notna()]
+        found = match(group[group["other"].isna()], set(zip(met["field"], met["other"])))
+        return pd.DataFrame({"feed": group["feed"].iloc[0], "field": list(found), "role": list(found.values())}, columns=["feed", "field", "role"])
 
-    out = seen.groupBy("feed").applyInPandas(run, "feed string, file_no int, file_name string, field string, type string, last long, role string")
-    return out.where("role is not null")
+    return profiles.unionByName(pairs, allowMissingColumns=True).groupBy("feed").applyInPandas(run, "feed string, field string, role string")
 
 
 def correspondences(lines: DataFrame) -> DataFrame:
-    """(feed, file_no, field, role) of every field that plays a role in a file."""
-    return _with_roles(observed(lines)).select("feed", "file_no", "field", "role").distinct()
+    """(feed, field, role) of every field that plays a role in a feed."""
+    return roles_of(observed(lines))
 
 
 def changes(lines: DataFrame) -> DataFrame:
@@ -257,22 +289,23 @@ def changes(lines: DataFrame) -> DataFrame:
     are left out, other columns are ignored, an empty table gives no rows. A file of which no line is
     valid still has its place: all roles are removed by it.
     """
-    last = _with_roles(observed(lines)).groupBy("feed", "file_no", "role").agg(F.max_by(F.struct("field", "type"), F.struct("last", "field", "type")).alias("x")).select("feed", "file_no", "role", "x.field", "x.type")
+    # the profiles of the files, a few rows each, are read twice; the lines are not
+    seen = write_shared(observed(lines), "drift-observed")
+    last = seen.join(roles_of(seen), ["feed", "field"]).groupBy("feed", "file_no", "role").agg(F.max_by(F.struct("field", "type"), F.struct("last", "field", "type")).alias("x"))
     files = lines.where("feed is not null and file_no is not null").groupBy("feed", "file_no").agg(F.max(F.coalesce("file_name", F.lit(""))).alias("file_name"))
-    before = files.select("feed", F.col("file_no").alias("prev"))
-    pairs = files.join(before, "feed").where("prev < file_no").groupBy("feed", "file_no", "file_name").agg(F.max("prev").alias("prev"))
-    now = pairs.join(last, ["feed", "file_no"]).select("feed", "file_no", "role", F.col("field").alias("new_field"), F.col("type").alias("new_type"))
-    then = pairs.join(last.withColumnRenamed("file_no", "prev"), ["feed", "prev"]).select("feed", "file_no", "role", F.col("field").alias("old_field"), F.col("type").alias("old_type"))
-    both = now.join(then, ["feed", "file_no", "role"], "full").join(pairs.select("feed", "file_no", "file_name"), ["feed", "file_no"])
-    found = F.array_compact(
-        F.array(
-            F.when(F.col("old_field").isNull(), F.struct(F.lit("added").alias("change"), F.col("new_field").alias("field_name"))),
-            F.when(F.col("new_field").isNull(), F.struct(F.lit("removed").alias("change"), F.col("old_field").alias("field_name"))),
-            F.when(F.col("new_field") != F.col("old_field"), F.struct(F.lit("renamed").alias("change"), F.col("new_field").alias("field_name"))),
-            F.when(F.col("new_type") != F.col("old_type"), F.struct(F.lit("retyped").alias("change"), F.col("new_field").alias("field_name"))),
-        )
-    )
-    return both.select("file_name", F.explode(found).alias("x")).select("file_name", "x.change", "x.field_name")
+    ordered = files.withColumn("next", F.lead("file_no").over(Window.partitionBy("feed").orderBy("file_no")))
+    # each file's roles are looked at twice: as what is now, and as what was before the file after it
+    seen_by = last.join(ordered, ["feed", "file_no"]).select("feed", F.explode(F.array(F.struct(F.col("file_no").alias("at"), F.lit(True).alias("now")), F.struct(F.col("next").alias("at"), F.lit(False).alias("now")))).alias("y"), "role", "x")
+    both = seen_by.where("y.at is not null").groupBy("feed", F.col("y.at").alias("file_no"), "role").agg(F.max(F.when(F.col("y.now"), F.col("x"))).alias("new"), F.max(F.when(~F.col("y.now"), F.col("x"))).alias("old"))
+    named = both.join(ordered.withColumn("first", F.row_number().over(Window.partitionBy("feed").orderBy("file_no")) == 1).where("not first"), ["feed", "file_no"])
+    kinds = {
+        "added": (F.col("old").isNull(), "new"),
+        "removed": (F.col("new").isNull(), "old"),
+        "renamed": (F.col("new.field") != F.col("old.field"), "new"),
+        "retyped": (F.col("new.type") != F.col("old.type"), "new"),
+    }
+    found = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(kind).alias("change"), F.col(f"{of}.field").alias("field_name"))) for kind, (holds, of) in kinds.items()]))
+    return named.select("file_name", F.explode(found).alias("z")).select("file_name", "z.change", "z.field_name")
 
 
 #: The consistent table.
@@ -286,8 +319,10 @@ def _text(value: object, joiner: str) -> str | None:
         return joiner.join(str(v) for v in value)
     if isinstance(value, dict):
         for key in ("text", "sql", "query", "name", "db_id", "value"):
-            if isinstance(value.get(key), str):
-                return value[key]
+            if isinstance(value.get(key), (str, int)):
+                return str(value[key])
+        if len(value) == 1:
+            return _text(next(iter(value.values())), joiner)
         return json.dumps(value, ensure_ascii=False)
     return str(value)
 
@@ -328,10 +363,10 @@ def consistent(lines: DataFrame) -> DataFrame:
     """One row per valid line with the columns of ITEM, whatever its file calls and types them.
 
     Lines that aren't JSON objects are left out, repeated lines (same feed, file and line number) kept
-    once. Fields that play no role don't appear. The correspondences, a few rows a file, are joined to
-    the lines; one file with a third of all lines is split by the adaptive skew join.
+    once. Fields that play no role don't appear. The correspondences, one row a feed, are joined to the
+    lines; a feed with a third of all lines is split by the adaptive skew join.
     """
-    roles = correspondences(lines).groupBy("feed", "file_no").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field", "role")))).alias("roles"))
+    roles = correspondences(lines).groupBy("feed").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field", "role")))).alias("roles"))
     names = list(ROLES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -355,4 +390,4 @@ def consistent(lines: DataFrame) -> DataFrame:
             yield frame
 
     source = lines.where("feed is not null and file_no is not null and line_no is not null").select("feed", "file_no", F.col("line_no").cast("long").alias("line_no"), "line")
-    return source.join(roles, ["feed", "file_no"], "left").mapInPandas(run, ITEM).dropDuplicates(["feed", "file_no", "line_no"])
+    return source.join(roles, "feed", "left").mapInPandas(run, ITEM).dropDuplicates(["feed", "file_no", "line_no"])

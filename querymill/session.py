@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -68,14 +67,11 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores, for a pass whose work a row outweighs moving it.
+#: Setting with the number of tasks that passes in Python are dealt out to; unset, they run as the scan is split.
+PASS_TASKS = "spark.querymill.pass.tasks"
 
-    Only a plain scan of fewer partitions is dealt out anew: it is small then, at most one split a core.
-    Anything larger, or anything that has a shuffle or a join of its own, stays as it is.
-    """
-    plan = df._jdf.queryExecution().sparkPlan()
-    if re.search(r"Exchange|Join|Aggregate|Window|Sort|InMemoryTableScan|Python|Pandas|Arrow|Union|Limit|Subquery", plan.toString()):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < plan.execute().getNumPartitions() < cores else df
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in PASS_TASKS partitions, if that is set: for small files of heavy rows, which would keep one core busy."""
+    tasks = df.sparkSession.conf.get(PASS_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df

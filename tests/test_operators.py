@@ -70,11 +70,29 @@ def test_drift_consistent_table(spark):
     assert str(r["created"]) == "2025-05-11 09:14:04"
 
 
+def test_drift_of_nested_fields(spark, rows):
+    a = {"uid": {"value": 17}, "q": {"text": "Show the names of all singers please"}, "deep": {"given": {"sql": "SELECT a FROM b"}}, "db": {"name": "shop_1", "engine": "sqlite"}}
+    b = {"ID": 17, "question": "Show the names of all singers please", "deep": "SELECT a FROM b", "db_id": "shop_1"}
+    df = spark.createDataFrame(_lines([a, a], [b]), LINES)
+    assert {(r["field"], r["role"]) for r in drift.correspondences(df).collect()} >= {("uid", "id"), ("q", "question"), ("deep", "sql"), ("db", "db")}
+    assert ("f/2", "retyped", "deep") in rows(drift.changes(df)) and ("f/2", "renamed", "ID") in rows(drift.changes(df))
+    r = drift.consistent(df).where("file_no = 1").first()
+    assert (r["id"], r["question"], r["dbId"]) == ("17", "Show the names of all singers please", "shop_1")
+
+
+def test_drift_of_ten_thousand_files(spark, rows):
+    names = F.when(F.col("file_no") % 2 == 0, "question").otherwise("utterance")
+    line = F.concat(F.lit('{"id": '), F.col("file_no").cast("string"), F.lit(', "'), names, F.lit('": "Show the names of all singers please", "sql": "SELECT a FROM b"}'))
+    df = spark.range(1, 10_001).select(F.lit("f").alias("feed"), F.col("id").cast("int").alias("file_no")).withColumn("line", line).select("feed", "file_no", F.concat(F.lit("f/"), F.col("file_no").cast("string")).alias("file_name"), F.lit(1).alias("line_no"), "line")
+    found = drift.changes(df)
+    assert found.groupBy("change").count().collect() == [("renamed", 9_999)]
+
+
 def test_drift_matches_a_brute_force(spark, rows):
     from tests.conftest import DATA
 
     df = spark.read.parquet(f"{DATA}/dataitem_lines.parquet")
-    roles = {n: role for role, (names, _, _) in drift.ROLES.items() for n in names.split()} | {"Question": "question"}
+    roles = {n: role for role, (names, *_) in drift.ROLES.items() for n in names.split()} | {"Question": "question"}
     state, names = {}, {}
     for r in df.orderBy("feed", "file_no", "line_no").collect():
         key = (r["feed"], r["file_no"])
