@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 
 from querymill.session import spread
 from querymill.sql.facts import WRITES, read
+from querymill.sql.lexer import SqlError
+from querymill.sql.parser import parse
 
 #: Statements that are never run.
 BLOCKED = ("DROP", "TRUNCATE", "ALTER", "VACUUM", "ATTACH", "DETACH")
 MODES = ("none", "select_only", "all")
-OUTCOME = "ok boolean, err string, duration_ms double"
+OUTCOME = "status string, err string, duration_ms double"
+#: What the messages of failures speak of in reports.
+PATTERNS = {"db not accessible": "db not accessible", "execution error": "execution error", "health check failed": "health check failed", "blocked destructive statement": "blocked destructive"}
+#: Parts that the items of a database are dealt into, each of which gets the database's DDL once.
+PARTS = 16
 
 
 def blocked(sql: Column) -> Column:
@@ -36,12 +42,27 @@ def limited(sql: str, limit: int = 1) -> str:
     return f"{bare}\nLIMIT {limit}"
 
 
+_KIND_WORD = {"Drop": "DROP", "TruncateTable": "TRUNCATE", "Alter": "ALTER"}
+_LEADING = re.compile(r"(?:\s|;|\(|--[^\n]*(?:\n|$)|/\*.*?\*/)+", re.S)
+
+
+def destructive(sql: str) -> str | None:
+    """The word of BLOCKED that any statement of a text is, whatever comments stand before it; None if none is."""
+    try:
+        words = [_KIND_WORD.get(n.kind) or (n.value if n.kind == "Command" else None) for n in parse(sql)]
+    except (SqlError, RecursionError):
+        start = _LEADING.match(sql)
+        first = re.match(r"[A-Za-z]+", sql[start.end() :] if start else sql)
+        words = [first.group().upper()] if first else []
+    return next((w for w in words if w in BLOCKED), None)
+
+
 def gate(sql: str | None, mode: str = "select_only", strict_compat: bool = False) -> str | None:
     """Why a statement must not run, or None. strict_compat: set operations are no SELECT in select_only mode."""
     if sql is None or not sql.strip():
         return "Empty SQL"
-    if m := re.match(rf"\s*({'|'.join(BLOCKED)})\s", sql, re.I):
-        return f"Blocked destructive statement: {m.group(1).upper()}"
+    if word := destructive(sql):
+        return f"Blocked destructive statement: {word}"
     if mode == "select_only":
         statement, err = read(sql)
         if statement is None:
@@ -90,60 +111,78 @@ def _file(path: Path, mode: str) -> sqlite3.Connection:
     return copy
 
 
-def probe(items: DataFrame, databases: DataFrame | None = None, root: str | None = None, mode: str = "select_only", limit: int = 1, timeout: float = 30.0, strict_compat: bool = False, open_most: int = 32) -> DataFrame:
-    """items (id, db_id, sql) with ok, err and duration_ms of each statement on its database.
+def probe(items: DataFrame, databases: DataFrame | None = None, root: str | None = None, mode: str = "select_only", limit: int = 1, timeout: float = 30.0, strict_compat: bool = False, open_most: int = 32, parts: int = PARTS) -> DataFrame:
+    """items (id, db_id, sql) with status (ok or failed), err and duration_ms of each statement on its database.
 
     Databases are DDL texts (db_id, ddl), built empty in memory, or SQLite files root/<db_id>/<db_id>.sqlite
-    that every executor can read. A task keeps up to open_most of them open. The DDL is joined, so a
-    database with a third of all items is split like any skewed join. Unknown databases fail their items.
+    that every executor can read. A task keeps up to open_most of them open. The items of a database are
+    dealt into `parts` by their ids, so that one with a third of all items has many tasks; its DDL is sent
+    once to each part, ahead of the items, not with every item. Items of no or an unknown database fail.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    rows = items.select("id", "db_id", "sql", F.lit(True).alias("item"))
     if databases is not None:
-        texts = databases.groupBy("db_id").agg(F.array_join(F.array_sort(F.collect_list("ddl")), "\n").alias("_ddl"))
-        source = spread(items.select("id", "db_id", "sql")).join(texts, "db_id", "left")
+        texts = databases.groupBy("db_id").agg(F.array_join(F.array_sort(F.collect_list("ddl")), "\n").alias("sql"))
+        texts = texts.select(F.lit(None).cast(items.schema["id"].dataType).alias("id"), "db_id", "sql", F.lit(False).alias("item"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        both = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).unionByName(texts)
+        source = both.repartition("db_id", "part").sortWithinPartitions("db_id", "part", "item").select("id", "db_id", "sql", "item")
     else:
-        source = spread(items.select("id", "db_id", "sql")).select("id", "db_id", "sql", F.lit(None).cast("string").alias("_ddl"))
+        source = spread(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[str, sqlite3.Connection | str] = {}
+
+        def connect(db: str | None, ddl: str | None) -> sqlite3.Connection | str:
+            path = Path(root or "", str(db), f"{db}.sqlite")
+            try:
+                return _memory(ddl) if ddl is not None else _file(path, mode) if root and db and path.exists() else "DB not accessible: unknown database"
+            except sqlite3.Error as e:
+                return f"DB not accessible: {e}"
+            except Exception as e:  # noqa: BLE001 - whatever else a database raises is its items' error
+                return f"Health check failed: {e}"
+
+        def keep(db: str | None, ddl: str | None) -> None:
+            if db in open_:
+                return
+            if len(open_) >= open_most:
+                first = open_.pop(next(iter(open_)))
+                if not isinstance(first, str):
+                    first.close()
+            open_[db] = connect(db, ddl)
+
         for batch in batches:
-            rows = []
-            for db, sql, ddl in zip(batch["db_id"], batch["sql"], batch["_ddl"]):
-                if db not in open_:
-                    if len(open_) >= open_most:
-                        first = open_.pop(next(iter(open_)))
-                        if not isinstance(first, str):
-                            first.close()
-                    path = Path(root or "", str(db), f"{db}.sqlite")
-                    try:
-                        open_[db] = _memory(ddl) if ddl is not None else _file(path, mode) if root and db and path.exists() else "Database is not healthy: unknown"
-                    except sqlite3.Error as e:
-                        open_[db] = f"Database is not healthy: {e}"
-                at = open_[db]
-                rows.append((False, at, 0.0) if isinstance(at, str) else attempt(at, sql, mode, limit, timeout, strict_compat))
-            yield pd.concat([batch[["id", "db_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["ok", "err", "duration_ms"])], axis=1)
+            out = []
+            for id_, db, sql, item in zip(batch["id"], batch["db_id"], batch["sql"], batch["item"]):
+                keep(db, None if item else sql)
+                if item:
+                    at = open_[db]
+                    ok, err, spent = (False, at, 0.0) if isinstance(at, str) else attempt(at, sql, mode, limit, timeout, strict_compat)
+                    out.append((id_, db, "ok" if ok else "failed", err, spent))
+            yield pd.DataFrame(out, columns=["id", "db_id", "status", "err", "duration_ms"])
         for c in open_.values():
             if not isinstance(c, str):
                 c.close()
 
-    kinds = f"id {items.schema['id'].dataType.simpleString()}, db_id string, {OUTCOME}"
-    return source.select("id", "db_id", "sql", "_ddl").mapInPandas(run, kinds)
+    return source.mapInPandas(run, f"id {items.schema['id'].dataType.simpleString()}, db_id string, {OUTCOME}")
 
 
 def error_patterns(probed: DataFrame) -> DataFrame:
-    """Q27: failures by what their message speaks of; a failure may count for several."""
-    low = F.lower("err")
-    kinds = {"no such table": "%no such table%", "no such column": "%no such column%", "syntax error": "%syntax error%", "timeout": "%timed out%"}
-    found = F.array_compact(F.array(*[F.when(low.like(p), F.lit(k)) for k, p in kinds.items()]))
-    return probed.where("not ok").select(F.explode(found).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("failures"))
+    """Q27: failures by what their message speaks of, those that occur; a failure may count for several."""
+    low = F.lower(F.coalesce("err", F.lit("")))
+    found = F.array_compact(F.array(*[F.when(low.contains(words), F.lit(name)) for name, words in PATTERNS.items()]))
+    return probed.where("status = 'failed'").select(F.explode(found).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("failures"))
 
 
 def totals(probed: DataFrame) -> DataFrame:
-    """Q8, Q25: items tried, sound and failed."""
-    return probed.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ok")).alias("sound"), F.count_if(~F.col("ok")).alias("failed"))
+    """Q8, Q25: items, those analyzed, skipped and failed, and the share of failures among the analyzed."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    analyzed = F.count_if(F.col("status") != "skipped")
+    share = F.round(F.coalesce(F.try_divide(count("failed") * F.lit(100.0).cast("double"), analyzed), F.lit(0.0)), 1)
+    return probed.agg(F.count(F.lit(1)).alias("total"), analyzed.alias("analyzed"), count("skipped").alias("skipped"), count("failed").alias("failed"), share.alias("failed_share"))
 
 
 def failures(probed: DataFrame) -> DataFrame:
-    """Q26: failed items with the first 400 characters of their error, for a listing in numerical order."""
-    return probed.where("not ok").select("id", "db_id", F.substring("err", 1, 400).alias("err"))
+    """Q26: failed items in numerical order, then those whose id is no number, with the first 400 characters of their error."""
+    short = F.when(F.length("err") > 400, F.concat(F.substring("err", 1, 400), F.lit("..."))).otherwise(F.coalesce("err", F.lit("")))
+    return probed.where("status = 'failed'").select("id", "db_id", short.alias("err")).orderBy(F.expr("try_cast(id as bigint)").asc_nulls_last(), "id")

@@ -140,19 +140,11 @@ def summary(judged: DataFrame) -> DataFrame:
     return n.withColumn("share", F.round(F.col("items") * F.lit(100.0).cast("double") / F.sum("items").over(Window.partitionBy()), 1))
 
 
-def breakdown(votes: DataFrame, models: list[str]) -> DataFrame:
-    """Q29: combinations of verdicts over the given models on items on which all of them voted: one column a model."""
-    v = normal_verdict(F.col("verdict"))
-    good = votes.where(F.col("error").isNull() & v.isin(*VERDICTS) & F.col("item_id").isNotNull())
-    wide = good.groupBy("item_id").pivot("model", models).agg(F.min(v))
-    return wide.where(" and ".join(f"`{m}` is not null" for m in models)).groupBy(*[F.col(f"`{m}`") for m in models]).agg(F.count(F.lit(1)).alias("items"))
-
-
-def mixed_breakdown(votes: DataFrame) -> DataFrame:
+def breakdown(votes: DataFrame) -> DataFrame:
     """Q29: combinations of verdicts on items without consensus: one column a model that voted on one of them.
 
     The models come from the votes. Items with fewer than two models' verdicts don't count; a model
-    without a verdict on an item is null there. The rows without nulls are those of the original report.
+    without a verdict on an item is null there. A model that voted twice counts with the least verdict.
     """
     v = normal_verdict(F.col("verdict"))
     mixed = aggregate(votes).where("not consensus_reached and status <> 'failed'").select("item_id")
@@ -163,6 +155,20 @@ def mixed_breakdown(votes: DataFrame) -> DataFrame:
     return several.groupBy(*[F.col(f"`{m}`") for m in models]).agg(F.count(F.lit(1)).alias("items")).where("items > 0")
 
 
+def verdict_texts(votes: DataFrame) -> DataFrame:
+    """breakdown() with one column for all models: (verdicts, items), verdicts being "model: VERDICT" of each, by name."""
+    wide = breakdown(votes)
+    models = [c for c in wide.columns if c != "items"]
+    parts = [F.when(F.col(f"`{m}`").isNotNull(), F.concat(F.lit(f"{m}: "), F.col(f"`{m}`"))) for m in models]
+    return wide.select(F.array_join(F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>"), ", ").alias("verdicts"), "items")
+
+
+def failed_items(judged: DataFrame) -> DataFrame:
+    """Q35: every item that could not be judged, in numerical order, with why and how many voters failed."""
+    kept = [c for c in ("item_id", "db_id", "err", "voters_failed", "total_voters") if c in judged.columns]
+    return judged.where("status = 'failed'").select(*kept).orderBy(F.expr("try_cast(item_id as bigint)").asc_nulls_last(), "item_id")
+
+
 def listing(judged: DataFrame, verdict: str | None, only_divided: bool = False, k: int | None = None) -> DataFrame:
     """Q30 to Q35: items of a consensus (None: mixed), numerically ordered; k for the reports that show the first k."""
     rows = judged.where("consensus_verdict is null and status <> 'failed'") if verdict is None else judged.where(F.col("consensus_verdict") == verdict)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from querymill.operators.audit import audit, status
 from querymill.plans import corpus, reports
 from querymill.plans.registry import query
+from querymill.sql.findings import MESSAGES
 
 _G = corpus.gold_sql()
 _V = "(SELECT * FROM m WHERE parseable)"
@@ -34,13 +35,17 @@ def _covered(report, name: str, sql: str | None) -> None:
     query(name, sql)(lambda spark, d: report(metrics(spark, d), catalog(spark)))
 
 
-_FLAT = "id, statement_type, is_read_only, table_count, join_count, subquery_count, max_subquery_depth, aggregate_count, where_condition_count, order_by_columns, cte_count, has_recursive_cte, window_fn_count, set_op_count, uses_wildcard, has_distinct, has_group_by, has_having, has_limit, has_offset, has_like, has_in, difficulty_level, complexity_score"
+_FLAT = (
+    "id, statement_type, is_read_only, is_select, table_count, column_count, join_count, subquery_count, max_subquery_depth, aggregate_count, where_condition_count, order_by_columns, cte_count, has_recursive_cte, window_fn_count, set_op_count, "
+    "uses_wildcard, has_distinct, has_group_by, has_having, has_limit, has_offset, has_like, has_in, has_between, has_case, has_window_frame, difficulty_level, complexity_score"
+)
+_LISTS = ("tables", "join_types", "aggregate_types", "window_fn_types", "set_op_types")
 
 
-@query("syntax_features_flat", f"{_G} SELECT {_FLAT.replace('table_count', 'CAST(len(tables) AS INTEGER) AS table_count')}, array_to_string(tables, ',') AS tables, array_to_string(join_types, ',') AS join_types, array_to_string(aggregate_types, ',') AS aggregate_types FROM {_V}")
+@query("syntax_features_flat", f"{_G} SELECT {_FLAT.replace('table_count', 'CAST(len(tables) AS INTEGER) AS table_count')}, {', '.join(f"array_to_string({c}, ',') AS {c}" for c in _LISTS)} FROM {_V}")
 def syntax_features_flat(spark: SparkSession, d: str) -> DataFrame:
     m = metrics(spark, d).where("parseable")
-    return m.select(*_FLAT.split(", "), *[F.array_join(c, ",").alias(c) for c in ("tables", "join_types", "aggregate_types")])
+    return m.select(*_FLAT.split(", "), *[F.array_join(c, ",").alias(c) for c in _LISTS])
 
 
 _over(reports.difficulty_share, "difficulty_share", f"{_G} SELECT difficulty_level, count(*) AS queries, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS share FROM {_V} GROUP BY 1")
@@ -50,7 +55,7 @@ _over(reports.join_type_usage, "join_type_usage", f"{_G}, t AS (SELECT unnest(jo
 _over(reports.subquery_summary, "subquery_summary", f"{_G} SELECT 'with_subquery' AS kind, count(*) FILTER (subquery_count >= 1) AS queries FROM {_V} UNION ALL SELECT 'correlated_proxy', count(*) FILTER (subquery_count >= 1 AND (has_in OR has_where)) FROM {_V} UNION ALL SELECT 'nested', count(*) FILTER (max_subquery_depth >= 2) FROM {_V}")
 _over(reports.subquery_depth, "subquery_depth", f"{_G} SELECT CAST(least(max_subquery_depth, 3) AS INTEGER) AS depth, count(*) AS queries FROM {_V} WHERE max_subquery_depth > 0 GROUP BY 1")
 _over(reports.cte_stats, "cte_stats", f"{_G} " + " UNION ALL ".join(f"SELECT 'at_least_{k}' AS kind, count(*) FILTER (cte_count >= {k}) AS queries, CAST(median(cte_count) FILTER (cte_count >= {k}) AS INTEGER) AS median_ctes FROM {_V}" for k in (1, 2, 3)) + f" UNION ALL SELECT 'recursive', count(*) FILTER (has_recursive_cte), CAST(NULL AS INTEGER) FROM {_V}")
-_over(reports.aggregate_usage, "aggregate_usage", f"{_G}, t AS (SELECT unnest(aggregate_types) AS aggregate FROM {_V}), n AS (SELECT count(*) AS every, count(*) FILTER (aggregate_count > 0) AS aggregating FROM {_V}) SELECT aggregate, count(*) AS uses, round(count(*) * 100.0::DOUBLE / max(every), 1) AS share_of_all, round(count(*) * 100.0::DOUBLE / max(aggregating), 1) AS share_of_aggregating FROM t, n GROUP BY 1")
+_over(reports.aggregate_usage, "aggregate_usage", f"{_G}, t AS (SELECT CASE WHEN a IN ('COUNT', 'SUM', 'AVG', 'MAX', 'MIN') THEN a ELSE 'Other' END AS aggregate FROM (SELECT unnest(aggregate_types) AS a FROM {_V})), n AS (SELECT count(*) AS every, count(*) FILTER (aggregate_count > 0) AS aggregating FROM {_V}) SELECT aggregate, count(*) AS uses, round(count(*) * 100.0::DOUBLE / max(every), 1) AS share_of_all, round(count(*) * 100.0::DOUBLE / max(aggregating), 1) AS share_of_aggregating FROM t, n GROUP BY 1")
 _over(reports.aggregation_patterns, "aggregation_patterns", f"{_G} SELECT 'single' AS kind, count(*) FILTER (aggregate_count = 1) AS queries FROM {_V} UNION ALL SELECT 'multiple', count(*) FILTER (aggregate_count > 1) FROM {_V} UNION ALL SELECT 'nested', count(*) FILTER (aggregate_count > 0 AND subquery_count > 0) FROM {_V} UNION ALL SELECT 'distinct_group_by', count(*) FILTER (has_distinct AND has_group_by) FROM {_V}")
 _over(reports.feature_combinations, "feature_combinations", f"{_G} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS combination, count(*) FILTER ({c}) AS queries FROM {_V}" for n, c in reports.COMBINATIONS.items()) + ") WHERE queries > 0 ORDER BY queries DESC, combination LIMIT 10")
 _over(reports.health_summary, "health_summary", f"{_G} SELECT count(*) AS total, count(*) FILTER (parseable) AS parsed, round(count(*) FILTER (parseable) * 100.0::DOUBLE / count(*), 1) AS parsed_share, round(avg(complexity_score) FILTER (parseable), 6) AS avg_complexity, CAST(median(complexity_score) FILTER (parseable) AS DOUBLE) AS median_complexity, round(stddev_samp(complexity_score) FILTER (parseable), 6) AS stddev_complexity FROM m")
@@ -63,17 +68,18 @@ _over(
     + " UNION ALL ".join(f"SELECT '{n.rstrip('_')}' AS criterion, {n} AS value, {c} AS met FROM b" for n, c in (("levels", "levels >= 3"), ("multi_table", "multi_table >= 60"), ("window_", "window_ >= 5"), ("single_table", "single_table BETWEEN 20 AND 35"), ("recursive_", "recursive_ > 0"), ("set_operation", "set_operation >= 2"), ("subquery", "subquery > 0"), ("aggregate", "aggregate > 0"))),
 )
 _P = "p AS (SELECT id, db_id, split_part(x, ':', 1) AS pattern, split_part(x, ':', 2) AS severity FROM (SELECT id, db_id, unnest(patterns) AS x FROM m WHERE parseable))"
-_over(reports.antipattern_rows, "antipattern_rows", f"{_G}, {_P} SELECT id, db_id, pattern, severity FROM p")
+_TEXT = "text(pattern, message) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in MESSAGES.items()) + ")"
+_over(reports.antipattern_rows, "antipattern_rows", f"{_G}, {_P}, {_TEXT} SELECT id, db_id, pattern, severity, message FROM p JOIN text USING (pattern)")
 _over(reports.antipattern_by_severity, "antipattern_by_severity", f"{_G}, {_P} SELECT severity, count(*) AS findings, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS severity_order FROM p GROUP BY 1")
-_BY = f"by_pattern AS (SELECT pattern, severity, count(*) AS findings, count(DISTINCT id) AS queries, round(count(DISTINCT id) * 100.0::DOUBLE / (SELECT count(*) FROM {_V}), 1) AS share FROM p GROUP BY 1, 2)"
-_over(reports.antipattern_by_pattern, "antipattern_by_pattern", f"{_G}, {_P}, {_BY} SELECT * FROM by_pattern")
-_over(reports.antipattern_top, "antipattern_top", f"{_G}, {_P}, {_BY} SELECT *, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS severity_order FROM by_pattern ORDER BY severity_order, findings DESC, pattern LIMIT 15")
-_over(reports.antipattern_items, "antipattern_items", f"{_G}, {_P} SELECT pattern, severity, count(DISTINCT id) AS queries, min(CAST(id AS BIGINT)) AS first_id, max(CAST(id AS BIGINT)) AS last_id FROM p GROUP BY 1, 2")
-_over(reports.antipattern_statements, "antipattern_statements", f"{_G}, {_P} SELECT DISTINCT pattern, severity, id FROM p")
+_BY = f"by_pattern AS (SELECT pattern, severity, count(*) AS findings, count(DISTINCT id) AS queries, round(count(DISTINCT id) * 100.0::DOUBLE / (SELECT count(*) FROM {_V}), 1) AS share, any_value(message) AS example_message FROM p JOIN text USING (pattern) GROUP BY 1, 2)"
+_over(reports.antipattern_by_pattern, "antipattern_by_pattern", f"{_G}, {_P}, {_TEXT}, {_BY} SELECT * FROM by_pattern")
+_over(reports.antipattern_top, "antipattern_top", f"{_G}, {_P}, {_TEXT}, {_BY} SELECT *, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS severity_order FROM by_pattern ORDER BY severity_order, findings DESC, pattern LIMIT 15")
+_over(reports.antipattern_items, "antipattern_items", f"{_G}, {_P} SELECT DISTINCT pattern, severity, id FROM p")
 _over(reports.quality_summary, "quality_summary", f"{_G} SELECT count(*) AS total, count(*) FILTER (parseable) AS parsed, round(avg(quality_score) FILTER (parseable), 6) AS avg_quality, round(avg(len(patterns)) FILTER (parseable), 6) AS avg_findings, count(*) FILTER (parseable AND len(patterns) = 0) AS clean, round(count(*) FILTER (parseable AND len(patterns) = 0) * 100.0::DOUBLE / count(*) FILTER (parseable), 1) AS clean_share FROM m")
 _over(reports.quality_levels, "quality_levels", f"{_G} SELECT CASE WHEN quality_score >= 90 THEN 'excellent' WHEN quality_score >= 70 THEN 'good' WHEN quality_score >= 50 THEN 'fair' ELSE 'poor' END AS quality_level, count(*) AS queries FROM m GROUP BY 1")
 _over(reports.worst_items, "worst_items", f"{_G} SELECT id, CAST(quality_score AS INTEGER) AS quality_score, CAST(len(patterns) AS INTEGER) AS total_antipatterns FROM m WHERE parseable AND quality_score < 90 ORDER BY total_antipatterns DESC, quality_score, CAST(id AS BIGINT), id LIMIT 10")
 _over(reports.unparseable, "unparseable", f"{_G} SELECT count(*) FILTER (NOT parseable) AS unparseable, count(*) AS total, round(count(*) FILTER (NOT parseable) * 100.0::DOUBLE / count(*), 1) AS share FROM m")
+_over(reports.unparseable_items, "unparseable_items", f"{_G} SELECT id, err FROM m WHERE NOT parseable")
 _over(reports.used_tables, "used_tables", f"{_G}, {_USED_SQL} SELECT * FROM used")
 _over(reports.dataset_overview, "dataset_overview", f"{_G} SELECT count(DISTINCT id) AS items, count(DISTINCT db_id) AS dbs FROM m")
 _covered(reports.coverage_by_db, "coverage_by_db", f"{_COVER} SELECT *, CASE WHEN tables - used >= 3 THEN 'High' WHEN tables > used THEN 'Medium' ELSE 'None' END AS priority, greatest(0.0::DOUBLE, round(95 - coverage, 1)) AS lacking FROM cov")

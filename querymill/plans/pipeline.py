@@ -154,6 +154,6 @@ def write_reports(spark: SparkSession, metrics: str, to: str, which: list[str] |
             if m is not None and catalog is not None:
                 body |= {"Summary": reports.coverage_summary(m, catalog), "Databases": reports.coverage_by_db(m, catalog)}
         else:
-            body = {f.__name__.replace("_", " ").capitalize(): f(m) for f in (reports.quality_summary, reports.quality_levels, reports.antipattern_by_severity, reports.antipattern_top, reports.antipattern_statements, reports.unparseable, reports.worst_items)} if m is not None else {"Quality": missing}
+            body = {f.__name__.replace("_", " ").capitalize(): f(m) for f in (reports.quality_summary, reports.quality_levels, reports.antipattern_by_severity, reports.antipattern_top, reports.antipattern_items, reports.unparseable, reports.unparseable_items, reports.worst_items)} if m is not None else {"Quality": missing}
         written.append(sinks.write_markdown(f"{to}/{name}_report.md", name.replace("_", " ").capitalize(), body))
     return written

@@ -150,7 +150,7 @@ def balance(m: DataFrame) -> DataFrame:
 
 def antipattern_rows(m: DataFrame) -> DataFrame:
     """One row for each antipattern found."""
-    return m.where("parseable").select("id", "db_id", F.explode("antipatterns").alias("a")).select("id", "db_id", "a.pattern", "a.severity")
+    return valid(m).select("id", "db_id", F.explode("antipatterns").alias("a")).select("id", "db_id", "a.pattern", "a.severity", "a.message")
 
 
 def antipattern_by_severity(m: DataFrame) -> DataFrame:
@@ -160,10 +160,10 @@ def antipattern_by_severity(m: DataFrame) -> DataFrame:
 
 
 def antipattern_by_pattern(m: DataFrame) -> DataFrame:
-    """Q11, Q59: findings and statements by pattern and severity, as a share of parsed statements."""
-    every = m.agg(count_if("parseable").alias("every"))
-    n = antipattern_rows(m).groupBy("pattern", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("id").alias("queries"))
-    return n.crossJoin(F.broadcast(every)).select("pattern", "severity", "findings", "queries", percent(F.col("queries"), F.col("every")).alias("share"))
+    """Q11, Q59: findings and statements by pattern and severity, as a share of parsed statements, with a message of one of them."""
+    every = valid(m).agg(F.count(F.lit(1)).alias("every"))
+    n = antipattern_rows(m).groupBy("pattern", "severity").agg(F.any_value("message").alias("example_message"), F.count(F.lit(1)).alias("findings"), F.count_distinct("id").alias("queries"))
+    return n.crossJoin(F.broadcast(every)).select("pattern", "severity", "example_message", "findings", "queries", percent(F.col("queries"), F.col("every")).alias("share"))
 
 
 def antipattern_top(m: DataFrame, k: int = 15) -> DataFrame:
@@ -173,13 +173,6 @@ def antipattern_top(m: DataFrame, k: int = 15) -> DataFrame:
 
 
 def antipattern_items(m: DataFrame) -> DataFrame:
-    """By pattern, the number of statements that have it, with the least and greatest numeric id; antipattern_statements lists them."""
-    d = antipattern_rows(m).select("pattern", "severity", "id").distinct()
-    number = F.expr("try_cast(id as bigint)")
-    return d.groupBy("pattern", "severity").agg(F.count(F.lit(1)).alias("queries"), F.min(number).alias("first_id"), F.max(number).alias("last_id"))
-
-
-def antipattern_statements(m: DataFrame) -> DataFrame:
     """Q62: by pattern, every statement that has it once, numerically ordered; ids that are no numbers come last."""
     return antipattern_rows(m).select("pattern", "severity", "id").distinct().orderBy("pattern", "severity", F.expr("try_cast(id as bigint)").asc_nulls_last(), "id")
 
@@ -212,6 +205,13 @@ def unparseable(m: DataFrame) -> DataFrame:
     return m.agg(count_if(~F.col("parseable")).alias("unparseable"), F.count(F.lit(1)).alias("total"), percent(count_if(~F.col("parseable")), F.count(F.lit(1))).alias("share"))
 
 
+def unparseable_items(m: DataFrame) -> DataFrame:
+    """Q63: every statement that can't be parsed, in numerical order, with the first 100 characters of why."""
+    why = F.coalesce("err", F.lit("Unknown error"))
+    short = F.when(F.length(why) > 100, F.concat(F.substring(why, 1, 100), F.lit("..."))).otherwise(why)
+    return m.where(~F.col("parseable")).select("id", short.alias("err")).orderBy(F.expr("try_cast(id as bigint)").asc_nulls_last(), "id")
+
+
 def used_tables(m: DataFrame) -> DataFrame:
     """(db_id, table, queries): tables that statements name, in lower case and without quotes."""
     t = valid(m).select("db_id", "id", F.explode("tables").alias("t")).select("db_id", "id", F.lower(F.regexp_replace("t", "[\"'`]", "")).alias("table"))
@@ -230,11 +230,15 @@ def coverage_by_db(m: DataFrame, catalog: DataFrame) -> DataFrame:
     return per.withColumn("priority", F.when(F.col("tables") - F.col("used") >= 3, "High").when(F.col("tables") > F.col("used"), "Medium").otherwise("None")).withColumn("lacking", F.greatest(F.lit(0.0), F.round(95 - F.col("coverage"), 1)))
 
 
+def upper_median(column: str) -> Column:
+    """Of an even number of values the greater of the middle two: the least that is exceeded by less than half of them."""
+    return -F.expr(f"percentile_disc(0.5) within group (order by -{column})")
+
+
 def coverage_summary(m: DataFrame, catalog: DataFrame) -> DataFrame:
     """Q50, Q56: over all databases, with the upper median of coverage."""
     c = coverage_by_db(m, catalog)
-    values = F.array_sort(F.collect_list("coverage"))
-    return c.agg(F.count(F.lit(1)).alias("dbs"), F.sum("tables").alias("tables"), F.sum("used").alias("used"), F.round(F.avg("tables"), 2).alias("avg_tables"), F.round(F.avg("coverage"), 2).alias("avg_coverage"), F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1).alias("median_coverage"))
+    return c.agg(F.count(F.lit(1)).alias("dbs"), F.sum("tables").alias("tables"), F.sum("used").alias("used"), F.round(F.avg("tables"), 2).alias("avg_tables"), F.round(F.avg("coverage"), 2).alias("avg_coverage"), upper_median("coverage").alias("median_coverage"))
 
 
 USAGE = "case when queries = 0 then '0' when queries <= 2 then '1-2' when queries <= 5 then '3-5' when queries <= 10 then '6-10' when queries <= 20 then '11-20' when queries <= 50 then '21-50' else '51+' end"
@@ -275,6 +279,13 @@ def analyzer_success(steps: DataFrame) -> DataFrame:
     return steps.groupBy("name").agg(done.alias("analyzed"), count_if("status = 'skipped'").alias("skipped"), count_if("status = 'failed'").alias("failed"), percent(count_if("status = 'ok'"), done).alias("ok_share"), F.round(F.avg("duration_ms"), 3).alias("avg_ms"))
 
 
+def performance(steps: DataFrame) -> DataFrame:
+    """Q13: mean duration of each analyzer's rows, in milliseconds. steps: (name, status, duration_ms)."""
+    return steps.groupBy("name").agg(F.round(F.avg("duration_ms"), 2).alias("avg_ms"))
+
+
 def dataset_overview(m: DataFrame) -> DataFrame:
-    """Q2: items and databases of a corpus."""
-    return m.agg(F.count_distinct("id").alias("items"), F.count_distinct("db_id").alias("dbs"))
+    """Q2: by dataset, items and databases, and when the first and the last was analyzed, where m says so."""
+    keys = [c for c in ("dataset_id",) if c in m.columns]
+    times = [F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")] if "ts" in m.columns else []
+    return m.where("id is not null").groupBy(*keys).agg(F.count_distinct("id").alias("items"), F.count_distinct("db_id").alias("dbs"), *times)

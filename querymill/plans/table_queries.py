@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.operators import calibration, execution, judge, normalize, schema
+from querymill.operators import calibration, databases, execution, judge, normalize, schema
+from querymill.operators.audit import audit
 from querymill.plans import reports
 from querymill.plans.registry import query
 from querymill.session import table
@@ -18,7 +19,6 @@ a AS (SELECT item_id, count(*) AS total_voters, count(*) FILTER (good AND k = 'C
 j AS (SELECT *, total_voters - f AS n, greatest(c, p, i, u) AS most FROM a),
 judged AS (SELECT *, n > 0 AND most * 2 > n AS consensus_reached, CASE WHEN n > 0 AND most * 2 > n THEN CASE most WHEN c THEN 'CORRECT' WHEN p THEN 'PARTIALLY_CORRECT' WHEN i THEN 'INCORRECT' ELSE 'UNANSWERABLE' END END AS consensus_verdict, n > 0 AND most = n AS is_unanimous FROM j),
 st AS (SELECT *, CASE WHEN n = 0 THEN 'failed' WHEN consensus_verdict = 'CORRECT' THEN 'ok' WHEN consensus_verdict = 'PARTIALLY_CORRECT' THEN 'warns' WHEN consensus_verdict IS NOT NULL THEN 'errors' ELSE 'warns' END AS status FROM judged)"""
-MODELS = ["orvax-2", "kestra-pro", "sable-7"]
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -45,15 +45,18 @@ def judge_summary(spark: SparkSession, d: str) -> DataFrame:
     return judge.summary(_judged(spark, d))
 
 
-@query("verdict_breakdown", f"WITH {_V}, b AS (SELECT item_id, " + ", ".join(f"min(k) FILTER (good AND model = '{m}') AS \"{m}\"" for m in MODELS) + " FROM g GROUP BY 1) SELECT " + ", ".join(f'"{m}"' for m in MODELS) + ", count(*) AS items FROM b WHERE " + " AND ".join(f'"{m}" IS NOT NULL' for m in MODELS) + " GROUP BY ALL")
+_MIXED = f"""WITH {_V}, b AS (SELECT item_id, model, min(k) AS k FROM g WHERE good AND model IS NOT NULL AND item_id IN (SELECT item_id FROM st WHERE NOT consensus_reached AND status <> 'failed') GROUP BY 1, 2)
+SELECT verdicts, count(*) AS items FROM (SELECT item_id, string_agg(model || ': ' || k, ', ' ORDER BY model) AS verdicts FROM b GROUP BY 1 HAVING count(*) >= 2) GROUP BY 1"""
+
+
+@query("verdict_breakdown", _MIXED)
 def verdict_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    return judge.breakdown(table(spark, d, "voters"), MODELS)
+    return judge.verdict_texts(table(spark, d, "voters"))
 
 
-@query("verdict_breakdown_mixed")
-def verdict_breakdown_mixed(spark: SparkSession, d: str) -> DataFrame:
-    """verdict_breakdown over all models of the votes and the items without consensus."""
-    return judge.mixed_breakdown(table(spark, d, "voters"))
+@query("failed_items", f"WITH {_V} SELECT item_id, 'All voters failed' AS err, f AS voters_failed, total_voters FROM st WHERE status = 'failed'")
+def failed_items(spark: SparkSession, d: str) -> DataFrame:
+    return judge.failed_items(_judged(spark, d))
 
 
 _LIST = "SELECT item_id, consensus_verdict, total_voters, f AS voters_failed FROM st WHERE"
@@ -106,14 +109,8 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return calibration.stratified_sample(t, "verdict", "id")
 
 
-@query("complement_ids", "SELECT i AS id FROM range(1, 20001) t(i) WHERE i NOT IN (SELECT id FROM calibration_train WHERE id IS NOT NULL)")
+@query("complement_ids", "SELECT i AS id FROM (SELECT unnest(range(1, max(id) + 1)) AS i FROM calibration_train) WHERE i NOT IN (SELECT id FROM calibration_train WHERE id IS NOT NULL)")
 def complement_ids(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.complement(20_000, table(spark, d, "calibration_train", "id"))
-
-
-@query("complement_ids_all", "SELECT i AS id FROM (SELECT unnest(range(1, max(id) + 1)) AS i FROM calibration_train) WHERE i NOT IN (SELECT id FROM calibration_train WHERE id IS NOT NULL)")
-def complement_ids_all(spark: SparkSession, d: str) -> DataFrame:
-    """complement_ids up to the greatest id of the table rather than to 20,000."""
     ids = table(spark, d, "calibration_train", "id")
     return calibration.complement(ids.agg(F.max("id")).first()[0] or 0, ids)
 
@@ -127,15 +124,21 @@ def default_verdicts(spark: SparkSession, d: str) -> DataFrame:
 _PLAIN = r"lower(regexp_replace(trim(query), '\s+', ' ', 'g'))"
 
 
-@query("normalized_sql_match", f"WITH a AS (SELECT DISTINCT id, {_PLAIN} AS k FROM calibration_train WHERE query IS NOT NULL), b AS (SELECT DISTINCT id, {_PLAIN} AS k FROM calibration_dev WHERE query IS NOT NULL) SELECT a.id AS train_id, b.id AS dev_id FROM a JOIN b USING (k)")
+@query(
+    "normalized_sql_match",
+    f"WITH a AS (SELECT DISTINCT id, {_PLAIN} AS k FROM calibration_train WHERE query IS NOT NULL), h AS (SELECT id, query, 'dev' AS split FROM calibration_dev UNION ALL SELECT id, query, 'test' FROM calibration_test), b AS (SELECT DISTINCT id, split, {_PLAIN} AS k FROM h WHERE query IS NOT NULL) SELECT a.id AS train_id, b.id AS eval_id, b.split FROM a JOIN b USING (k)",
+)
 def normalized_sql_match(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (table(spark, d, f"calibration_{s}").where("query is not null").select(F.col("id").alias(f"{s}_id"), calibration.plain_sql(F.col("query")).alias("k")).distinct() for s in ("train", "dev"))
-    return a.join(b, "k").select("train_id", "dev_id")
+    def plain(split: str, name: str) -> DataFrame:
+        return table(spark, d, f"calibration_{split}").where("query is not null").select(F.col("id").alias(name), F.lit(split).alias("split"), calibration.plain_sql(F.col("query")).alias("k")).distinct()
+
+    held_out = plain("dev", "eval_id").unionByName(plain("test", "eval_id"))
+    return plain("train", "train_id").drop("split").join(held_out, "k").select("train_id", "eval_id", "split")
 
 
-@query("positional_lookup", "WITH o AS (SELECT id, row_number() OVER (ORDER BY loaded_at, id) AS position FROM calibration_dev) SELECT o.position, o.id FROM o JOIN (SELECT DISTINCT c_custkey AS position FROM customer) c USING (position)")
+@query("positional_lookup", "WITH o AS (SELECT id, row_number() OVER (ORDER BY loaded_at, id) AS position FROM calibration_train) SELECT o.position, o.id FROM o JOIN (SELECT DISTINCT c_custkey AS position FROM customer) c USING (position)")
 def positional_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.lookup_by_position(table(spark, d, "calibration_dev", "id", "loaded_at"), ["loaded_at", "id"], table(spark, d, "customer", F.col("c_custkey").alias("position"))).select("position", "id")
+    return calibration.lookup_by_position(table(spark, d, "calibration_train", "id", "loaded_at"), ["loaded_at", "id"], table(spark, d, "customer", F.col("c_custkey").alias("position"))).select("position", "id")
 
 
 # schemas --------------------------------------------------------------------------------------------
@@ -245,22 +248,22 @@ _orphan_query("fk_orphans_lineitem_orders", "lineitem", "l_orderkey", "orders",
 
 
 # identities and text --------------------------------------------------------------------------------
-@query("hash_ids", "SELECT id AS row_id, substr(sha256(coalesce(db_id, '') || chr(0) || coalesce(question, '') || chr(0) || coalesce(query, '')), 1, 16) AS id FROM calibration_dev")
+@query("hash_ids", "SELECT id AS row_id, substr(sha256(coalesce(db_id, '') || chr(0) || coalesce(question, '') || chr(0) || coalesce(query, '')), 1, 16) AS id FROM calibration_train")
 def hash_ids(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "calibration_dev").select(F.col("id").alias("row_id"), "question", "query", "db_id")
+    raw = table(spark, d, "calibration_train").select(F.col("id").alias("row_id"), "question", "query", "db_id")
     items = normalize.alias_mapper(raw.withColumn("none", F.lit(None).cast("string")), {"question": "question", "sql": "query", "dbId": "db_id", "id": "none"})
     return normalize.hash_ids(items).select(F.get_json_object("metadata", "$.row_id").cast("long").alias("row_id"), "id")
 
 
-@query("incremental_ids", "WITH t AS (SELECT id, loaded_at, question, originalConsensVerdict = 'CORRECT' AS kept FROM calibration_test) SELECT CAST(id AS BIGINT) AS row_id, CASE WHEN kept THEN 'k' ELSE CAST(row_number() OVER (PARTITION BY coalesce(kept, false) ORDER BY loaded_at, id) + 99 AS VARCHAR) END AS id FROM (SELECT id, loaded_at, coalesce(kept, false) AS kept FROM t)")
+@query("incremental_ids", "WITH t AS (SELECT id, loaded_at, question, originalConsensVerdict = 'CORRECT' AS kept FROM calibration_train) SELECT CAST(id AS BIGINT) AS row_id, CASE WHEN kept THEN 'k' ELSE CAST(row_number() OVER (PARTITION BY coalesce(kept, false) ORDER BY loaded_at, id) + 99 AS VARCHAR) END AS id FROM (SELECT id, loaded_at, coalesce(kept, false) AS kept FROM t)")
 def incremental_ids(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "calibration_test").select(F.col("id").alias("row_id"), "loaded_at", F.when(F.col("originalConsensVerdict") == "CORRECT", "k").alias("id"))
+    t = table(spark, d, "calibration_train").select(F.col("id").alias("row_id"), "loaded_at", F.when(F.col("originalConsensVerdict") == "CORRECT", "k").alias("id"))
     return normalize.incremental_ids(t, ["loaded_at", "row_id"], 100).select("row_id", "id")
 
 
-@query("bad_schema_id", r"SELECT id, 'sql_err_' || substr(sha1(lower(trim(regexp_replace(regexp_replace(regexp_replace(query, '--[^\n]*', ' ', 'g'), '(?s)/\*.*?\*/', ' ', 'g'), '\s+', ' ', 'g')))), 1, 16) AS schema_id FROM calibration_dev WHERE query IS NOT NULL")
+@query("bad_schema_id", r"SELECT id, 'sql_err_' || substr(sha1(lower(trim(regexp_replace(regexp_replace(regexp_replace(query, '--[^\n]*', ' ', 'g'), '(?s)/\*.*?\*/', ' ', 'g'), '\s+', ' ', 'g')))), 1, 16) AS schema_id FROM calibration_train WHERE query IS NOT NULL")
 def bad_schema_id(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "calibration_dev", "id", "query").where("query is not null").select("id", normalize.bad_schema_id(F.col("query"), "sqlite").alias("schema_id"))
+    return table(spark, d, "calibration_train", "id", "query").where("query is not null").select("id", normalize.bad_schema_id(F.col("query"), "sqlite").alias("schema_id"))
 
 
 @query("schema_identity")
@@ -291,10 +294,15 @@ def destructive_block(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy(execution.blocked(F.col("sql")).alias("blocked")).agg(F.count(F.lit(1)).alias("items"))
 
 
+def _statements(spark: SparkSession, d: str, names: DataFrame | None = None) -> DataFrame:
+    """(id, db_id, sql) of the training records, once each, with the registered database they mean."""
+    rows = table(spark, d, "calibration_train", "id", "db_id", F.col("query").alias("sql")).where("id is not null").dropDuplicates(["id"])
+    return databases.resolved(rows, table(spark, d, "db_catalog", "db_id") if names is None else names)
+
+
 def _probed(spark: SparkSession, d: str) -> DataFrame:
     columns, fks = catalog(spark, d)
-    items = table(spark, d, "calibration_train", "id", "db_id", F.col("query").alias("sql")).where("db_id is not null")
-    return execution.probe(items, schema.ddl(columns, fks).select("db_id", "ddl"))
+    return execution.probe(_statements(spark, d), schema.ddl(columns, fks).select("db_id", "ddl"))
 
 
 @query("execution_totals")
@@ -312,23 +320,64 @@ def execution_failures(spark: SparkSession, d: str) -> DataFrame:
     return execution.failures(_probed(spark, d))
 
 
+_TRIED = """x AS (SELECT db_id || '.' || table_name || '.' || pos AS id, CASE pos % 7 WHEN 5 THEN 'nowhere' WHEN 6 THEN NULL ELSE db_id END AS db_id, CASE pos % 7
+  WHEN 1 THEN 'SELECT "no_such_column_here" + 1 FROM no_such_table' WHEN 2 THEN '-- gone\nDROP TABLE "' || table_name || '"' WHEN 3 THEN ' ' WHEN 4 THEN 'DELETE FROM "' || table_name || '"' ELSE 'SELECT "' || col_name || '" FROM "' || table_name || '"' END AS sql, pos % 7 AS k FROM cat_columns)"""
+
+
+@query(
+    "execution_outcomes",
+    f"WITH {_TRIED} SELECT id, db_id, CASE k WHEN 0 THEN 'ok' ELSE 'failed' END AS status, CASE k WHEN 1 THEN 'Execution error: no such table: no_such_table' WHEN 2 THEN 'Blocked destructive statement: DROP' WHEN 3 THEN 'Empty SQL' WHEN 4 THEN 'Only SELECT statements are allowed' WHEN 5 THEN 'DB not accessible: unknown database' WHEN 6 THEN 'DB not accessible: unknown database' END AS err FROM x",
+)
+def execution_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """A statement for every column of the catalog, good and bad in turn, tried on its database."""
+    return _tried(spark, d).drop("duration_ms")
+
+
+def _tried(spark: SparkSession, d: str) -> DataFrame:
+    columns, fks = catalog(spark, d)
+    source = table(spark, d, "cat_columns")
+    k = F.col("pos") % 7
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    sql = F.when(k == 1, 'SELECT "no_such_column_here" + 1 FROM no_such_table').when(k == 2, F.concat(F.lit("-- gone\nDROP TABLE "), quoted("table_name"))).when(k == 3, " ").when(k == 4, F.concat(F.lit("DELETE FROM "), quoted("table_name")))
+    items = source.select(F.concat_ws(".", "db_id", "table_name", F.col("pos").cast("string")).alias("id"), F.when(k == 5, "nowhere").when(k == 6, F.lit(None)).otherwise(F.col("db_id")).alias("db_id"), sql.otherwise(F.concat(F.lit("SELECT "), quoted("col_name"), F.lit(" FROM "), quoted("table_name"))).alias("sql"))
+    return execution.probe(items, schema.ddl(columns, fks).select("db_id", "ddl"))
+
+
+@query("execution_patterns", f"WITH {_TRIED} SELECT 'db not accessible' AS pattern, count(*) AS failures FROM x WHERE k IN (5, 6) UNION ALL SELECT 'execution error', count(*) FROM x WHERE k = 1 UNION ALL SELECT 'blocked destructive statement', count(*) FROM x WHERE k = 2")
+def execution_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return execution.error_patterns(_tried(spark, d))
+
+
+@query("execution_summary", f"WITH {_TRIED} SELECT count(*) AS total, count(*) AS analyzed, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (k <> 0) AS failed, round(count(*) FILTER (k <> 0) * 100.0::DOUBLE / count(*), 1) AS failed_share FROM x")
+def execution_summary(spark: SparkSession, d: str) -> DataFrame:
+    return execution.totals(_tried(spark, d))
+
+
 # audit of the project's own statements ---------------------------------------------------------------
 @query("corpus_audit")
 def corpus_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Difficulty, quality and findings of every training statement, by database."""
-    from querymill.operators.audit import audit
-
-    m = audit(table(spark, d, "calibration_train", "id", "db_id", F.col("query").alias("sql")))
+    """Difficulty, quality and findings of every training statement, once each, by registered database."""
+    m = audit(_statements(spark, d))
     return m.groupBy("db_id", "difficulty_level").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("complexity_score"), 3).alias("avg_complexity"), F.round(F.avg("quality_score"), 3).alias("avg_quality"), F.sum("total_antipatterns").alias("findings"))
 
 
 @query("corpus_coverage")
 def corpus_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of each registered database's tables by the training statements."""
-    from querymill.operators.audit import audit
+    return reports.coverage_by_db(audit(_statements(spark, d)), table(spark, d, "cat_columns", "db_id", F.col("table_name").alias("table")))
+
+
+_KEY = r"""regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(written, '^[\s\pZ"''`\[\](){}]+|[\s\pZ"''`\[\](){}]+$', '', 'g'), '^.*[/\\]', ''), '\.[A-Za-z][A-Za-z0-9]{0,9}[\s"''`\]]*$', '')), '[^\pL\pN]+', '', 'g')"""
+
 
-    m = audit(table(spark, d, "calibration_train", "id", "db_id", F.col("query").alias("sql")))
-    return reports.coverage_by_db(m, table(spark, d, "cat_columns", "db_id", F.col("table_name").alias("table")))
+@query(
+    "resolved_databases",
+    f"""WITH c AS (SELECT db_id, regexp_replace(lower(db_id), '[^a-z0-9]+', '', 'g') AS key FROM db_catalog), t AS (SELECT DISTINCT id, db_id AS written FROM calibration_train WHERE id IS NOT NULL),
+k AS (SELECT *, {_KEY} AS key FROM t), u AS (SELECT key, min(db_id) AS db_id FROM c GROUP BY 1 HAVING count(*) = 1)
+SELECT coalesce(e.db_id, u.db_id) AS db_id, count(*) AS items FROM k LEFT JOIN c e ON e.db_id = k.written LEFT JOIN u ON u.key = k.key GROUP BY 1""",
+)
+def resolved_databases(spark: SparkSession, d: str) -> DataFrame:
+    return _statements(spark, d).groupBy("db_id").agg(F.count(F.lit(1)).alias("items"))
 
 
 # streams, here over tables at rest ------------------------------------------------------------------

@@ -34,8 +34,26 @@ LABELS = {
 #: The switches of the patterns, in the order in which findings are listed.
 SWITCHES = tuple(pattern for patterns in SEVERITIES.values() for pattern in patterns)
 
-#: (pattern, message, location)
-Finding = tuple[str, str, str]
+#: What a finding of each pattern says.
+MESSAGES = {
+    "unsafe_delete": "every row is removed: there is no condition",
+    "unsafe_update": "every row is changed: there is no condition",
+    "null_comparison_equals": "nothing equals or differs from NULL; IS NULL asks for it",
+    "cartesian_product": "some sources are not related to the others, so all their rows are combined",
+    "missing_group_by": "aggregated and single values stand in one list, and not all of the single ones are grouped",
+    "function_in_where": "computed from columns for every row, past any index on them",
+    "not_in_nullable": "no row passes once the subquery gives a NULL; NOT EXISTS has no such trap",
+    "leading_wildcard_like": "a search that may begin anywhere reads every row",
+    "limit_without_order_by": "which rows are kept is left to chance",
+    "offset_without_order_by": "which rows are passed over is left to chance",
+    "redundant_distinct": "groups are distinct already",
+    "correlated_subquery": "run again for each row of the query around it",
+    "select_star": "the columns are not named",
+    "select_in_exists": "values are selected though only their existence counts",
+}
+
+#: (pattern, location)
+Finding = tuple[str, str]
 SETS = ("Union", "Intersect", "Except")
 CALLS = ("Func", "Agg", "Case", "Any", "Exists")
 
@@ -196,7 +214,7 @@ def _rule(f: Callable) -> Callable:
 def unsafe_update_delete(s) -> Iterator[Finding]:
     for n in s.all("Delete", "Update"):
         if next(n.find("Where"), None) is None:
-            yield f"unsafe_{n.kind.lower()}", f"every row is changed: the {n.kind.upper()} has no condition", n["table"].text
+            yield f"unsafe_{n.kind.lower()}", n["table"].text
 
 
 @_rule
@@ -204,14 +222,14 @@ def null_comparison_equals(s) -> Iterator[Finding]:
     compared = (n for n in s.all("Compare") if n.value != "<=>" and "Null" in (n["left"].kind, n["right"].kind))
     listed = (n for n in s.all("In") if any(x.kind == "Null" for x in n["items"] or []))
     for n in [*compared, *listed][:1]:
-        yield "null_comparison_equals", "nothing equals or differs from NULL; IS NULL asks for it", n.text
+        yield "null_comparison_equals", n.text
 
 
 @_rule
 def cartesian_product(s) -> Iterator[Finding]:
     for level in levels(s):
         if level.components() > 1:
-            yield "cartesian_product", "some sources are not related to the others, so all their rows are combined", ", ".join(level.sources)
+            yield "cartesian_product", ", ".join(level.sources)
             return
 
 
@@ -222,10 +240,10 @@ def missing_group_by(s) -> Iterator[Finding]:
             continue
         bare = sorted({c.text for item in level.items if not level.grouped(item) for c in level.exposed(item)})
         if level.select["group"] and bare:
-            yield "missing_group_by", "neither grouped nor aggregated", ", ".join(bare)
+            yield "missing_group_by", ", ".join(bare)
             return
         if not level.select["group"] and (bare or any(i.kind == "Star" for i in level.items)):
-            yield "missing_group_by", "aggregated and single values in one list, without groups", ", ".join(bare) or "*"
+            yield "missing_group_by", ", ".join(bare) or "*"
 
 
 @_rule
@@ -233,7 +251,7 @@ def function_in_where(s) -> Iterator[Finding]:
     for clause in (c for c in s.all("Where", "Having") if c.scope is not None):
         burden = Burden(clause)
         for n in (burden.calls + burden.sums)[:1]:
-            yield "function_in_where", "computed from columns for every row, past any index on them", f"{clause.kind.upper()} {n.text}"
+            yield "function_in_where", f"{clause.kind.upper()} {n.text}"
             return
 
 
@@ -241,7 +259,7 @@ def function_in_where(s) -> Iterator[Finding]:
 def not_in_nullable(s) -> Iterator[Finding]:
     for n in s.all("Not"):
         if any(next(i.find("Subquery"), None) for i in n.find("In")):
-            yield "not_in_nullable", "no row passes once the subquery gives a NULL; NOT EXISTS has no such trap", "NOT IN"
+            yield "not_in_nullable", "NOT IN"
             return
 
 
@@ -249,7 +267,7 @@ def not_in_nullable(s) -> Iterator[Finding]:
 def leading_wildcard_like(s) -> Iterator[Finding]:
     for pattern in (n["pattern"] for n in s.all("Like")):
         if (pattern.value if pattern.kind == "Literal" else pattern.text).strip(" '\"\t\n")[:1] in ("%", "_"):
-            yield "leading_wildcard_like", "a search that may begin anywhere reads every row", pattern.text
+            yield "leading_wildcard_like", pattern.text
             return
 
 
@@ -267,21 +285,21 @@ def _any_row_will_do(n: Node) -> bool:
 @_rule
 def limit_without_order_by(s) -> Iterator[Finding]:
     for n in _unordered(s, "limit", _any_row_will_do):
-        yield "limit_without_order_by", "which rows are kept is left to chance", n["limit"].text
+        yield "limit_without_order_by", n["limit"].text
         return
 
 
 @_rule
 def offset_without_order_by(s) -> Iterator[Finding]:
     for n in _unordered(s, "offset", lambda _: False):
-        yield "offset_without_order_by", "which rows are passed over is left to chance", n["offset"].text
+        yield "offset_without_order_by", n["offset"].text
         return
 
 
 @_rule
 def redundant_distinct(s) -> Iterator[Finding]:
     if any(n["distinct"] and next(n.find("Group"), None) for n in s.all("Select")):
-        yield "redundant_distinct", "groups are distinct already", "DISTINCT"
+        yield "redundant_distinct", "DISTINCT"
 
 
 @_rule
@@ -292,7 +310,7 @@ def correlated_subquery(s) -> Iterator[Finding]:
         outer = inner.scope
         while outer is not None:
             if used & names[id(outer)]:
-                yield "correlated_subquery", "run again for each row of the query around it", ", ".join(sorted(used & names[id(outer)]))
+                yield "correlated_subquery", ", ".join(sorted(used & names[id(outer)]))
                 return
             outer = outer.scope
 
@@ -301,7 +319,7 @@ def correlated_subquery(s) -> Iterator[Finding]:
 def select_star(s) -> Iterator[Finding]:
     for item in (i for n in s.all("Select") for i in n["items"]):
         if item.kind == "Star" or item.kind == "Column" and item["star"]:
-            yield "select_star", "the columns are not named", item.text
+            yield "select_star", item.text
             return
 
 
@@ -309,14 +327,14 @@ def select_star(s) -> Iterator[Finding]:
 def select_in_exists(s) -> Iterator[Finding]:
     for n in s.all("Exists"):
         if n["this"].kind == "Select" and any(i.kind != "Literal" for i in n["this"]["items"]):
-            yield "select_in_exists", "values are selected though only their existence counts", ", ".join(i.text for i in n["this"]["items"])
+            yield "select_in_exists", ", ".join(i.text for i in n["this"]["items"])
             return
 
 
 def antipatterns(s, severities: dict[str, list[str]] | None = None) -> list[tuple[str, str, str, str]]:
     """(pattern, severity, message, location) of the patterns that severities enables, None for the default."""
     level = {p: severity for severity, patterns in (SEVERITIES if severities is None else severities).items() for p in patterns}
-    return [(pattern, level[name], message, location) for name in SWITCHES if name in level for pattern, message, location in _RULES[name](s)]
+    return [(pattern, level[name], MESSAGES[pattern], location) for name in SWITCHES if name in level for pattern, location in _RULES[name](s)]
 
 
 def switch_of(pattern: str) -> str:

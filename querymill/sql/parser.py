@@ -44,7 +44,7 @@ class Parser:
         return token
 
     def fail(self, wanted: str) -> SqlError:
-        return SqlError(f"expected {wanted} at {' '.join(t.text for t in self.tokens[self.at : self.at + 4]) or 'the end'}")
+        return SqlError(f"expected {wanted} at {' '.join(t.text for t in self.tokens[self.at : self.at + 4]).strip() or 'the end'}")
 
     def is_(self, *uppers: str) -> bool:
         return self.tokens[self.at].upper in uppers

@@ -146,10 +146,10 @@ def test_votes(spark):
 def test_breakdown_over_all_models_and_mixed_items(spark, rows):
     votes = [("1", "m1", "CORRECT"), ("1", "m2", "INCORRECT"), ("2", "m1", "CORRECT"), ("2", "m2", "CORRECT"), ("3", "m2", "correct"), ("3", "new.4", "UNANSWERABLE"), ("4", "m1", "CORRECT"), ("4", "m2", "FAILED"), ("5", "m1", "CORRECT"), ("5", "m2", "INCORRECT")]
     df = spark.createDataFrame([(*v, 1.0, None) for v in votes], "item_id string, model string, verdict string, weight double, error string")
-    got = judge.mixed_breakdown(df)
+    got = judge.breakdown(df)
     assert got.columns == ["m1", "m2", "new.4", "items"]
     assert {tuple(r) for r in got.collect()} == {("CORRECT", "INCORRECT", None, 2), (None, "CORRECT", "UNANSWERABLE", 1)}
-    assert judge.mixed_breakdown(df.limit(0)).count() == 0
+    assert judge.breakdown(df.limit(0)).count() == 0
 
 
 def test_replies_and_asking(spark):
@@ -186,7 +186,7 @@ def test_complement_reaches_the_greatest_id(spark, tmp_path):
     from querymill.plans import queries
 
     spark.createDataFrame([(1,), (None,), (25_000,), (25_000,)], "id long").write.parquet(f"{tmp_path}/calibration_train.parquet")
-    got = {r["id"] for r in queries.QUERIES["complement_ids_all"](spark, str(tmp_path)).collect()}
+    got = {r["id"] for r in queries.QUERIES["complement_ids"](spark, str(tmp_path)).collect()}
     assert got == set(range(2, 25_000))
 
 
@@ -222,6 +222,9 @@ def test_database_identity(spark):
 def test_execution_gate_and_limit():
     assert execution.gate("drop table t") == "Blocked destructive statement: DROP"
     assert execution.gate("DELETE FROM t") == "Only SELECT statements are allowed" and execution.gate("DELETE FROM t", "all") is None
+    for text in ("-- c\nDROP TABLE t", "/* x */ drop TABLE t", "SELECT 1; DROP TABLE t", ";vacuum", "/* a */ ALTER TABLE ((", "TRUNCATE TABLE t"):
+        assert execution.gate(text, "all").startswith("Blocked destructive statement: "), text
+    assert execution.gate("SELECT 'drop table t'", "all") is None and execution.gate("SELECT drop_date FROM t", "all") is None
     assert execution.gate(" ") == "Empty SQL" and execution.gate("SELECT a FROM t UNION SELECT b FROM u") is None
     assert execution.gate("SELECT a FROM t UNION SELECT b FROM u", strict_compat=True)
     assert execution.limited("SELECT a FROM t; -- x") == "SELECT a FROM t\nLIMIT 1" and execution.limited("SELECT a FROM t LIMIT 3") == "SELECT a FROM t LIMIT 3"
@@ -240,8 +243,8 @@ def test_execution_probe_and_sqlite_catalog(spark, tmp_path):
             c.executescript("create table users (id integer primary key, email text unique); create table orders (id integer primary key, user_id int references users); insert into users values (1, 'a');")
     items = spark.createDataFrame([(1, "toy", "SELECT * FROM users"), (2, "toy", "SELECT x FROM users"), (3, "none", "SELECT 1"), (4, None, "SELECT 1"), (5, "toy", None)], "id int, db_id string, sql string")
     out = {r["id"]: r for r in execution.probe(items, root=str(tmp_path)).collect()}
-    assert [out[i]["ok"] for i in range(1, 6)] == [True, False, False, False, False]
-    assert execution.error_patterns(execution.probe(items, root=str(tmp_path))).first()["kind"] == "no such column"
+    assert [out[i]["status"] for i in range(1, 6)] == ["ok", "failed", "failed", "failed", "failed"]
+    assert {tuple(r) for r in execution.error_patterns(execution.probe(items, root=str(tmp_path))).collect()} == {("execution error", 1), ("db not accessible", 2)}
     tables, columns, fks = files.sqlite_catalog(spark, str(tmp_path), items.select("db_id").where("db_id is not null"))
     assert {(r["table"], r["is_empty"]) for r in tables.collect()} == {("users", False), ("orders", True)}
     assert {r["name"] for r in columns.where("uniq").collect()} == {"email"}
@@ -250,6 +253,25 @@ def test_execution_probe_and_sqlite_catalog(spark, tmp_path):
         execution.probe(items, root="x", mode="odd")
 
 
+def test_execution_of_a_hot_database(spark):
+    """Items of one database are tried in many parts, each of which has met its DDL."""
+    ddl = spark.createDataFrame([("hot", "CREATE TABLE t (a INT);"), ("cold", "CREATE TABLE u (b INT);"), ("broken", "CREATE nonsense")], "db_id string, ddl string")
+    items = spark.range(300).select("id", F.when(F.col("id") % 10 == 0, "cold").when(F.col("id") % 10 == 1, "broken").when(F.col("id") % 10 == 2, None).otherwise("hot").alias("db_id"), F.lit("SELECT a FROM t").alias("sql"))
+    out = execution.probe(items, ddl, parts=4)
+    assert {tuple(r) for r in out.groupBy("db_id", "status").count().collect()} == {("hot", "ok", 210), ("cold", "failed", 30), ("broken", "failed", 30), (None, "failed", 30)}
+    assert {r["pattern"]: r["failures"] for r in execution.error_patterns(out).collect()} == {"execution error": 30, "db not accessible": 60}
+    assert execution.totals(out).first().asDict() == {"total": 300, "analyzed": 300, "skipped": 0, "failed": 90, "failed_share": 30.0}
+    assert execution.probe(items.limit(0), ddl).count() == 0
+
+
+def test_databases_written_carelessly(spark):
+    from querymill.operators import databases
+
+    catalog = spark.createDataFrame([("shop_1",), ("shop-1",), ("Museum_4",), (None,)], "db_id string")
+    rows = spark.createDataFrame([(1, "Museum 4"), (2, "dbs/museum_4.sqlite"), (3, "shop_1"), (4, "SHOP 1"), (5, None), (6, "other"), (7, "  ")], "id int, db_id string")
+    assert {r["id"]: r["db_id"] for r in databases.resolved(rows, catalog).collect()} == {1: "Museum_4", 2: "Museum_4", 3: "shop_1", 4: None, 5: None, 6: None, 7: None}
+
+
 # sources and sinks ----------------------------------------------------------------------------------
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"q": 1}\n\n{"q": 2}\n')
@@ -322,12 +344,12 @@ def test_judge_report_lists_all_but_the_partial_items(spark, tmp_path):
     assert {k: parts[k] for k in ("INCORRECT", "PARTIALLY_CORRECT", "CORRECT", "Mixed")} == {"INCORRECT": 1200, "PARTIALLY_CORRECT": 50, "CORRECT": 60, "Mixed": 0}
 
 
-def test_antipattern_statements_lists_every_id(spark):
+def test_antipattern_items_lists_every_id(spark):
     from querymill.plans import reports
 
-    found = "array(named_struct('pattern', 'p', 'severity', 's'), named_struct('pattern', 'p', 'severity', 's'))"
+    found = "array(named_struct('pattern', 'p', 'severity', 's', 'message', 'm'), named_struct('pattern', 'p', 'severity', 's', 'message', 'm'))"
     m = spark.createDataFrame([(i, "d", True) for i in ("10", "9", "ab3f", "11")], "id string, db_id string, parseable boolean").selectExpr("*", f"{found} as antipatterns")
-    assert [tuple(r) for r in reports.antipattern_statements(m).collect()] == [("p", "s", i) for i in ("9", "10", "11", "ab3f")]
+    assert [tuple(r) for r in reports.antipattern_items(m).collect()] == [("p", "s", i) for i in ("9", "10", "11", "ab3f")]
 
 
 def test_registry():
