@@ -30,6 +30,12 @@ r AS (SELECT DISTINCT id, db_id AS written FROM calibration_train WHERE db_id IS
 f AS (SELECT r.id, r.written, coalesce(e.root, k.root) AS root FROM r LEFT JOIN roots e ON e.db_id = r.written LEFT JOIN roots k ON k.key = {_DB_KEY.format('r.written')})
 SELECT id, root AS db_id FROM f WHERE root IS NOT NULL AND root <> written""",
     "p5_found": f"WITH {_word_sets('t', 'calibration_train')}, {_word_sets('h', _HELD_OUT)}, {_meeting('t', 'h')} SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM m JOIN t a ON a.id = m.i JOIN h b ON b.id = m.j WHERE {_ALIKE} UNION SELECT least(a.id, b.id), greatest(a.id, b.id) FROM t a JOIN h b USING (lo, hi)",
+    "p5_report": f"""WITH {_word_sets('t', 'calibration_train')}, {_word_sets('h', _HELD_OUT)}, {_meeting('t', 'h')},
+p AS (SELECT a.id AS train_id, b.id AS eval_id FROM m JOIN t a ON a.id = m.i JOIN h b ON b.id = m.j WHERE {_ALIKE} UNION SELECT a.id, b.id FROM t a JOIN h b USING (lo, hi)),
+c AS (SELECT db_id, {_DB_KEY.format('db_id')} AS key FROM db_catalog), u AS (SELECT key, min(db_id) AS db_id FROM c GROUP BY 1 HAVING count(*) = 1),
+r AS (SELECT id, 'train' AS split, min(db_id) AS written FROM calibration_train GROUP BY 1 UNION ALL SELECT id, 'dev', min(db_id) FROM calibration_dev GROUP BY 1 UNION ALL SELECT id, 'test', min(db_id) FROM calibration_test GROUP BY 1),
+s AS (SELECT r.id, r.split, coalesce(e.db_id, u.db_id) AS db FROM r LEFT JOIN c e ON e.db_id = r.written LEFT JOIN u ON u.key = {_DB_KEY.format('r.written')})
+SELECT b.split, b.db AS eval_db, a.db AS train_db, count(*) AS pairs, count(DISTINCT p.eval_id) AS records FROM p JOIN s a ON a.id = p.train_id AND a.split = 'train' JOIN s b ON b.id = p.eval_id AND b.split <> 'train' GROUP BY 1, 2, 3""",
     "p6_found": f"WITH {_word_sets('t', 'calibration_train')}, {_meeting('t', 't')} SELECT a.id AS id_a, b.id AS id_b FROM m JOIN t a ON a.id = m.i JOIN t b ON b.id = m.j WHERE a.id < b.id AND (a.lo <> b.lo OR a.hi <> b.hi) AND {_ALIKE}",
     "p7_found": f"WITH {_KEYS}, k AS (SELECT id, min(id) OVER (PARTITION BY lo, hi) AS keep_id FROM keys) SELECT keep_id, id AS dup_id FROM k WHERE id <> keep_id",
     "p7_copies": f"WITH {_KEYS} SELECT min(id) AS keep_id, count(*) AS copies FROM keys GROUP BY lo, hi",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from querymill.llm.neardup import similar_pairs
 from querymill.llm.records import record_hashes
+from querymill.operators.databases import resolved
 
 
 def same_pairs(train: DataFrame, held_out: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("question", "query")) -> DataFrame:
@@ -28,12 +29,19 @@ def overlaps(train: DataFrame, held_out: DataFrame, id_column: str = "id", colum
     return same.unionByName(similar_pairs(train, held_out, id_column, columns, threshold))
 
 
-def report(pairs: DataFrame, splits: dict[str, DataFrame], id_column: str = "id", source: str = "db_id") -> DataFrame:
-    """(split, source, pairs, records): overlaps per evaluation split and source of the evaluation record.
+def report(pairs: DataFrame, train: DataFrame, splits: dict[str, DataFrame], catalog: DataFrame, id_column: str = "id", source: str = "db_id") -> DataFrame:
+    """(split, eval_db, train_db, pairs, records): overlaps per evaluation split and the databases of both records.
 
-    source is null where the record has none. A record delivered several times has one source: the least.
+    The databases are the registered ones that the records' spellings stand for, null where they stand
+    for none. A record delivered several times has one source: the least. records: evaluation records.
     """
-    held_out = reduce(DataFrame.unionByName, [df.select(F.col(id_column).alias("id"), F.col(source).alias("source"), F.lit(name).alias("split")) for name, df in splits.items()])
-    held_out = held_out.groupBy("id").agg(F.min("source").alias("source"), F.min("split").alias("split"))
-    sides = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
-    return sides.join(held_out, "id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("id").alias("records"))
+
+    def sourced(df: DataFrame, name: str, *more) -> DataFrame:
+        rows = df.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id"), *more).agg(F.min(source).alias("db"))
+        return resolved(rows.withColumnRenamed("db", "db_id"), catalog).withColumnRenamed("db_id", name)
+
+    held_out = reduce(DataFrame.unionByName, [df.withColumn("_split", F.lit(name)).select(id_column, source, "_split") for name, df in splits.items()])
+    evals = sourced(held_out, "eval_db", F.col("_split").alias("split"))
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("id_a").alias("eval_id"), F.col("id_b").alias("train_id")), F.struct(F.col("id_b").alias("eval_id"), F.col("id_a").alias("train_id")))).alias("x")).select("x.*")
+    both = sides.join(evals.withColumnRenamed("id", "eval_id"), "eval_id").join(sourced(train, "train_db").withColumnRenamed("id", "train_id"), "train_id")
+    return both.groupBy("split", "eval_db", "train_db").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_id").alias("records"))

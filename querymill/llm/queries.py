@@ -46,7 +46,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.report(p5_found(spark, d), {"dev": _records(spark, d, "dev"), "test": _records(spark, d, "test")})
+    return overlap.report(p5_found(spark, d), _records(spark, d), {"dev": _records(spark, d, "dev"), "test": _records(spark, d, "test")}, table(spark, d, "db_catalog", "db_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querymill.llm.components import components
+from querymill.operators.databases import database_key, spellings
 from querymill.session import cut
 
 #: Components that hold at least this share of the records are placed one by one, largest first;
@@ -16,18 +17,8 @@ from querymill.session import cut
 LARGE = 0.001
 #: Rounds in which the weights of the rendezvous are corrected, and the error at which they stop.
 ROUNDS, CLOSE = 12, 2e-4
-
-
-def database_key(name: Column) -> Column:
-    """What identifies a database in a carelessly written db_id, null if nothing is left.
-
-    The last part of a path, without a file ending, in lower case, with letters and digits only.
-    """
-    bare = F.regexp_replace(name, r"^[\s \p{Z}\"'`\[\](){}]+|[\s \p{Z}\"'`\[\](){}]+$", "")
-    last = F.regexp_replace(bare, r"^.*[/\\]", "")
-    stem = F.regexp_replace(last, r"\.[A-Za-z][A-Za-z0-9]{0,9}[\s\"'`\]]*$", "")
-    key = F.regexp_replace(F.lower(stem), r"[^\p{L}\p{N}]+", "")
-    return F.when(F.length(key) > 0, key)
+#: Rounds without a gain after which the correction ends.
+PATIENCE = 2
 
 
 def roots(catalog: DataFrame, id_column: str = "db_id", parent_column: str = "derived_from") -> DataFrame:
@@ -47,21 +38,9 @@ def resolve(records: DataFrame, catalog: DataFrame, id_column: str = "id", sourc
 
     A source equal to a registered name is that database; otherwise it is the one with the same
     database_key, provided only one has it. Rows that repeat an id count once, with the least source.
-    The catalog is joined, not broadcast by force: Spark does that where it is small enough.
     """
-    known = roots(catalog)
-    by_key = known.select(database_key(F.col("db_id")).alias("key"), "db_id", "root").groupBy("key").agg(F.min("root").alias("root"), F.countDistinct("db_id").alias("n")).where("n = 1").drop("n")
     recs = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(source).alias("written")).groupBy("id").agg(F.min("written").alias("written"))
-    # each way of writing is looked up once; the lookup table then holds few rows
-    spellings = recs.select("written").where("written is not null").distinct()
-    looked_up = (
-        spellings.join(known.select(F.col("db_id").alias("written"), F.col("root").alias("exact")), "written", "left")
-        .withColumn("key", database_key(F.col("written")))
-        .join(by_key.withColumnRenamed("root", "alike"), "key", "left")
-        .select("written", F.coalesce("exact", "alike").alias("root"))
-        .where("root is not null")
-    )
-    return recs.join(looked_up, "written", "left").select("id", "written", "root")
+    return recs.join(spellings(recs, roots(catalog)).select("written", "root"), "written", "left").select("id", "written", "root")
 
 
 def misnamed(records: DataFrame, catalog: DataFrame, id_column: str = "id", source: str = "db_id") -> DataFrame:
@@ -112,13 +91,15 @@ def assign(groups: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFr
     if not want:
         want = targets
     weights = dict(want)
-    best, error = dict(weights), None
+    best, error, worse = dict(weights), None, 0
     for _ in range(ROUNDS if len(want) > 1 and total else 0):
         got = dict(rest.groupBy(rendezvous(F.col("component"), weights, seed).alias("split")).agg(F.sum("n")).collect())
         off = max(abs(got.get(k, 0) - want[k]) for k in want) / total
         if error is None or off < error:
-            best, error = dict(weights), off
-        if error <= CLOSE:
+            best, error, worse = dict(weights), off, 0
+        else:
+            worse += 1
+        if error <= CLOSE or worse == PATIENCE:
             break
         weights = {k: weights[k] * min(4.0, max(0.25, want[k] / max(got.get(k, 0), 1))) for k in weights}
     return rest.select("component", rendezvous(F.col("component"), best, seed).alias("split")).unionByName(table)
