@@ -37,6 +37,9 @@ r AS (SELECT id, 'train' AS split, min(db_id) AS written FROM calibration_train
 s AS (SELECT r.id, r.split, coalesce(e.db_id, u.db_id) AS db FROM r LEFT JOIN c e ON e.db_id = r.written LEFT JOIN u ON u.key = {_DB_KEY.format('r.written')})
 SELECT b.split, b.db AS eval_db, a.db AS train_db, count(*) AS pairs, count(DISTINCT p.eval_id) AS records FROM p JOIN s a ON a.id = p.train_id AND a.split = 'train' JOIN s b ON b.id = p.eval_id AND b.split <> 'train' GROUP BY 1, 2, 3""",
     "p6_found": f"WITH {_word_sets('t', 'calibration_train')}, {_meeting('t', 't')} SELECT a.id AS id_a, b.id AS id_b FROM m JOIN t a ON a.id = m.i JOIN t b ON b.id = m.j WHERE a.id < b.id AND (a.lo <> b.lo OR a.hi <> b.hi) AND {_ALIKE}",
+    "p6_groups": f"""WITH RECURSIVE {_word_sets('t', 'calibration_train')}, {_meeting('t', 't')},
+e AS (SELECT a.id AS a, b.id AS b FROM m JOIN t a ON a.id = m.i JOIN t b ON b.id = m.j WHERE a.id <> b.id AND {_ALIKE} UNION SELECT a.id, b.id FROM t a JOIN t b USING (lo, hi) WHERE a.id <> b.id),
+r AS (SELECT id, id AS other FROM t UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other) SELECT id, min(other) AS "group" FROM r GROUP BY 1""",
     "p7_found": f"WITH {_KEYS}, k AS (SELECT id, min(id) OVER (PARTITION BY lo, hi) AS keep_id FROM keys) SELECT keep_id, id AS dup_id FROM k WHERE id <> keep_id",
     "p7_copies": f"WITH {_KEYS} SELECT min(id) AS keep_id, count(*) AS copies FROM keys GROUP BY lo, hi",
 }
