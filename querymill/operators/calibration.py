@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -114,3 +118,77 @@ def lookup_by_position(df: DataFrame, order: list[str], positions: DataFrame) ->
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_first", "_start")
     numbered = ranged.join(F.broadcast(starts), "_p").withColumn("position", F.col("_start") + F.col("_i") - F.col("_first") + 1)
     return numbered.join(positions.select("position").distinct(), "position").drop("_p", "_i", "_first", "_start")
+
+
+# reports as a source --------------------------------------------------------------------------------
+_NOTE = re.compile(r"(?:NOTE:\s*)?(\d+(?:\s*,\s*\d+)*)\s*-\s*(?:mark as\s+)?(\w+)", re.I)
+_ITEM = re.compile(r"### Item: `([^`]+)`(?:\s*\(DB: `([^`]*)`\))?")
+_HUMAN = re.compile(r"\*\*HUMAN\*\*\s*\(?([A-Z_]+)")
+_VOTER = re.compile(r"\s+-\s+\*\*([\w.-]+)\*\*")
+_COUNT = re.compile(r"(\d+)\s*(CORRECT|PARTIALLY_CORRECT|INCORRECT|UNANSWERABLE)\b")
+_VALID = (*ACCEPTED, *REJECTED)
+
+
+class _Block:
+    """An item of a report while its lines are read; each way to a verdict ranks before the next."""
+
+    WAYS = ("human", "bare", "majority")
+
+    def __init__(self, item: str, db: str | None, section: str) -> None:
+        self.item, self.db, self.section = item, db, section
+        self.verdicts: dict[str, str] = {}
+        self.details = self.voted = False
+
+    def read(self, line: str) -> None:
+        if (m := _HUMAN.search(line)) and m.group(1) in _VALID:
+            self.verdicts.setdefault("human", m.group(1))
+        if "Voter Details:" in line:
+            self.details = True
+        elif self.details and not self.voted and (m := _VOTER.match(line)):
+            self.voted = True  # a verdict where the first voter's name would be
+            if m.group(1) in _VALID:
+                self.verdicts["bare"] = m.group(1)
+        if "Voter Breakdown:" in line:
+            counts = {v: int(n) for n, v in _COUNT.findall(line)}
+            most = max(counts.values(), default=0)
+            if most and sum(n == most for n in counts.values()) == 1:
+                self.verdicts["majority"] = next(v for v, n in counts.items() if n == most)
+
+    def row(self, noted: dict[str, str]) -> tuple:
+        if self.item in noted:
+            return self.item, self.db, self.section, noted[self.item], "note"
+        way = next((w for w in self.WAYS if w in self.verdicts), None)
+        return self.item, self.db, self.section, self.verdicts.get(way), way
+
+
+def report_items(text: str) -> list[tuple]:
+    """(item_id, db_id, section, human, way) of the items of a Markdown report, and of ids that only a note names.
+
+    A note such as "595, 680 - mark as correct" decides for its ids; else the verdict marked HUMAN, one in
+    the first voter's place, or the unique maximum of the voters. way: which of them it was, null for none.
+    """
+    noted: dict[str, str] = {}
+    blocks: list[_Block] = []
+    section = ""
+    for line in text.splitlines():
+        if line.startswith("## "):
+            section = line[3:].strip()
+        elif m := _ITEM.match(line):
+            blocks.append(_Block(m.group(1), m.group(2), section))
+        elif (m := _NOTE.match(line)) and m.group(2).upper() in _VALID:
+            noted |= dict.fromkeys(re.findall(r"\d+", m.group(1)), m.group(2).upper())
+        elif blocks:
+            blocks[-1].read(line)
+    known = {b.item for b in blocks}
+    return [b.row(noted) for b in blocks] + [(i, None, None, v, "note") for i, v in noted.items() if i not in known]
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """report_items() of Markdown reports, each read whole in one task: they are written for people to read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(name, *row) for name, text in zip(batch["name"], batch["value"]) for row in report_items(text)], columns=["report", "item_id", "db_id", "section", "human", "way"])
+
+    texts = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    return texts.mapInPandas(run, "report string, item_id string, db_id string, section string, human string, way string")

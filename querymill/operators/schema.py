@@ -77,25 +77,80 @@ def orphans(child: DataFrame, parent: DataFrame, local: list[str], parent_column
     return child.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in local])).join(keys, on, "left_anti")
 
 
+#: What a finding of each class says.
+FK_TEXTS = {
+    "fk_missing_table": "there is no such parent table",
+    "fk_missing_column": "the parent table has no such column",
+    "fk_arity_mismatch": "both sides have different numbers of columns",
+    "fk_target_not_key": "the parent columns are no key",
+    "fk_type_mismatch": "the types of both sides differ",
+}
+FINDINGS = "array<struct<kind:string,message:string>>"
+
+
+def _finding(kind: Column | str, message: Column) -> Column:
+    return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), message.alias("message"))
+
+
+def fk_message(fk_class: Column) -> Column:
+    """Which key a foreign key's class is about, and what it says."""
+    sides = F.concat(F.col("table"), F.lit("("), F.array_join("local", ", "), F.lit(") -> "), F.col("parent_table"), F.lit("("), F.array_join("parent_columns", ", "), F.lit("): "))
+    return F.concat(sides, F.coalesce(*[F.when(fk_class == k, v) for k, v in FK_TEXTS.items()]))
+
+
 def validate(dbs: DataFrame, tables: DataFrame, columns: DataFrame, fks: DataFrame, violations: DataFrame | None = None, dialect: str = "sqlite") -> DataFrame:
-    """One row per database with its counts, evidence and status.
+    """One row per database with its counts, errors, warnings and status.
 
-    dbs: (db_id, healthy). violations: (db_id, n) orphaned rows. status: failed if the database can't be
-    reached, errors if anything blocks, warns if tables are empty, else ok; a database without tables is ok.
+    dbs: (db_id, healthy), and err and fk_enforcement where they are known. violations: (db_id, n) orphaned
+    rows. status: failed if the database can't be reached, errors if anything blocks, warns if there are
+    warnings, else ok; a database without tables is ok. errors and warnings: (kind, message) each; all
+    empty tables are one warning.
     """
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    classes = fk_classes(fks, columns, dialect).groupBy("db_id").agg(F.count(F.lit(1)).alias("fk_total"), F.count_if(F.col("fk_class") == "valid").alias("fk_valid"), *[F.count_if(F.col("fk_class") == c).alias(c) for c in FK_CLASSES])
-    doubles = duplicate_columns(columns).groupBy("db_id").agg(F.count_distinct("table").alias("duplicate_columns_count"))
+    classed = fk_classes(fks, columns, dialect)
+    keys = classed.groupBy("db_id").agg(
+        F.count(F.lit(1)).alias("fk_total"),
+        F.count_if(F.col("fk_class") == "valid").alias("fk_valid"),
+        *[F.count_if(F.col("fk_class") == c).alias(c) for c in FK_CLASSES],
+        F.array_sort(F.collect_list(F.when(F.col("fk_class") != "valid", _finding(F.col("fk_class"), fk_message(F.col("fk_class")))))).alias("_fk"),
+    )
+    doubles = duplicate_columns(columns).groupBy("db_id").agg(
+        F.count_distinct("table").alias("duplicate_columns_count"),
+        F.array_sort(F.collect_list(_finding("duplicate_columns", F.concat(F.col("table"), F.lit("."), F.col("name"), F.lit(" is there "), F.col("times").cast("string"), F.lit(" times"))))).alias("_double"),
+    )
     empty = tables.groupBy("db_id").agg(F.count_if(~F.coalesce("is_empty", F.lit(True))).alias("tables_non_empty"), F.array_sort(F.collect_list(F.when(F.coalesce("is_empty", F.lit(True)), F.col("table")))).alias("empty_tables"))
-    out = dbs.select("db_id", "healthy").distinct()
-    for part in (table_counts(columns), classes, doubles, empty):
+    known = [c for c in ("err", "fk_enforcement") if c in dbs.columns]
+    out = dbs.select("db_id", "healthy", *known, *[F.lit(None).cast("string").alias(c) for c in ("err", "fk_enforcement") if c not in known]).dropDuplicates(["db_id"])
+    for part in (table_counts(columns), keys, doubles, empty):
         out = out.join(part, "db_id", "left")
     out = out.join(violations.select("db_id", F.col("n").alias("fk_data_violations_count")), "db_id", "left") if violations is not None else out.withColumn("fk_data_violations_count", F.lit(0).cast("long"))
     counts = ["tables", "columns", "fk_total", "fk_valid", *FK_CLASSES, "duplicate_columns_count", "tables_non_empty", "fk_data_violations_count"]
-    out = out.select("db_id", "healthy", *[zero(c) for c in counts], F.coalesce("empty_tables", F.array().cast("array<string>")).alias("empty_tables"))
+    none = F.array().cast(FINDINGS)
+    n = F.coalesce("fk_data_violations_count", F.lit(0))
+    reason = F.coalesce("err", F.lit("database is not accessible"))
+    errors = (
+        F.when(~F.col("healthy"), F.array(_finding("db_connection_error", reason)))
+        .otherwise(F.concat(F.when(n > 0, F.array(_finding("fk_data_violation", F.concat(n.cast("string"), F.lit(" rows point to no parent row"))))).otherwise(none), F.coalesce("_fk", none), F.coalesce("_double", none)))
+    )
+    names = F.transform("empty_tables", lambda t: F.concat(F.lit('"'), t, F.lit('"')))
+    warned = F.concat(F.size("empty_tables").cast("string"), F.lit(" tables are empty: "), F.array_join(names, ", "))
+    warnings = F.when(F.col("healthy") & (F.size("empty_tables") > 0), F.array(_finding("empty_tables", warned))).otherwise(none)
+    out = out.withColumn("empty_tables", F.coalesce("empty_tables", F.array().cast("array<string>")))
+    out = out.select("db_id", "healthy", "fk_enforcement", *[zero(c) for c in counts], "empty_tables", errors.alias("errors"), warnings.alias("warnings"), F.when(~F.col("healthy"), reason).alias("err"))
     out = out.withColumn("fk_invalid", F.col("fk_total") - F.col("fk_valid")).withColumn("blocking_errors_total", F.when(~F.col("healthy"), F.lit(1)).otherwise(F.col("fk_invalid") + F.col("duplicate_columns_count")))
     blocking = F.col("blocking_errors_total") + (F.col("fk_data_violations_count") > 0).cast("long")
-    return out.withColumn("status", F.when(~F.col("healthy"), "failed").when(blocking > 0, "errors").when(F.size("empty_tables") > 0, "warns").otherwise("ok"))
+    return out.withColumn("status", F.when(~F.col("healthy"), "failed").when(blocking > 0, "errors").when(F.size("warnings") > 0, "warns").otherwise("ok"))
+
+
+def skipped(items: DataFrame) -> DataFrame:
+    """A row for each item that an earlier step failed: its database, status skipped."""
+    return items.select("db_id", F.lit(False).alias("healthy"), F.lit("skipped").alias("status"), F.lit("skipped due to previous analyzer failure").alias("err"))
+
+
+def findings(validated: DataFrame) -> DataFrame:
+    """Q24: every error and warning of every database: (db_id, status, level, kind, message)."""
+    both = F.concat(*[F.transform(c, lambda x: F.struct(F.lit(level).alias("level"), x["kind"].alias("kind"), x["message"].alias("message"))) for c, level in (("errors", "error"), ("warnings", "warning"))])  # noqa: B023
+    return validated.select("db_id", "status", F.explode(both).alias("x")).select("db_id", "status", "x.*")
 
 
 def schema_totals(validated: DataFrame) -> DataFrame:
@@ -119,7 +174,10 @@ def listing(validated: DataFrame, status: str | None = None, k: int | None = Non
     """Q16, Q20 to Q24: databases with what was found, by status and name; one status only, or its first k."""
     order = F.create_map(*[F.lit(x) for n, i in STATUS_ORDER.items() for x in (n, i)])
     rows = validated if status is None else validated.where(F.col("status") == status)
-    rows = rows.select(order[F.col("status")].alias("status_order"), "db_id", "status", "tables", "columns", "fk_total", "fk_invalid", "blocking_errors_total", F.size("empty_tables").alias("warnings"))
+    short = F.when(F.length("err") > 180, F.concat(F.substring("err", 1, 180), F.lit("..."))).otherwise(F.col("err"))
+    rows = rows.select(
+        order[F.col("status")].alias("status_order"), "db_id", "status", "tables", "tables_non_empty", "columns", "fk_total", "fk_invalid", "blocking_errors_total", F.size("warnings").alias("warnings"), F.col("fk_data_violations_count").alias("fk_violations"), short.alias("err")
+    )
     return rows.orderBy("status_order", "db_id").limit(k) if k else rows
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from querymill.operators.audit import audit, status
 from querymill.plans import corpus, reports
 from querymill.plans.registry import query
+from querymill.session import table
 from querymill.sql.findings import MESSAGES
 
 _G = corpus.gold_sql()
@@ -105,6 +106,64 @@ def empty_tables_used(spark: SparkSession, d: str) -> DataFrame:
     return schema.empty_tables_used(tables, reports.used_tables(metrics(spark, d)))
 
 
+_RUNS = f"tpl NOT IN ({', '.join(map(str, corpus.FAIL))})"
+
+
+@query(
+    "pipeline_statuses",
+    f"""{_G}, s AS (SELECT id, tpl % 4 = 1 AS gone, parseable, len(patterns) AS n, {_RUNS} AS runs FROM m)
+SELECT id, CASE WHEN gone THEN 'failed' ELSE 'ok' END AS earlier, CASE WHEN gone THEN 'skipped' WHEN parseable THEN 'ok' ELSE 'failed' END AS query_syntax, CASE WHEN gone OR NOT parseable THEN 'skipped' WHEN n > 0 THEN 'warns' ELSE 'ok' END AS query_antipattern,
+CASE WHEN gone OR NOT parseable THEN 'skipped' WHEN runs THEN 'ok' ELSE 'failed' END AS query_execution, CASE WHEN gone OR NOT parseable OR NOT runs THEN 'skipped' ELSE 'ok' END AS last FROM s""",
+)
+def pipeline_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of each item through a pipeline whose earlier step failed every fourth template."""
+    from querymill.plans import pipeline
+
+    done = _passed(spark, d)
+    last = pipeline.gate(done)[0].select("row", F.lit("ok").alias("last"))
+    done = pipeline.advance(done, last, "last")
+    return done.select("id", *[F.element_at("steps", i + 1)["status"].alias(n) for i, n in enumerate(("earlier", "query_syntax", "query_antipattern", "query_execution", "last"))])
+
+
+def _passed(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with its steps after the audits and execution."""
+    from querymill.operators import normalize
+    from querymill.plans import pipeline
+
+    items = corpus.items(spark, d).withColumn("steps", F.array(normalize.step("earlier", F.when(F.col("tpl") % 4 == 1, "failed").otherwise("ok")))).withColumnRenamed("db_id", "dbId")
+    items = pipeline.numbered(items)
+    audited = pipeline.audit_stage(items).select("row", F.col("syntax_status").alias("query_syntax"), F.col("antipattern_status").alias("query_antipattern"))
+    items = pipeline.advance(items, audited, "query_syntax", "query_antipattern")
+    ddl = spark.range(7).select(F.concat(F.lit("db_"), F.col("id").cast("string")).alias("db_id"), F.lit(corpus.DDL).alias("ddl"))
+    tried = pipeline.execution_stage(items, databases=ddl).select("row", F.col("status").alias("query_execution"))
+    return pipeline.advance(items, tried, "query_execution")
+
+
+@query(
+    "analyzer_success_skipped",
+    f"""{_G}, s AS (SELECT tpl % 4 = 1 AS gone, parseable, len(patterns) AS n, {_RUNS} AS runs FROM m), x AS (SELECT 'query_syntax' AS name, CASE WHEN gone THEN 'skipped' WHEN parseable THEN 'ok' ELSE 'failed' END AS status FROM s
+UNION ALL SELECT 'query_antipattern', CASE WHEN gone OR NOT parseable THEN 'skipped' WHEN n > 0 THEN 'warns' ELSE 'ok' END FROM s UNION ALL SELECT 'query_execution', CASE WHEN gone OR NOT parseable THEN 'skipped' WHEN runs THEN 'ok' ELSE 'failed' END FROM s)
+SELECT name, count(*) FILTER (status <> 'skipped') AS analyzed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed, round(count(*) FILTER (status = 'ok') * 100.0::DOUBLE / count(*) FILTER (status <> 'skipped'), 1) AS ok_share FROM x GROUP BY 1""",
+)
+def analyzer_success_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """Q3, Q6, Q8: analyzers with what they skipped."""
+    steps = _passed(spark, d).select(F.explode(F.slice("steps", 2, 3)).alias("s")).select("s.name", "s.status", F.lit(None).cast("double").alias("duration_ms"))
+    return reports.analyzer_success(steps).drop("avg_ms")
+
+
+@query("performance", "SELECT event_type AS name, round(avg(value), 2) AS avg_ms FROM events GROUP BY 1")
+def performance(spark: SparkSession, d: str) -> DataFrame:
+    """Q13 over events in place of measured durations, which differ from run to run."""
+    return reports.performance(table(spark, d, "events", F.col("event_type").alias("name"), F.lit("ok").alias("status"), F.col("value").alias("duration_ms")))
+
+
+@query("overview_of_datasets", "SELECT 'train' AS dataset_id, count(DISTINCT id) AS items, count(DISTINCT db_id) AS dbs, CAST(min(loaded_at) AS TIMESTAMP) AS first_ts, CAST(max(loaded_at) AS TIMESTAMP) AS last_ts FROM calibration_train UNION ALL SELECT 'dev', count(DISTINCT id), count(DISTINCT db_id), CAST(min(loaded_at) AS TIMESTAMP), CAST(max(loaded_at) AS TIMESTAMP) FROM calibration_dev")
+def overview_of_datasets(spark: SparkSession, d: str) -> DataFrame:
+    """Q2: datasets with their first and last time."""
+    parts = [table(spark, d, f"calibration_{s}", F.lit(s).alias("dataset_id"), "id", "db_id", F.col("loaded_at").cast("timestamp_ntz").alias("ts")) for s in ("train", "dev")]
+    return reports.dataset_overview(parts[0].unionByName(parts[1]))
+
+
 @query("failing_then_skipped", f"{_G} SELECT CASE WHEN tpl % 4 = 1 THEN 'skipped' WHEN parseable THEN 'ok' ELSE 'failed' END AS status, count(*) AS items FROM m GROUP BY 1")
 def failing_then_skipped(spark: SparkSession, d: str) -> DataFrame:
     """Items that an earlier step failed never reach the parser and come back as skipped."""

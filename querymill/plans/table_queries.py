@@ -201,11 +201,55 @@ def schema_totals(spark: SparkSession, d: str) -> DataFrame:
     return schema.schema_totals(_validated(spark, d))
 
 
-@query("schema_listing", f"WITH {_STATUS} SELECT CASE status WHEN 'failed' THEN 1 WHEN 'errors' THEN 2 WHEN 'warns' THEN 3 ELSE 4 END AS status_order, db_id, status, tables, columns, fk_total, fk_total - fk_valid AS fk_invalid, blocking_errors_total, CAST(0 AS INTEGER) AS warnings FROM val")
+@query("schema_listing", f"WITH {_STATUS} SELECT CASE status WHEN 'failed' THEN 1 WHEN 'errors' THEN 2 WHEN 'warns' THEN 3 ELSE 4 END AS status_order, db_id, status, tables, tables AS tables_non_empty, columns, fk_total, fk_total - fk_valid AS fk_invalid, blocking_errors_total, CAST(0 AS INTEGER) AS warnings, 0 AS fk_violations, CASE WHEN status = 'failed' THEN 'database is not accessible' END AS err FROM val")
 def schema_listing(spark: SparkSession, d: str) -> DataFrame:
     return schema.listing(_validated(spark, d))
 
 
+@query("schema_findings", f"WITH {_STATUS} SELECT db_id, status, 'error' AS level, 'db_connection_error' AS kind, 'database is not accessible' AS message FROM val WHERE NOT healthy UNION ALL SELECT cls.db_id, val.status, 'error', fk_class, \"table\" || '(' || name || ') -> ' || parent_table || '(' || name || '): the types of both sides differ' FROM cls JOIN val USING (db_id) WHERE fk_class <> 'valid' AND healthy")
+def schema_findings(spark: SparkSession, d: str) -> DataFrame:
+    return schema.findings(_validated(spark, d))
+
+
+#: Tables with names of even length are empty, databases have as many orphaned rows as their name's length modulo 3, the third column of a table is there twice.
+_PLANTED = f"""{_C}, h AS (SELECT db_id, coalesce(health, 'unknown') = 'ok' AS healthy, length(db_id) % 3 AS n FROM db_catalog), t AS (SELECT DISTINCT db_id, "table", length("table") % 2 = 0 AS is_empty FROM c),
+e AS (SELECT db_id, count(*) FILTER (is_empty) AS empty, string_agg(CASE WHEN is_empty THEN '"' || "table" || '"' END, ', ' ORDER BY "table") AS names FROM t GROUP BY 1), dup AS (SELECT db_id, count(DISTINCT "table") AS dups FROM c WHERE pos = 3 GROUP BY 1),
+p AS (SELECT db_id, healthy, n, coalesce(empty, 0) AS empty, names, coalesce(dups, 0) AS dups FROM h LEFT JOIN e USING (db_id) LEFT JOIN dup USING (db_id))"""
+
+
+@query(
+    "schema_statuses_planted",
+    f"WITH {_PLANTED} SELECT db_id, CASE WHEN NOT healthy THEN 'failed' WHEN dups > 0 OR n > 0 THEN 'errors' WHEN empty > 0 THEN 'warns' ELSE 'ok' END AS status, CAST(CASE WHEN healthy THEN dups ELSE 1 END AS BIGINT) AS blocking_errors_total, n AS fk_violations, CASE WHEN healthy AND empty > 0 THEN empty || ' tables are empty: ' || names END AS warning FROM p",
+)
+def schema_statuses_planted(spark: SparkSession, d: str) -> DataFrame:
+    columns, fks = catalog(spark, d)
+    dbs = table(spark, d, "db_catalog").select("db_id", (F.coalesce("health", F.lit("unknown")) == "ok").alias("healthy"))
+    tables = columns.select("db_id", "table", (F.length("table") % 2 == 0).alias("is_empty")).distinct()
+    violations = dbs.select("db_id", (F.length("db_id") % 3).cast("long").alias("n"))
+    out = schema.validate(dbs, tables, columns.unionByName(columns.where("pos = 3")), fks.where("false"), violations)
+    return out.select("db_id", "status", "blocking_errors_total", F.col("fk_data_violations_count").alias("fk_violations"), F.try_element_at("warnings", F.lit(1))["message"].alias("warning"))
+
+
+@query("duplicate_columns_planted", f'WITH {_C} SELECT db_id, "table", name, CAST(2 AS BIGINT) AS times FROM c WHERE pos = 3')
+def duplicate_columns_planted(spark: SparkSession, d: str) -> DataFrame:
+    columns = catalog(spark, d)[0]
+    return schema.duplicate_columns(columns.unionByName(columns.where("pos = 3")))
+
+
+@query(
+    "fk_classes_planted",
+    f"WITH {_C}, x AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'fk_missing_table' WHEN 1 THEN 'fk_missing_column' WHEN 2 THEN 'fk_arity_mismatch' ELSE CASE WHEN pk OR uniq THEN 'valid' ELSE 'fk_target_not_key' END END AS fk_class FROM c) SELECT fk_class, count(*) AS fks, count(DISTINCT db_id) AS dbs FROM x GROUP BY 1",
+)
+def fk_classes_planted(spark: SparkSession, d: str) -> DataFrame:
+    """A foreign key from each column: to no table, to no column, of two columns to one, to itself, by its position."""
+    columns = catalog(spark, d)[0]
+    k = F.col("pos") % 4
+    local = F.when(k == 2, F.array("name", "name")).otherwise(F.array("name"))
+    parent = F.when(k == 0, "no such table").otherwise(F.col("table"))
+    fks = columns.select("db_id", "table", F.col("pos").alias("fk_id"), local.alias("local"), parent.alias("parent_table"), F.when(k == 1, F.array(F.lit("no such column"))).otherwise(F.array("name")).alias("parent_columns"))
+    return schema.fk_classes(fks, columns).groupBy("fk_class").agg(F.count(F.lit(1)).alias("fks"), F.count_distinct("db_id").alias("dbs"))
+
+
 @query("clean_dbs_preview", f"WITH {_STATUS} SELECT db_id, tables, columns FROM val WHERE status = 'ok' ORDER BY db_id LIMIT 3")
 def clean_dbs_preview(spark: SparkSession, d: str) -> DataFrame:
     return schema.listing(_validated(spark, d), "ok", 3).select("db_id", "tables", "columns")

@@ -65,6 +65,17 @@ def markdown_table(df: DataFrame, most: int | None = 1000) -> str:
     return "\n".join(lines + (["| … |"] if most is not None and len(rows) > most else []))
 
 
+def write_text(spark, path: str, text: str) -> str:
+    """A small text on whatever file system the path names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
+
+
 def write_markdown(path: str, title: str, sections: dict[str, DataFrame | str]) -> str:
     """K6: a report of titled tables, written whole, or texts."""
     parts = [f"# {title}", ""]

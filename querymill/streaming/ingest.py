@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from querymill import sinks
+from querymill.operators import normalize
 from querymill.operators.audit import audit
 
 ITEM = "id string, db_id string, question string, sql string"
@@ -29,6 +30,25 @@ def audit_stream(items: DataFrame, out: str, checkpoint: str, dataset: str = "st
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def numbered_stream(items: DataFrame, out: str, checkpoint: str, order: list[str], start: int = 1, once: bool = False) -> StreamingQuery:
+    """Items without id numbered in `order` from start, batch after batch, below out/batch=N.
+
+    A batch begins after the numbers that earlier batches gave, which are read from what they wrote: one
+    that is tried again gives the same numbers and replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        given = 0
+        if number:
+            given = spark.read.option("mergeSchema", False).parquet(out).where((F.col("batch") < number) & F.col("assigned")).count()
+        marked = batch.withColumn("assigned", F.col("id").isNull() | (F.trim("id") == ""))
+        normalize.incremental_ids(marked, order, start + given).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def first_seen(items: DataFrame, key: str = "db_id", event_time: str | None = None, horizon: str = "7 days") -> DataFrame:
     """The first row of each key, for work done once a database; with an event time, state older than horizon is dropped."""
     if event_time:

@@ -182,6 +182,37 @@ def test_calibration_texts(spark):
     assert tuple(row) == ("PARTIALLY_CORRECT", "CORRECT", "Mixed", None, "INCORRECT", "PARTIALLY_CORRECT")
 
 
+def test_reports_as_a_source(spark, tmp_path):
+    text = """# Report
+595, 12 - mark as correct
+NOTE: 77 - Incorrect
+## Majority INCORRECT
+### Item: `595` (DB: `d1`)
+- **Voter Details:**
+  - **HUMAN** (INCORRECT/UNANSWERABLE): no
+### Item: `2` (DB: `d1`)
+  - **HUMAN** (PARTIALLY_CORRECT/CORRECT): half
+## Mixed
+### Item: `3` (DB: `d2`)
+  - **HUMAN** UNANSWERABLE
+### Item: `4` (DB: `d2`)
+- **Voter Details:**
+  - **INCORRECT**: wrong
+### Item: `5` (DB: `d2`)
+- **Voter Breakdown:** 3 CORRECT, 1 PARTIALLY_CORRECT, 0 INCORRECT, 0 UNANSWERABLE
+### Item: `6` (DB: `d2`)
+- **Voter Breakdown:** 2 CORRECT, 2 PARTIALLY_CORRECT, 0 INCORRECT, 0 UNANSWERABLE
+- **Voter Details:**
+  - **some-model** (CORRECT): yes
+"""
+    (tmp_path / "r.md").write_text(text)
+    got = {r["item_id"]: (r["db_id"], r["section"], r["human"], r["way"]) for r in calibration.read_reports(spark, f"{tmp_path}/r.md").collect()}
+    assert got == {
+        "595": ("d1", "Majority INCORRECT", "CORRECT", "note"), "2": ("d1", "Majority INCORRECT", "PARTIALLY_CORRECT", "human"), "3": ("d2", "Mixed", "UNANSWERABLE", "human"), "4": ("d2", "Mixed", "INCORRECT", "bare"),
+        "5": ("d2", "Mixed", "CORRECT", "majority"), "6": ("d2", "Mixed", None, None), "12": (None, None, "CORRECT", "note"), "77": (None, None, "INCORRECT", "note"),
+    }
+
+
 def test_complement_reaches_the_greatest_id(spark, tmp_path):
     from querymill.plans import queries
 
@@ -245,7 +276,7 @@ def test_execution_probe_and_sqlite_catalog(spark, tmp_path):
     out = {r["id"]: r for r in execution.probe(items, root=str(tmp_path)).collect()}
     assert [out[i]["status"] for i in range(1, 6)] == ["ok", "failed", "failed", "failed", "failed"]
     assert {tuple(r) for r in execution.error_patterns(execution.probe(items, root=str(tmp_path))).collect()} == {("execution error", 1), ("db not accessible", 2)}
-    tables, columns, fks = files.sqlite_catalog(spark, str(tmp_path), items.select("db_id").where("db_id is not null"))
+    tables, columns, fks, _ = files.sqlite_catalog(spark, str(tmp_path), items.select("db_id").where("db_id is not null"))
     assert {(r["table"], r["is_empty"]) for r in tables.collect()} == {("users", False), ("orders", True)}
     assert {r["name"] for r in columns.where("uniq").collect()} == {"email"}
     assert fks.first()["parent_columns"] == ["id"]
@@ -283,6 +314,11 @@ def test_sources(spark, tmp_path):
         files.read_jsonl(spark, f"{tmp_path}/bad.jsonl", "q int").collect()
     (tmp_path / "c.json").write_text('[{"q": 1}, {"q": 2}]')
     assert files.read_json(spark, f"{tmp_path}/c.json").count() == 2
+    (tmp_path / "lines.json").write_text('[\n {"q": 1,\n "r": [2]},\n {"q": 2}\n]')
+    assert files.read_json(spark, f"{tmp_path}/lines.json").count() == 2
+    (tmp_path / "lone.json").write_text('{"q": 1}')
+    with pytest.raises(ValueError, match="no array of objects"):
+        files.read_json(spark, f"{tmp_path}/lone.json")
     (tmp_path / "d.csv").write_text("number;word\n1;abc\n2;de\n")
     assert files.read_csv(spark, f"{tmp_path}/d.csv").columns == ["number", "word"]
     assert files.read_csv(spark, f"{tmp_path}/d.csv", has_header=False).columns == ["col_1", "col_2"] and files.read_csv(spark, f"{tmp_path}/d.csv", has_header=False).count() == 3
@@ -310,27 +346,137 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/j").count() == 1
 
 
+def _config(tmp_path, items, analyze, **more):
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(x) for x in items))
+    return {
+        "sourceDb": {"dialect": "sqlite", "endpoint": str(tmp_path / "dbs")},
+        "load": {"name": "jsonl", "params": {"path": str(tmp_path / "in.jsonl")}},
+        "output": {"base_dir": str(tmp_path / "runs")},
+        "normalize": [{"name": "alias_mapper", "params": {"mapping": {"sql": "query", "dbId": "db_id"}}}, {"name": "id_assign"}, {"name": "db_identity_assign"}],
+        "analyze": [{"name": f"{n}_analyzer", "params": p} for n, p in analyze.items()],
+        **more,
+    }
+
+
 def test_pipeline_and_reports(spark, tmp_path):
     from querymill.plans import pipeline
 
     (tmp_path / "dbs/toy").mkdir(parents=True)
     with sqlite3.connect(tmp_path / "dbs/toy/toy.sqlite") as c:
-        c.executescript("create table users (id integer primary key, name text); insert into users values (1, 'a'); create table archive (id int);")
-    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(x) for x in [{"question": "q1", "query": "SELECT name FROM users", "db_id": "toy"}, {"question": "q2", "query": "SELECT nope FROM users", "db_id": "toy"}, {"question": "q3", "query": "SELECT 1", "db_id": None}]))
-    out = pipeline.run(
-        spark,
-        {
-            "sourceDb": {"dialect": "sqlite", "endpoint": str(tmp_path / "dbs")}, "load": {"name": "jsonl", "params": {"path": str(tmp_path / "in.jsonl")}}, "output": {"base_dir": str(tmp_path / "runs")},
-            "normalize": [{"name": "alias_mapper", "params": {"mapping": {"sql": "query", "dbId": "db_id"}}}, {"name": "id_assign", "params": {"mode": "hash"}}, {"name": "db_identity_assign"}],
-            "analyze": [{"name": "schema_validation_analyzer"}, {"name": "query_syntax_analyzer"}, {"name": "query_antipattern_analyzer"}, {"name": "query_execution_analyzer"}, {"name": "semantic_llm_analyzer", "params": {"prompt_template": "{{ddl_schema}} {{sql_to_revise}}", "voters": [{"model": "m", "provider": "stub"}]}}],
-        },
-    )
+        c.executescript("create table users (id integer primary key, name text); insert into users values (1, 'a'); create table archive (id int references users); insert into archive values (7); create table empty_one (a int);")
+    items = [
+        {"question": "q1", "query": "SELECT name FROM users", "db_id": "toy"},
+        {"question": "q2", "query": "SELECT nope FROM users", "db_id": "toy"},
+        {"question": "q3", "query": "SELECT 1", "db_id": None},
+        {"question": "q4", "query": "SELECT FROM", "db_id": "toy"},
+        {"question": "q5", "query": "SELECT b FROM a", "db_id": None, "schema": "CREATE TABLE a (b INT); CREATE TABLE c (d INT)"},
+        {"question": "q6", "query": "SELECT b FROM a", "db_id": "made", "schema": "CREATE TABLE a (b INT)"},
+        {"question": "q7", "query": "SELECT b FROM a", "db_id": "broken", "schema": "CREATE TABLE a (b INT); CREATE TABLE a (b INT)"},
+    ]
+    judge_ = {"prompt_template": "{{ddl_schema}} {{sql_to_revise}}", "voters": [{"model": "m", "provider": "stub"}]}
+    told = []
+    out = pipeline.run(spark, _config(tmp_path, items, {"schema_validation": {}, "query_syntax": {}, "query_antipattern": {}, "query_execution": {}, "semantic_llm": judge_}), tell=told.append)
     assert sinks.metric_tables(spark, out) == ["query_audit", "query_execution", "schema_tables", "schema_validation", "semantic_llm_judge"]
-    assert sorted(r["status"] for r in spark.read.parquet(f"{out}/metrics_query_audit").collect()) == ["ok", "ok", "skipped"]
-    assert sorted(r["status"] for r in spark.read.parquet(f"{out}/metrics_query_execution").collect()) == ["failed", "ok"]
-    assert spark.read.parquet(f"{out}/metrics_schema_validation").first()["empty_tables"] == ["archive"]
+    read = lambda name: spark.read.parquet(f"{out}/metrics_{name}")
+    names = ("db_identity", "schema_validation", "query_syntax", "query_antipattern", "query_execution", "semantic_llm")
+    steps = {r["question"]: {s["name"]: s["status"] for s in r["analysisSteps"]} for r in spark.read.json(f"{out}/annotatedOutputDataset").collect()}
+    passed = lambda *x: dict(zip(names, x))
+    assert all(v.pop("semantic_llm") for k, v in steps.items() if k in ("q1", "q5", "q6"))
+    assert steps == {
+        "q1": passed("ok", "errors", "ok", "ok", "ok"), "q2": passed("ok", "errors", "ok", "ok", "failed", "skipped"), "q3": passed("failed", *["skipped"] * 5), "q4": passed("ok", "errors", "failed", "skipped", "skipped", "skipped"),
+        "q5": passed("ok", "warns", "ok", "ok", "ok"), "q6": passed("ok", "warns", "ok", "ok", "ok"), "q7": passed("failed", *["skipped"] * 5),
+    }
+    toy = read("schema_validation").where("db_id = 'toy'").first()
+    assert (toy["fk_data_violations_count"], toy["fk_enforcement"], toy["empty_tables"], {e["kind"] for e in toy["errors"]}) == (1, "disabled", ["empty_one"], {"fk_data_violation"})
+    assert read("schema_validation").where("status = 'skipped'").count() == 2
+    assert sorted(r["status"] for r in read("query_execution").collect()) == ["failed", "ok", "ok", "ok", "skipped", "skipped", "skipped"]
+    assert read("semantic_llm_judge").where("total_voters = 1").count() == 3 and len(told) == 5 and "rows" in told[0]
     for name in pipeline.REPORTS:
-        assert (tmp_path / "x").parent.joinpath(out, "all_reports", f"{name}_report.md").read_text().startswith("# ")
+        assert open(f"{out}/all_reports/{name}_report.md").read().startswith("# ")
+    assert json.load(open(f"{out}/run_info.json"))["counts"]["query_execution"]["skipped"] == 3
+
+
+def test_pipeline_refuses_what_cannot_work(spark, tmp_path):
+    from querymill.plans import pipeline
+
+    with pytest.raises(ValueError, match="load.name"):
+        pipeline.run(spark, {})
+    with pytest.raises(KeyError):
+        pipeline.run(spark, {"load": {"name": "jsonl"}, "analyze": [{"name": "odd"}]})
+    bad = {"prompt_template": "x", "voters": [{"model": "m", "provider": "openai"}]}
+    with pytest.raises(ValueError, match="isn't configured"):
+        pipeline.run(spark, _config(tmp_path, [{"question": "q", "query": "SELECT 1", "db_id": "d", "schema": "CREATE TABLE a (b INT)"}], {"semantic_llm": bad}))
+
+
+def test_providers_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from querymill.operators import providers
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            key = self.headers.get("x-goog-api-key") or self.headers.get("x-api-key") or self.headers.get("Authorization")
+            seen.append((self.path, key))
+            if key == "used up" or (self.path == "/v1/messages" and "temperature" in body):
+                self.send_response(429 if key == "used up" else 400)
+                self.end_headers()
+                return
+            text = json.dumps({"verdict": "CORRECT", "explanation": self.path})
+            reply = {"choices": [{"message": {"content": text}}], "content": [{"text": text}], "candidates": [{"content": {"parts": [{"text": text}]}}], "message": {"content": text}}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        config = [{"name": "openai", "models": ["a"], "api_key": "k", "base_url": base}, {"name": "anthropic", "models": ["b"], "api_key": "k", "base_url": base}, {"name": "gemini", "models": ["c"], "api_keys": ["used up", "good"], "base_url": base}, {"name": "ollama", "models": ["d"], "base_url": base}, {"name": "stub", "models": ["e"]}]
+        voters = judge.expand_voters(config)
+        items = spark.createDataFrame([("1", "q", "s", "d")], "id string, question string, sql string, ddl string")
+        table = spark.createDataFrame([(v["model"], v["provider"], v["weight"]) for v in voters], "model string, provider string, weight double")
+        out = {r["provider"]: r for r in judge.ask(items, table, providers.caller(config, voters), "{{sql_to_revise}}").collect()}
+        assert {p for p, r in out.items() if r["verdict"] == "CORRECT" and r["error"] is None} >= {"openai", "anthropic", "gemini", "ollama"} and out["stub"]["error"] is None
+        assert ("/v1beta/models/c:generateContent", "used up") in seen and ("/v1beta/models/c:generateContent", "good") in seen
+    finally:
+        server.shutdown()
+    with pytest.raises(ValueError, match="no provider"):
+        providers.caller([{"name": "odd"}], [])
+    with pytest.raises(ValueError, match="api_key"):
+        providers.caller([{"name": "openai"}], [])("openai", "a", "x")
+
+
+def test_databases_from_ddl(spark, tmp_path):
+    ddl = spark.createDataFrame([("a", "CREATE TABLE t (x INT, y TEXT DEFAULT ';'); CREATE TABLE u (z INT)"), ("b", "CREATE TABLE t (x INT); CREATE nonsense"), ("c", None)], "db_id string, schema string")
+    for _ in range(2):
+        out = {r["db_id"]: r for r in files.build_databases(ddl, str(tmp_path)).collect()}
+        assert (out["a"]["health"], out["b"]["health"], set(out)) == ("ok", "error", {"a", "b"}) and "CREATE nonsense" in out["b"]["err"]
+    found = files.sqlite_catalog(spark, str(tmp_path), ddl.select("db_id"))
+    assert {(r["db_id"], r["table"]) for r in found.tables.collect()} == {("a", "t"), ("a", "u")}
+    assert {r["db_id"]: r["health"] for r in found.health.collect()} == {"a": "ok", "b": "ok", "c": "unknown"}
+
+
+def test_postgres_catalog_from_its_views(spark):
+    s = "public"
+    views = {
+        "columns": [(s, "p", "id", 1, "integer", "NO"), (s, "p", "code", 2, "text", "YES"), (s, "c", "pid", 1, "integer", "YES"), (s, "c", "a", 2, "text", "NO"), (s, "c", "b", 3, "text", "NO"), ("other", "x", "y", 1, "text", "NO")],
+        "table_constraints": [(s, "p_pk", s, "p", "PRIMARY KEY"), (s, "p_code", s, "p", "UNIQUE"), (s, "c_pk", s, "c", "PRIMARY KEY"), (s, "c_fk", s, "c", "FOREIGN KEY")],
+        "key_column_usage": [(s, "p_pk", "p", "id", 1, None), (s, "p_code", "p", "code", 1, None), (s, "c_pk", "c", "a", 1, None), (s, "c_pk", "c", "b", 2, None), (s, "c_fk", "c", "pid", 1, 1)],
+        "referential_constraints": [(s, "c_fk", s, "p_pk")],
+    }
+    kinds = {"ordinal_position": "int", "position_in_unique_constraint": "int"}
+    frames = {v: spark.createDataFrame(rows, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in files.POSTGRES_VIEWS[v].split(", "))) for v, rows in views.items()}
+    found = files.postgres_catalog_of(frames, "db")
+    assert {(r["table"], r["name"], r["pk"], r["uniq"], r["nullable"]) for r in found.columns.collect()} == {("p", "id", True, False, False), ("p", "code", False, True, True), ("c", "pid", False, False, True), ("c", "a", True, False, False), ("c", "b", True, False, False)}
+    assert [(r["table"], r["local"], r["parent_table"], r["parent_columns"]) for r in found.fks.collect()] == [("c", ["pid"], "p", ["id"])]
+    assert schema.fk_classes(found.fks, found.columns, "postgresql").first()["fk_class"] == "valid"
 
 
 def test_judge_report_lists_all_but_the_partial_items(spark, tmp_path):
@@ -370,6 +516,11 @@ def test_stream(spark, tmp_path):
         ingest.audit_stream(ingest.read_items(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", once=True).awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out/metrics_query_audit").count() == k
         (tmp_path / "in/b.json").write_text('{"id": "2", "db_id": "d", "sql": "SELECT ("}\n')
+    for k in range(2):
+        ingest.numbered_stream(ingest.read_items(spark, f"{tmp_path}/in"), f"{tmp_path}/numbered", f"{tmp_path}/check2", ["sql"], once=True).awaitTermination()
+        (tmp_path / f"in/n{k}.json").write_text('{"sql": "b"}\n{"sql": "a"}\n{"id": "x", "sql": "c"}\n')
+    ingest.numbered_stream(ingest.read_items(spark, f"{tmp_path}/in"), f"{tmp_path}/numbered", f"{tmp_path}/check2", ["sql"], once=True).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/numbered").where("assigned").collect()) == ["1", "2", "3", "4"]
     q = ingest.first_seen(ingest.read_items(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("seen").count() == 1
+    assert spark.table("seen").count() == 2
