@@ -56,55 +56,76 @@ def detect_antipatterns(sql: str | None, severities: dict[str, list[str]] | None
     return {"parseable": True, "antipatterns": [dict(zip(ANTIPATTERN.names, f)) for f in found], "quality_score": score, "quality_level": "excellent" if score >= 90 else "good" if score >= 70 else "fair" if score >= 50 else "poor", "err": None}
 
 
-def difficulty_of(f: dict) -> str:
-    """difficulty() for one statement in Python, for callers without Spark."""
-    if not f["parseable"]:
-        return "unknown"
-    n = lambda k: f[k] or 0
-    advanced = (n("cte_count") > 0) + (n("window_fn_count") > 0) + (n("subquery_count") >= 2)
-    if f["has_recursive_cte"] or n("max_subquery_depth") >= 2 or (n("subquery_count") >= 3 and n("cte_count") >= 1) or n("set_op_count") >= 3 or advanced >= 2:
-        return "expert"
-    if n("subquery_count") or n("cte_count") or n("window_fn_count") or n("set_op_count") >= 2 or n("table_count") >= 4 or n("join_count") >= 3 or f["has_having"]:
-        return "hard"
-    traits = f["has_where"] + f["has_order_by"] + f["has_distinct"] + f["has_case"] + (f["has_like"] or f["has_in"] or f["has_between"])
-    if n("table_count") >= 2 or n("join_count") or f["has_group_by"] or n("aggregate_count") or n("where_condition_count") >= 3 or n("set_op_count") == 1 or traits >= 3:
-        return "medium"
-    return "easy"
+class _Columns:
+    """Features as columns, for rules over rows."""
 
+    number = staticmethod(lambda name: F.coalesce(F.col(name), F.lit(0)))
+    holds = staticmethod(lambda name: F.col(name))
+    one = staticmethod(lambda condition: condition.cast("int"))
+    capped = staticmethod(lambda value, most: F.least(value, F.lit(most)))
 
-def complexity_of(f: dict) -> int:
-    base = {"easy": 10, "medium": 40, "hard": 70, "expert": 90, "unknown": 0}[difficulty_of(f)]
-    if not base:
-        return 0
-    n = lambda k: f[k] or 0
-    fine = min(n("join_count"), 3) + min(n("subquery_count"), 2) + min(n("window_fn_count"), 2) + min(n("cte_count"), 2) + min(n("aggregate_count"), 2)
-    fine += int(f["has_having"]) + 2 * (n("max_subquery_depth") >= 2) + int(f["has_window_frame"]) + 2 * int(f["has_recursive_cte"])
-    return base + min(9, fine)
+
+class _Values:
+    """Features of one statement in Python, for the same rules."""
+
+    def __init__(self, features: dict) -> None:
+        self.features = features
+
+    def number(self, name: str) -> int:
+        return self.features[name] or 0
+
+    def holds(self, name: str) -> bool:
+        return bool(self.features[name])
+
+    one, capped = staticmethod(int), staticmethod(min)
+
+
+#: Where the complexity of a level begins.
+BASES = {"easy": 10, "medium": 40, "hard": 70, "expert": 90, "unknown": 0}
 
 
-def _number(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
+def _levels(x) -> list[tuple[str, object]]:
+    """(level, condition) in the order in which they are asked; what meets none is easy. x: _Columns or _Values."""
+    n, has, one = x.number, x.holds, x.one
+    advanced = one(n("cte_count") > 0) + one(n("window_fn_count") > 0) + one(n("subquery_count") >= 2)
+    traits = one(has("has_where")) + one(has("has_order_by")) + one(has("has_distinct")) + one(has("has_case")) + one(has("has_like") | has("has_in") | has("has_between"))
+    return [
+        ("expert", has("has_recursive_cte") | (n("max_subquery_depth") >= 2) | ((n("subquery_count") >= 3) & (n("cte_count") >= 1)) | (n("set_op_count") >= 3) | (advanced >= 2)),
+        ("hard", (n("subquery_count") > 0) | (n("cte_count") > 0) | (n("window_fn_count") > 0) | (n("set_op_count") >= 2) | (n("table_count") >= 4) | (n("join_count") >= 3) | has("has_having")),
+        ("medium", (n("table_count") >= 2) | (n("join_count") >= 1) | has("has_group_by") | (n("aggregate_count") > 0) | (n("where_condition_count") >= 3) | (n("set_op_count") == 1) | (traits >= 3)),
+    ]
+
+
+def _refinement(x):
+    """What is added to a level's base, before it is capped at 9."""
+    counted = {"join_count": 3, "subquery_count": 2, "window_fn_count": 2, "cte_count": 2, "aggregate_count": 2}
+    parts = [x.capped(x.number(c), most) for c, most in counted.items()]
+    parts += [x.one(x.holds("has_having")), x.one(x.number("max_subquery_depth") >= 2) * 2, x.one(x.holds("has_window_frame")), x.one(x.holds("has_recursive_cte")) * 2]
+    return sum(parts[1:], parts[0])
+
+
+def difficulty_of(f: dict) -> str:
+    """difficulty() of one statement's features, for callers without Spark."""
+    return "unknown" if not f["parseable"] else next((level for level, holds in _levels(_Values(f)) if holds), "easy")
+
+
+def complexity_of(f: dict) -> int:
+    level = difficulty_of(f)
+    return 0 if level == "unknown" else BASES[level] + min(9, _refinement(_Values(f)))
 
 
 def difficulty() -> Column:
     """easy, medium, hard, expert or unknown, from the feature columns; the first rule that holds."""
-    count = lambda *conditions: sum((c.cast("int") for c in conditions[1:]), conditions[0].cast("int"))
-    n = _number
-    expert = F.col("has_recursive_cte") | (n("max_subquery_depth") >= 2) | ((n("subquery_count") >= 3) & (n("cte_count") >= 1)) | (n("set_op_count") >= 3) | (count(n("cte_count") > 0, n("window_fn_count") > 0, n("subquery_count") >= 2) >= 2)
-    hard = (n("subquery_count") > 0) | (n("cte_count") > 0) | (n("window_fn_count") > 0) | (n("set_op_count") >= 2) | (n("table_count") >= 4) | (n("join_count") >= 3) | F.col("has_having")
-    traits = count(F.col("has_where"), F.col("has_order_by"), F.col("has_distinct"), F.col("has_case"), F.col("has_like") | F.col("has_in") | F.col("has_between"))
-    medium = (n("table_count") >= 2) | (n("join_count") >= 1) | F.col("has_group_by") | (n("aggregate_count") > 0) | (n("where_condition_count") >= 3) | (n("set_op_count") == 1) | (traits >= 3)
-    return F.when(~F.col("parseable"), "unknown").when(expert, "expert").when(hard, "hard").when(medium, "medium").otherwise("easy")
+    out = F.when(~F.col("parseable"), "unknown")
+    for level, holds in _levels(_Columns):
+        out = out.when(holds, level)
+    return out.otherwise("easy")
 
 
 def complexity() -> Column:
     """0 to 99 from difficulty_level and the features: a base by level and at most 9 for what is in the statement."""
-    n = _number
-    base = F.when(F.col("difficulty_level") == "easy", 10).when(F.col("difficulty_level") == "medium", 40).when(F.col("difficulty_level") == "hard", 70).when(F.col("difficulty_level") == "expert", 90).otherwise(0)
-    capped = lambda name, most: F.least(n(name), F.lit(most))
-    fine = capped("join_count", 3) + capped("subquery_count", 2) + capped("window_fn_count", 2) + capped("cte_count", 2) + capped("aggregate_count", 2)
-    fine = fine + F.col("has_having").cast("int") + F.when(n("max_subquery_depth") >= 2, 2).otherwise(0) + F.col("has_window_frame").cast("int") + F.when(F.col("has_recursive_cte"), 2).otherwise(0)
-    return F.when(F.col("difficulty_level") == "unknown", 0).otherwise(base + F.least(fine, F.lit(9)))
+    base = F.coalesce(*[F.when(F.col("difficulty_level") == level, n) for level, n in BASES.items()])
+    return F.when(F.col("difficulty_level") == "unknown", 0).otherwise(base + F.least(_refinement(_Columns), F.lit(9)))
 
 
 def quality(antipatterns: Column, parseable: Column, penalties: dict[str, int] | None = None) -> Column:
