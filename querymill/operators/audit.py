@@ -32,6 +32,7 @@ PENALTIES = {"critical": 30, "high": 15, "medium": 5, "low": 2}
 OTHER_PENALTY = 10
 #: Order and name of severities in reports.
 SEVERITY_ORDER = {"critical": 1, "high": 2, "medium": 3, "low": 4}
+SEVERITY_DISPLAY = {"critical": "🔴 Critical", "high": "⚠️ High", "medium": "🔵 Medium", "low": "🟢 Low"}
 #: Statements a worker remembers the audit of.
 REMEMBERED = 50_000
 

@@ -98,6 +98,9 @@ TEMPLATES = [
     "CREATE TABLE extra (id INTEGER PRIMARY KEY, name TEXT)",
     "SELECT id FROM users WHERE",
     "SELECT name, FROM users",
+    "SELECT * FROM users a, orders b WHERE a.name = NULL",
+    "SELECT a.id, COUNT(*) FROM users a, orders b WHERE UPPER(a.name) LIKE '%x'",
+    "SELECT * FROM users WHERE name = NULL LIMIT 2 OFFSET 1",
 ]
 
 #: Tpl, parseable, type, read_only, tables, columns, joins, join types, subqueries, depth, aggregates, aggregate types, where conditions,
@@ -190,6 +193,9 @@ GOLD = [
     (83, 1, "CREATE", 0, "extra", 0, 0, "", 0, 0, 0, "", 0, 0, 0, 0, 0, "", 0, "", "", "easy", 10, ""),
     (84, 0, "", 0, "", 0, 0, "", 0, 0, 0, "", 0, 0, 0, 0, 0, "", 0, "", "", "unknown", 0, ""),
     (85, 0, "", 0, "", 0, 0, "", 0, 0, 0, "", 0, 0, 0, 0, 0, "", 0, "", "", "unknown", 0, ""),
+    (86, 1, "SELECT", 1, "orders,users", 1, 1, "INNER", 0, 0, 0, "", 1, 0, 0, 0, 0, "", 0, "", "ws", "medium", 41, "null_comparison_equals:critical,cartesian_product:critical,select_star:medium"),
+    (87, 1, "SELECT", 1, "orders,users", 2, 1, "INNER", 0, 0, 1, "COUNT", 1, 0, 0, 0, 0, "", 0, "", "wks", "medium", 42, "cartesian_product:critical,missing_group_by:critical,function_in_where:high,leading_wildcard_like:high"),
+    (88, 1, "SELECT", 1, "users", 1, 0, "", 0, 0, 0, "", 1, 0, 0, 0, 0, "", 0, "", "wlos", "easy", 10, "null_comparison_equals:critical,limit_without_order_by:high,offset_without_order_by:high,select_star:medium"),
 ]
 _COLUMNS = (
     "tpl, parseable, statement_type, is_read_only, tables, column_count, join_count, join_types, subquery_count, max_subquery_depth, aggregate_count, aggregate_types, where_condition_count, order_by_columns, "

@@ -78,7 +78,7 @@ _over(reports.antipattern_top, "antipattern_top", f"{_G}, {_P}, {_TEXT}, {_BY} S
 _over(reports.antipattern_items, "antipattern_items", f"{_G}, {_P} SELECT DISTINCT pattern, severity, id FROM p")
 _over(reports.quality_summary, "quality_summary", f"{_G} SELECT count(*) AS total, count(*) FILTER (parseable) AS parsed, round(avg(quality_score) FILTER (parseable), 6) AS avg_quality, round(avg(len(patterns)) FILTER (parseable), 6) AS avg_findings, count(*) FILTER (parseable AND len(patterns) = 0) AS clean, round(count(*) FILTER (parseable AND len(patterns) = 0) * 100.0::DOUBLE / count(*) FILTER (parseable), 1) AS clean_share FROM m")
 _over(reports.quality_levels, "quality_levels", f"{_G} SELECT CASE WHEN quality_score >= 90 THEN 'excellent' WHEN quality_score >= 70 THEN 'good' WHEN quality_score >= 50 THEN 'fair' ELSE 'poor' END AS quality_level, count(*) AS queries FROM m GROUP BY 1")
-_over(reports.worst_items, "worst_items", f"{_G} SELECT id, CAST(quality_score AS INTEGER) AS quality_score, CAST(len(patterns) AS INTEGER) AS total_antipatterns FROM m WHERE parseable AND quality_score < 90 ORDER BY total_antipatterns DESC, quality_score, CAST(id AS BIGINT), id LIMIT 10")
+_over(reports.worst_items, "worst_items", f"{_G} SELECT id, CAST(quality_score AS INTEGER) AS quality_score, CAST(len(patterns) AS INTEGER) AS total_antipatterns FROM m WHERE parseable AND quality_score < 50 ORDER BY total_antipatterns DESC, quality_score, CAST(id AS BIGINT), id LIMIT 10")
 _over(reports.unparseable, "unparseable", f"{_G} SELECT count(*) FILTER (NOT parseable) AS unparseable, count(*) AS total, round(count(*) FILTER (NOT parseable) * 100.0::DOUBLE / count(*), 1) AS share FROM m")
 _over(reports.unparseable_items, "unparseable_items", f"{_G} SELECT id, err FROM m WHERE NOT parseable")
 _over(reports.used_tables, "used_tables", f"{_G}, {_USED_SQL} SELECT * FROM used")

@@ -26,9 +26,17 @@ register("loader", "parquet")(files.read_table)
 
 
 @register("loader", "hf")
-def _exported(spark: SparkSession, data_files: str, columns: list[str] | None = None, **_: object) -> DataFrame:
-    """Datasets of a hub, exported as Parquet; the engine itself never goes to a network."""
-    return files.read_table(spark, data_files, columns)
+def _exported(spark: SparkSession, data_files: str | list | dict | None = None, columns: list[str] | None = None, name: str | None = None, config_name: str | None = None, split: str | None = None, **_: object) -> DataFrame:
+    """L4: datasets of a hub, exported as Parquet; the engine itself never goes to a network.
+
+    data_files: paths, or paths by split; else `name` is the folder of an export, in which config_name is
+    a subfolder and each split's files begin with its name.
+    """
+    if isinstance(data_files, dict):
+        chosen = data_files[split] if split else [p for paths in data_files.values() for p in (paths if isinstance(paths, list) else [paths])]
+    else:
+        chosen = data_files or "/".join(x for x in (name, config_name, f"{split}*.parquet" if split else "*.parquet") if x)
+    return files.read_table(spark, chosen, columns)
 
 
 @register("normalizer", "alias_mapper")
@@ -278,7 +286,7 @@ def write_reports(spark: SparkSession, metrics: str, to: str, which: list[str] |
                 body |= {"Summary": reports.coverage_summary(m, catalog), "Databases": reports.coverage_by_db(m, catalog)}
         else:
             shown = (reports.quality_summary, reports.quality_levels, reports.antipattern_by_severity, reports.antipattern_top, reports.antipattern_items, reports.unparseable, reports.unparseable_items, reports.worst_items)
-            body = {f.__name__.replace("_", " ").capitalize(): f(m) for f in shown} if m is not None else {"Quality": missing}
+            body = {f.__name__.replace("_", " ").capitalize(): reports.displayed(f(m)) if f in (reports.antipattern_top, reports.antipattern_items) else f(m) for f in shown} if m is not None else {"Quality": missing}
         written.append(sinks.write_markdown(f"{to}/{name}_report.md", name.replace("_", " ").capitalize(), body))
     return written
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from querymill.operators.audit import SEVERITY_ORDER
+from querymill.operators.audit import SEVERITY_DISPLAY, SEVERITY_ORDER
+from querymill.sql.findings import LABELS
 
 VALID = "parseable and coalesce(status, 'ok') <> 'skipped'"
 LEVELS = ("easy", "medium", "hard", "expert")
@@ -148,6 +149,24 @@ def balance(m: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("criterion"), F.col(k).alias("value"), F.expr(e).alias("met")) for k, e in met.items()])).alias("x")).select("x.*")
 
 
+def severity_display(severity: Column) -> Column:
+    """A severity's sign and label in reports; one that isn't known has a blank sign and its own name."""
+    known = F.create_map(*[F.lit(x) for k, v in SEVERITY_DISPLAY.items() for x in (k, v)])
+    return F.coalesce(known[severity], F.concat(F.lit("⚪ "), F.initcap(severity)))
+
+
+def pattern_label(pattern: Column) -> Column:
+    """What a pattern is called in reports."""
+    known = F.create_map(*[F.lit(x) for k, v in LABELS.items() for x in (k, v)])
+    return F.coalesce(known[pattern], F.initcap(F.replace(pattern, F.lit("_"), F.lit(" "))))
+
+
+def displayed(rows: DataFrame) -> DataFrame:
+    """rows (pattern, severity, …) as reports show them."""
+    shown = {"pattern": pattern_label(F.col("pattern")), "severity": severity_display(F.col("severity"))}
+    return rows.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in rows.columns if c != "severity_order"])
+
+
 def antipattern_rows(m: DataFrame) -> DataFrame:
     """One row for each antipattern found."""
     return valid(m).select("id", "db_id", F.explode("antipatterns").alias("a")).select("id", "db_id", "a.pattern", "a.severity", "a.message")
@@ -195,7 +214,7 @@ def quality_levels(m: DataFrame) -> DataFrame:
     return m.groupBy("quality_level").agg(F.count(F.lit(1)).alias("queries"))
 
 
-def worst_items(m: DataFrame, below: int = 90, k: int = 10) -> DataFrame:
+def worst_items(m: DataFrame, below: int = 50, k: int = 10) -> DataFrame:
     """Q64: the k statements of most findings among those of low quality."""
     return m.where(F.col("parseable") & (F.col("quality_score") < below)).select("id", "quality_score", "total_antipatterns").orderBy(F.desc("total_antipatterns"), "quality_score", F.expr("try_cast(id as bigint)"), "id").limit(k)
 

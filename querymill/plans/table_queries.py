@@ -265,7 +265,13 @@ def items_on_bad_dbs(spark: SparkSession, d: str) -> DataFrame:
     return schema.items_on_bad_dbs(table(spark, d, "calibration_train", "id", "db_id"), _validated(spark, d))
 
 
-@query("schema_ddl")
+_LINES = f"""WITH {_C}, {_FK}, l AS (SELECT db_id, "table", 0 AS part, pos, '  "' || replace(name, '"', '""') || '"' || CASE WHEN coalesce(type, '') <> '' THEN ' ' || type ELSE '' END || CASE WHEN NOT nullable THEN ' NOT NULL' ELSE '' END AS line FROM c
+UNION ALL SELECT db_id, "table", 1, 0, '  PRIMARY KEY (' || string_agg('"' || name || '"', ', ' ORDER BY pos) || ')' FROM c WHERE pk GROUP BY 1, 2
+UNION ALL SELECT db_id, "table", 2, 0, '  FOREIGN KEY ("' || name || '") REFERENCES "' || parent_table || '" ("' || name || '")' FROM fk)
+SELECT db_id, "table", 'CREATE TABLE "' || "table" || '" (' || chr(10) || string_agg(line, ',' || chr(10) ORDER BY part, pos, line) || chr(10) || ');' AS ddl FROM l GROUP BY 1, 2"""
+
+
+@query("schema_ddl", _LINES)
 def schema_ddl(spark: SparkSession, d: str) -> DataFrame:
     columns, fks = catalog(spark, d)
     return schema.ddl(columns, fks)

@@ -29,9 +29,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quotechar: str = '"', has_header: bool | None = None, encoding: str = "utf-8", sniff_bytes: int = 4096) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quotechar: str = '"', has_header: bool | None = None, encoding: str = "utf-8", sniff_bytes: int = 4096, multi_line: bool = True) -> DataFrame:
     """L3: CSV, all values strings. Delimiter and header are sniffed from the first bytes where not given;
-    without a header columns are col_1 to col_n and no row is lost."""
+    without a header columns are col_1 to col_n and no row is lost. multi_line: quoted values may hold
+    line breaks, so a file can't be divided; False for large files whose records are single lines."""
     if delimiter is None or has_header is None:
         head = spark.read.text(path).limit(50).collect()
         sample = "\n".join(r[0] for r in head)[:sniff_bytes]
@@ -44,13 +45,13 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote
                 has_header = csv.Sniffer().has_header(sample) if sample.count("\n") > 1 else True
             except csv.Error:
                 has_header = True
-    df = spark.read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("header", has_header).option("encoding", encoding).option("multiLine", True).csv(path)
+    df = spark.read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("header", has_header).option("encoding", encoding).option("multiLine", multi_line).csv(path)
     return df if has_header else df.toDF(*[f"col_{i + 1}" for i in range(len(df.columns))])
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """An exported dataset in Parquet; only the columns asked for are read, absent ones are null."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     if not columns:
         return df
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])

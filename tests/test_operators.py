@@ -320,6 +320,15 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="no array of objects"):
         files.read_json(spark, f"{tmp_path}/lone.json")
     (tmp_path / "d.csv").write_text("number;word\n1;abc\n2;de\n")
+    assert files.read_csv(spark, f"{tmp_path}/d.csv", multi_line=False).count() == 2
+    from querymill.plans import pipeline  # noqa: F401
+    from querymill.registry import get
+
+    for split in ("train", "test"):
+        spark.range(2).selectExpr("id", f"'{split}' as s").coalesce(1).toPandas().to_parquet(tmp_path / f"{split}-0.parquet")
+    hub = get("loader", "hf")
+    assert hub(spark, name=str(tmp_path), split="test").distinct().count() == 2 and hub(spark, name=str(tmp_path), columns=["s"]).count() == 4
+    assert hub(spark, {"a": f"{tmp_path}/train-0.parquet", "b": [f"{tmp_path}/test-0.parquet"]}, split="a", columns=["s", "odd"]).distinct().collect()[0].asDict() == {"s": "train", "odd": None}
     assert files.read_csv(spark, f"{tmp_path}/d.csv").columns == ["number", "word"]
     assert files.read_csv(spark, f"{tmp_path}/d.csv", has_header=False).columns == ["col_1", "col_2"] and files.read_csv(spark, f"{tmp_path}/d.csv", has_header=False).count() == 3
     (tmp_path / "p.yaml").write_text("default: two\none: {template: 'x {{dialect}}'}\ntwo: one\n")
@@ -498,6 +507,13 @@ def test_antipattern_items_lists_every_id(spark):
     assert [tuple(r) for r in reports.antipattern_items(m).collect()] == [("p", "s", i) for i in ("9", "10", "11", "ab3f")]
 
 
+def test_names_in_reports(spark):
+    from querymill.plans import reports
+
+    df = spark.createDataFrame([("select_star", "medium", 1, 3), ("own_rule", "odd", 2, 999)], "pattern string, severity string, queries int, severity_order int")
+    assert [tuple(r) for r in reports.displayed(df).collect()] == [("SELECT *", "🔵 Medium", 1), ("Own Rule", "⚪ Odd", 2)]
+
+
 def test_registry():
     from querymill.plans import pipeline  # noqa: F401
     from querymill.registry import get
