@@ -343,7 +343,7 @@ def cast(role: str, value: object) -> object:
     if role == "evidence":
         return _text(value, "; ")
     if role in ("schema", "metadata"):
-        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
     if role == "difficulty":
         return {1: "easy", 2: "medium", 3: "hard", 4: "expert"}.get(_number(value, int), _text(value, " "))
     if role == "rows":
