@@ -167,6 +167,7 @@ def _prepared(voters: DataFrame, verdicts: DataFrame | None) -> tuple[DataFrame,
     votes = usable_votes(voters)
     if verdicts is not None:
         votes = votes.unionByName(panel_votes(verdicts))
+    votes = write_shared(votes, "votes")  # read for the names and for the items
     names = sorted((r["panel"], r["voter"]) for r in votes.select("panel", "voter").distinct().limit(MOST_VOTERS + 1).collect())
     if len(names) > MOST_VOTERS:
         raise ValueError(f"more than {MOST_VOTERS} voters")
@@ -179,7 +180,7 @@ def _prepared(voters: DataFrame, verdicts: DataFrame | None) -> tuple[DataFrame,
         F.countDistinct(F.when(model, F.col("v"))).alias("different"),
         *[F.count_if(model & (F.col("v") == i)).alias(f"n{i}") for i in range(len(VERDICTS))],
     )
-    return write_shared(items, "votes"), names
+    return write_shared(items, "voted-items"), names
 
 
 def _fitted(voters: DataFrame, verdicts: DataFrame | None) -> tuple[DataFrame, Model]:
