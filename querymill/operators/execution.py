@@ -6,6 +6,7 @@ import re
 import sqlite3
 import time
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.session import spread
-from querymill.sql.facts import WRITES, read
+from querymill.sql.facts import WRITES
 from querymill.sql.lexer import SqlError
 from querymill.sql.parser import parse
+from querymill.sql.tree import Node
 
 #: Statements that are never run.
 BLOCKED = ("DROP", "TRUNCATE", "ALTER", "VACUUM", "ATTACH", "DETACH")
@@ -33,10 +35,19 @@ def blocked(sql: Column) -> Column:
     return F.nullif(word, F.lit(""))
 
 
+@lru_cache(maxsize=1024)
+def _parsed(sql: str) -> tuple[list[Node], str | None]:
+    """(roots of the statements of a text, None) or ([], why it can't be parsed): each text is parsed once for all that is asked of it."""
+    try:
+        return parse(sql), None
+    except (SqlError, RecursionError) as e:
+        return [], f"Unparsable error: {e}"
+
+
 def limited(sql: str, limit: int = 1) -> str:
     """A SELECT without LIMIT gets one; anything else stays as it is."""
-    statement, _ = read(sql)
-    if statement is None or statement.root.kind not in ("Select", "Union", "Intersect", "Except") or statement.root["limit"]:
+    roots, _ = _parsed(sql)
+    if not roots or roots[0].kind not in ("Select", "Union", "Intersect", "Except") or roots[0]["limit"]:
         return sql
     bare = re.sub(r"(?:\s|;|--[^\n]*$|/\*[^*]*\*/$)+$", "", sql)
     return f"{bare}\nLIMIT {limit}"
@@ -48,9 +59,9 @@ _LEADING = re.compile(r"(?:\s|;|\(|--[^\n]*(?:\n|$)|/\*.*?\*/)+", re.S)
 
 def destructive(sql: str) -> str | None:
     """The word of BLOCKED that any statement of a text is, whatever comments stand before it; None if none is."""
-    try:
-        words = [_KIND_WORD.get(n.kind) or (n.value if n.kind == "Command" else None) for n in parse(sql)]
-    except (SqlError, RecursionError):
+    roots, _ = _parsed(sql)
+    words = [_KIND_WORD.get(n.kind) or (n.value if n.kind == "Command" else None) for n in roots]
+    if not roots:
         start = _LEADING.match(sql)
         first = re.match(r"[A-Za-z]+", sql[start.end() :] if start else sql)
         words = [first.group().upper()] if first else []
@@ -64,11 +75,11 @@ def gate(sql: str | None, mode: str = "select_only", strict_compat: bool = False
     if word := destructive(sql):
         return f"Blocked destructive statement: {word}"
     if mode == "select_only":
-        statement, err = read(sql)
-        if statement is None:
+        roots, err = _parsed(sql)
+        if not roots:
             return err
         queries = ("Select",) if strict_compat else ("Select", "Union", "Intersect", "Except", "Values", "Subquery")
-        if statement.root.kind not in queries or statement.has(*WRITES):
+        if roots[0].kind not in queries or next(roots[0].find(*WRITES), None) is not None:
             return "Only SELECT statements are allowed"
     return None
 

@@ -49,6 +49,15 @@ def numbered_stream(items: DataFrame, out: str, checkpoint: str, order: list[str
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def with_health(items: DataFrame, health: DataFrame) -> DataFrame:
+    """Items of a stream with the health of their database, from a table at rest (db_id, health); unknown where it has none.
+
+    Spark reads the table anew for each batch and broadcasts it where it is small enough.
+    """
+    known = health.groupBy("db_id").agg(F.min("health").alias("health"))
+    return items.join(known, "db_id", "left").withColumn("health", F.coalesce("health", F.lit("unknown")))
+
+
 def first_seen(items: DataFrame, key: str = "db_id", event_time: str | None = None, horizon: str = "7 days") -> DataFrame:
     """The first row of each key, for work done once a database; with an event time, state older than horizon is dropped."""
     if event_time:

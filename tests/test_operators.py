@@ -537,6 +537,10 @@ def test_stream(spark, tmp_path):
         (tmp_path / f"in/n{k}.json").write_text('{"sql": "b"}\n{"sql": "a"}\n{"id": "x", "sql": "c"}\n')
     ingest.numbered_stream(ingest.read_items(spark, f"{tmp_path}/in"), f"{tmp_path}/numbered", f"{tmp_path}/check2", ["sql"], once=True).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/numbered").where("assigned").collect()) == ["1", "2", "3", "4"]
+    health = spark.createDataFrame([("d", "ok")], "db_id string, health string")
+    q = ingest.with_health(ingest.read_items(spark, f"{tmp_path}/in"), health).writeStream.format("memory").queryName("healthy").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["db_id"], r["health"]) for r in spark.table("healthy").collect()} == {("d", "ok"), (None, "unknown")}
     q = ingest.first_seen(ingest.read_items(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 2
