@@ -101,7 +101,7 @@ def with_default(items: DataFrame, reported: DataFrame, key: str = "id", verdict
 
 def plain_sql(sql: Column) -> Column:
     """SQL in lower case with single blanks, for comparison."""
-    return F.lower(F.regexp_replace(F.trim(sql), r"\s+", " "))
+    return F.lower(F.trim(F.regexp_replace(sql, r"(?U)\s+", " ")))
 
 
 def lookup_by_position(df: DataFrame, order: list[str], positions: DataFrame) -> DataFrame:

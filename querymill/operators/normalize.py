@@ -59,7 +59,7 @@ def incremental_ids(items: DataFrame, order: list[str], start: int = 1) -> DataF
 def plain_ddl(schema: Column) -> Column:
     """DDL without comments, in lower case with single blanks."""
     text = F.regexp_replace(F.regexp_replace(schema, r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " ")
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))  # blanks of any kind
 
 
 def bad_schema_id(schema: Column, dialect: str = "sqlite") -> Column:

@@ -121,7 +121,7 @@ def default_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return calibration.with_default(table(spark, d, "calibration_train", "id").distinct(), v).groupBy("verdict").agg(F.count(F.lit(1)).alias("items"))
 
 
-_PLAIN = r"lower(regexp_replace(trim(query), '\s+', ' ', 'g'))"
+_PLAIN = r"lower(trim(regexp_replace(query, '[\s\x{0b}\x{85}\pZ]+', ' ', 'g')))"
 
 
 @query(
@@ -311,7 +311,7 @@ def incremental_ids(spark: SparkSession, d: str) -> DataFrame:
     return normalize.incremental_ids(t, ["loaded_at", "row_id"], 100).select("row_id", "id")
 
 
-@query("bad_schema_id", r"SELECT id, 'sql_err_' || substr(sha1(lower(trim(regexp_replace(regexp_replace(regexp_replace(query, '--[^\n]*', ' ', 'g'), '(?s)/\*.*?\*/', ' ', 'g'), '\s+', ' ', 'g')))), 1, 16) AS schema_id FROM calibration_train WHERE query IS NOT NULL")
+@query("bad_schema_id", r"SELECT id, 'sql_err_' || substr(sha1(lower(trim(regexp_replace(regexp_replace(regexp_replace(query, '--[^\n]*', ' ', 'g'), '(?s)/\*.*?\*/', ' ', 'g'), '[\s\x{0b}\x{85}\pZ]+', ' ', 'g')))), 1, 16) AS schema_id FROM calibration_train WHERE query IS NOT NULL")
 def bad_schema_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "calibration_train", "id", "query").where("query is not null").select("id", normalize.bad_schema_id(F.col("query"), "sqlite").alias("schema_id"))
 
