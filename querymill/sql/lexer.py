@@ -23,24 +23,27 @@ class Token(NamedTuple):
 
 
 _TOKEN = re.compile(
-    r"""(?P<space>[\s﻿]+|--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>[xXeEbBnN]?'(?:[^']|'')*')|(?P<name>"(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[A-Za-z_][^\]\[]*\])
+    r"""[\s﻿]*(?:(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>[xXeEbBnN]?'(?:[^']|'')*')|(?P<name>"(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[A-Za-z_][^\]\[]*\])
     |(?P<number>0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)(?![\w$])|(?P<word>[^\W\d][\w$]*)|(?P<param>\?\d*|[:@$]\w+|%s)
-    |(?P<op><=>|->>|->|<>|<=|>=|!=|==|\|\||::|<<|>>|!~~?\*?|~~?\*?|[-+*/%=<>&|^(),.;:\[\]{}])""",
+    |(?P<op><=>|->>|->|<>|<=|>=|!=|==|\|\||::|<<|>>|!~~?\*?|~~?\*?|[-+*/%=<>&|^(),.;:\[\]{}])|(?P<end>\Z))""",
     re.X | re.S,
 )
 
 
+_BLANK = re.compile("[\\s\ufeff]*")
+
+
 def tokenize(sql: str) -> list[Token]:
     """The tokens of sql, closed by one of kind end. Raises SqlError at text that is none."""
-    out, at, n = [], 0, len(sql)
+    out, at = [], 0
     match = _TOKEN.match
-    while at < n:
+    while True:
         m = match(sql, at)
         if not m:
+            at = _BLANK.match(sql, at).end()
             raise SqlError(f"unexpected {sql[at : at + 20]!r} at {at}")
-        kind, text, at = m.lastgroup, m.group(), m.end()
-        if kind == "space":
-            continue
+        kind = m.lastgroup
+        text, at = m.group(kind), m.end()
         if kind == "word":
             upper = text.upper()
             # keywords have one spelling, so that a node's text doesn't depend on their case
@@ -49,7 +52,8 @@ def tokenize(sql: str) -> list[Token]:
             out.append(Token("name", text[1:-1].replace(text[-1] * 2, text[-1]), ""))
         elif kind == "string":
             out.append(Token("string", text[text.index("'") + 1 : -1].replace("''", "'"), ""))
-        else:
+        elif kind == "end":
+            out.append(Token("end", "", ""))
+            return out
+        elif kind != "comment":
             out.append(Token(kind, text, text))
-    out.append(Token("end", "", ""))
-    return out

@@ -18,7 +18,9 @@ RESERVED = frozenset(
 NOT_ALIAS = RESERVED | frozenset("OUTER ILIKE GLOB REGEXP MATCH ESCAPE ISNULL NOTNULL END ASC DESC NULLS OVER FILTER FOR ALL".split())
 _COMPARE = {"=", "==", "<>", "!=", "<", "<=", ">", ">=", "<=>"}
 _LIKES = {"LIKE", "ILIKE", "GLOB", "REGEXP", "MATCH", "RLIKE", "SIMILAR"}
-_BINARY = [{"|", "&", "<<", ">>", "^", "~", "~*", "!~", "!~*", "~~", "~~*", "!~~", "!~~*"}, {"+", "-"}, {"*", "/", "%"}, {"||", "->", "->>"}]
+_LEVELS = ["| & << >> ^ ~ ~* !~ !~* ~~ ~~* !~~ !~~*", "+ -", "* / %", "|| -> ->>"]
+#: How tightly each operator binds.
+_LEVEL = {op: i for i, ops in enumerate(_LEVELS) for op in ops.split()}
 _COMMANDS = {"PRAGMA", "VACUUM", "ATTACH", "DETACH", "ANALYZE", "REINDEX", "BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT", "RELEASE", "SHOW", "SET", "GRANT", "REVOKE", "COPY", "EXPLAIN", "DESCRIBE", "USE", "CALL", "COMMENT"}
 
 
@@ -674,13 +676,12 @@ class Parser:
         return self.made(Node({"LIKE": "Like", "ILIKE": "ILike", "GLOB": "Glob"}.get(upper, "RegexpLike"), upper, this=node, pattern=right), start)
 
     def binary(self, level: int) -> Node:
-        if level == len(_BINARY):
-            return self.unary()
+        """Operators of at least this level, by precedence climbing; those of one level group from the left."""
         start = self.at
-        node = self.binary(level + 1)
-        while self.now.kind == "op" and self.now.upper in _BINARY[level]:
-            op = self.next().upper
-            node = self.made(Node("Arith", op, left=node, right=self.binary(level + 1)), start)
+        node = self.unary()
+        while (now := self.tokens[self.at]).kind == "op" and _LEVEL.get(now.upper, -1) >= level:
+            self.at += 1
+            node = self.made(Node("Arith", now.upper, left=node, right=self.binary(_LEVEL[now.upper] + 1)), start)
         return node
 
     def unary(self) -> Node:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 
@@ -13,12 +12,13 @@ class Node:
     column's table, an alias of a source, a join's side and the like.
     """
 
-    __slots__ = ("kind", "value", "parts", "parent", "scope", "span", "flags")
+    __slots__ = ("kind", "value", "parts", "parent", "scope", "span", "flags", "below")
 
     def __init__(self, kind: str, value: str = "", **parts) -> None:
         self.kind, self.value = kind, value
         self.parts = {k: v for k, v in parts.items() if v is not None and v != []}
         self.parent = self.scope = None
+        self.below: list[Node] | None = None  # the children, once the tree is linked and changes no more
         self.span: tuple | None = None
         self.flags: frozenset[str] = frozenset()
 
@@ -33,20 +33,23 @@ class Node:
         # a function's name says the same in any letter case
         return " ".join(f"'{t.text}'" if t.kind == "string" else t.upper if t.kind == "word" and tokens[i + 1].text == "(" else t.text for i, t in enumerate(tokens[start:end], start))
 
-    def children(self) -> Iterator[Node]:
+    def children(self) -> list[Node]:
+        if self.below is not None:
+            return self.below
+        out = []
         for part in self.parts.values():
             if isinstance(part, list):
-                yield from part
+                out += part
             else:
-                yield part
+                out.append(part)
+        return out
 
     def walk(self) -> Iterator[Node]:
         """This node and all below it, breadth first."""
-        queue = deque([self])
-        while queue:
-            node = queue.popleft()
+        queue = [self]
+        for node in queue:  # grows while it is read
             yield node
-            queue.extend(node.children())
+            queue += node.children()
 
     def find(self, *kinds: str) -> Iterator[Node]:
         return (n for n in self.walk() if n.kind in kinds)
@@ -58,7 +61,8 @@ class Node:
             node, parent, scope = stack.pop()
             node.parent, node.scope = parent, scope
             inner = node if node.kind == "Select" else scope
-            stack.extend((c, node, inner) for c in node.children())
+            node.below = node.children()
+            stack += [(c, node, inner) for c in node.below]
         return self
 
     def above(self, *kinds: str) -> Node | None:
