@@ -16,7 +16,7 @@ from querymill.operators import providers as provider_calls
 from querymill.plans import reports
 from querymill.registry import get, register
 from querymill.sources import config as settings
-from querymill.session import write_shared
+from querymill.session import release, write_shared, written
 from querymill.sources import files
 
 register("loader", "jsonl")(files.read_jsonl)
@@ -178,7 +178,14 @@ def run(spark: SparkSession, config: dict, base: str = "runs", tell=None) -> str
     ones as skipped. Statements are parsed once for both audits. Every metric table is written once and
     read back for the steps; the annotated items are written at the end, with a file of the counts.
     """
-    config = checked_config(config)
+    config, mark = checked_config(config), written(spark)
+    try:
+        return _run(spark, config, base, tell)
+    finally:
+        release(spark, mark)  # all results are tables of their own by now
+
+
+def _run(spark: SparkSession, config: dict, base: str, tell) -> str:
     source, load = config.get("sourceDb") or {}, config["load"]
     params = dict(load.get("params") or {})
     dataset = config.get("dataset_id") or Path(str(params.get("path") or params.get("data_files") or load["name"])).stem
@@ -187,6 +194,8 @@ def run(spark: SparkSession, config: dict, base: str = "runs", tell=None) -> str
     this = Run(out, dataset, tell, "jsonl" in ((config.get("output") or {}).get("sinks") or []))
     df = get("loader", load["name"])(spark, **params)
     identify = False
+    if not any(step["name"] == "alias_mapper" for step in config.get("normalize") or []):
+        df = normalize.alias_mapper(df, {})  # columns that are called by the standard names
     for step in config.get("normalize") or []:
         if step["name"] == "db_identity_assign":
             identify = True

@@ -60,11 +60,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths that write_shared has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below the shared folder and read again; unlike cut(), columns can be pruned."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written as Parquet below the shared folder and read again; unlike cut(), columns can be pruned.
+
+    It stays there for whatever is read from it later, until release() or the folder's owner removes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables write_shared has written for this application: a mark for release()."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Removes what write_shared has written since a mark; for when nothing read from it is needed any more."""
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone = paths[since:]
+    for path in gone:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    del paths[since:]
+    return len(gone)
 
 
 #: Setting with the number of tasks that passes in Python are dealt out to; unset, they run as the scan is split.

@@ -64,8 +64,11 @@ def qualifier(column: Node) -> str:
 
 
 def windowed(aggregate: Node) -> bool:
+    """Whether an aggregate, with or without FILTER, is a window function."""
     around = aggregate.parent
-    return around is not None and (around.parent if around.kind == "Filter" else around) is not None and (around.parent if around.kind == "Filter" else around).kind == "Window"
+    if around is not None and around.kind == "Filter":
+        around = around.parent
+    return around is not None and around.kind == "Window"
 
 
 class Level:

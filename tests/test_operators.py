@@ -405,6 +405,17 @@ def test_pipeline_and_reports(spark, tmp_path):
     assert json.load(open(f"{out}/run_info.json"))["counts"]["query_execution"]["skipped"] == 3
 
 
+def test_shared_tables_are_released(spark):
+    import os
+
+    from querymill import session
+
+    mark = session.written(spark)
+    path = session.write_shared(spark.range(3), "kept").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and session.written(spark) == mark + 1
+    assert session.release(spark, mark) == 1 and not os.path.exists(path) and session.written(spark) == mark
+
+
 def test_pipeline_refuses_what_cannot_work(spark, tmp_path):
     from querymill.plans import pipeline
 
@@ -412,6 +423,9 @@ def test_pipeline_refuses_what_cannot_work(spark, tmp_path):
         pipeline.run(spark, {})
     with pytest.raises(KeyError):
         pipeline.run(spark, {"load": {"name": "jsonl"}, "analyze": [{"name": "odd"}]})
+    (tmp_path / "plain.jsonl").write_text('{"id": "1", "question": "q", "sql": "SELECT 1", "dbId": "d"}')
+    out = pipeline.run(spark, {"load": {"name": "jsonl", "params": {"path": str(tmp_path / "plain.jsonl")}}, "output": {"base_dir": str(tmp_path / "plain"), "sinks": ["jsonl"]}, "analyze": [{"name": "query_syntax_analyzer"}], "auto_generate_report": False})
+    assert spark.read.json(f"{out}/query_audit_metrics").first()["status"] == "ok" and not (tmp_path / "x").parent.joinpath(out, "all_reports").exists()
     bad = {"prompt_template": "x", "voters": [{"model": "m", "provider": "openai"}]}
     with pytest.raises(ValueError, match="isn't configured"):
         pipeline.run(spark, _config(tmp_path, [{"question": "q", "query": "SELECT 1", "db_id": "d", "schema": "CREATE TABLE a (b INT)"}], {"semantic_llm": bad}))
