@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from querymill.llm import tokens as tk
 from querymill.session import write_shared
 
+#: How far a share may be from its target to count as met: documents are whole.
+MET = 0.002
 #: Blocks that each source's documents are dealt into, so that no task orders a whole source.
 BLOCKS = 512
 
@@ -44,11 +46,15 @@ def exponent_for_entropy(shares: dict[str, float], target: float, most: float =
 
 @dataclass
 class Plan:
-    """Tokens of each source, the exponent they come from, and their sum as it was asked for."""
+    """Tokens of each source, the exponent they come from, and their sum as it was asked for.
+
+    temperature: the exponent of the token shares that gave the target entropy, null for given targets.
+    """
 
     quota: dict[str, float]
     exponent: float
     budget: float
+    temperature: float | None = None
 
 
 def plan(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | None = None) -> Plan:
@@ -78,10 +84,11 @@ def plan(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, in
     return Plan({s: chosen.get(s, 0.0) * budget for s in targets}, x, float(budget))
 
 
-def entropy_targets(sizes: dict[str, int], target: float) -> dict[str, float]:
-    """Target shares by temperature alone: the sources' token shares, raised to the exponent that gives the target entropy."""
+def entropy_targets(sizes: dict[str, int], target: float) -> tuple[dict[str, float], float]:
+    """(target shares, exponent) by temperature alone: the sources' token shares, raised to the exponent that gives the target entropy."""
     shares = temperature_weights({s: float(n) for s, n in sizes.items()}, 1.0)
-    return temperature_weights(shares, exponent_for_entropy(shares, target))
+    x = exponent_for_entropy(shares, target)
+    return temperature_weights(shares, x), x
 
 
 def _order(seed: int) -> Column:
@@ -114,8 +121,8 @@ def realise(used: DataFrame, sums: DataFrame, sizes: dict[str, int], quota: dict
 def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, path: str | None = None, entropy_of: float | None = None) -> tuple[DataFrame, Plan]:
     """The documents of the mixture with how often each is used, and the plan they follow.
 
-    budget: tokens, or, up to 1 and as a float, the share of all tokens of the sources; by default the
-    most at which the targets can be met. entropy_of: instead of the target shares, those by temperature
+    budget: tokens, or, as a float, so many times all tokens of the sources; by default the most at which
+    the targets can be met. entropy_of: instead of the target shares, those by temperature
     that have this entropy. Every source's documents are dealt into BLOCKS blocks by a hash and ordered
     by another hash within them; a source's quota is taken pass by pass along this permutation, in whole
     documents, the last of which has its middle within the quota. No source is put in order in one task:
@@ -127,9 +134,12 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, se
     sums = used.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
     sizes = dict(sums.groupBy("source").agg(F.sum("n")).collect())
     rows = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("t"), F.max(F.coalesce(F.col("max_repeats"), F.lit(1))).alias("m")).collect()
-    goal = {r["source"]: r["t"] for r in rows} if entropy_of is None else {r["source"]: 0.0 for r in rows} | entropy_targets(sizes, entropy_of)
-    tokens = budget * sum(sizes.values()) if isinstance(budget, float) and budget <= 1 else budget
-    made = plan(sizes, goal, {r["source"]: r["m"] for r in rows}, tokens)
+    goal, temperature = {r["source"]: r["t"] for r in rows}, None
+    if entropy_of is not None:
+        shares, temperature = entropy_targets(sizes, entropy_of)
+        goal = dict.fromkeys(goal, 0.0) | shares
+    tokens = budget * sum(sizes.values()) if isinstance(budget, float) else budget
+    made = replace(plan(sizes, goal, {r["source"]: r["m"] for r in rows}, tokens), temperature=temperature)
     return realise(used, sums, sizes, made.quota, seed), made
 
 
@@ -141,11 +151,11 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed:
 def report(mixed: DataFrame, targets: DataFrame, made: Plan | None = None) -> DataFrame:
     """(source, target_share, share, tokens, documents, most_copies, met) for every source with a target, met or not.
 
-    met: the share is within a hundredth of the target. With the plan, exponent and budget are added.
+    met: the share is within MET of the target. With the plan, its exponent, budget and temperature are added.
     """
     reached = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
     out = goal.join(reached, "source", "left").na.fill(0, ["tokens", "documents", "most_copies"])
     share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(Window.partitionBy())), F.lit(0.0))
-    out = out.select("source", "target_share", share.alias("share"), "tokens", "documents", "most_copies").withColumn("met", F.coalesce(F.abs(F.col("share") - F.col("target_share")) < 0.01, F.lit(False)))
-    return out if made is None else out.withColumns({"exponent": F.lit(made.exponent), "budget": F.lit(made.budget)})
+    out = out.select("source", "target_share", share.alias("share"), "tokens", "documents", "most_copies").withColumn("met", F.coalesce(F.abs(F.col("share") - F.col("target_share")) < MET, F.lit(False)))
+    return out if made is None else out.withColumns({"exponent": F.lit(made.exponent), "budget": F.lit(made.budget), "temperature": F.lit(made.temperature).cast("double")})

@@ -79,9 +79,9 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As many tokens as the documents have: the scarce sources' targets can't be met, the exponent bisects to their limits."""
+    """Half as many tokens again as the documents have: scarce sources' targets can't be met, the exponent bisects to their limits."""
     targets = table(spark, d, "mix_targets")
-    return mixing.report(*_swapped(mixing.mixture(table(spark, d, "documents"), targets, 1.0), targets))
+    return mixing.report(*_swapped(mixing.mixture(table(spark, d, "documents"), targets, 1.5), targets))
 
 
 def p9_report_entropy(spark: SparkSession, d: str) -> DataFrame:

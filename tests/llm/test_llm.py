@@ -369,7 +369,7 @@ def test_plan():
     shares = {"a": 0.7, "b": 0.2, "c": 0.1}
     x = mixing.exponent_for_entropy(shares, 1.0)
     assert mixing.entropy(mixing.temperature_weights(shares, x)) == pytest.approx(1.0, abs=1e-6)
-    assert mixing.entropy(mixing.entropy_targets({"a": 700, "b": 200, "c": 100}, 1.0)) == pytest.approx(1.0, abs=1e-6)
+    assert mixing.entropy(mixing.entropy_targets({"a": 700, "b": 200, "c": 100}, 1.0)[0]) == pytest.approx(1.0, abs=1e-6)
 
 
 def test_targets_that_cant_be_met_and_shares_by_entropy(spark):
@@ -380,6 +380,7 @@ def test_targets_that_cant_be_met_and_shares_by_entropy(spark):
     assert all(r["most_copies"] <= targets[s]["max_repeats"] for s, r in whole.items())
     assert sum(r["tokens"] for r in whole.values()) == pytest.approx(whole[min(whole)]["budget"], rel=0.05)
     even = {r["source"]: r for r in queries.p9_report_entropy(spark, d).collect()}
+    assert even[min(even)]["temperature"] > 0 and whole[min(whole)]["temperature"] is None
     wanted = mixing.entropy({s: r["target_share"] for s, r in targets.items()})
     if even[min(even)]["exponent"] == 0:  # no repetition limit in the way
         assert mixing.entropy({s: r["share"] for s, r in even.items()}) == pytest.approx(wanted, abs=0.02)
@@ -395,6 +396,7 @@ def test_mixture_of_the_tables(spark):
         assert all(1 <= r["copies"] <= t["max_repeats"] for r in mine)
         assert abs(sum(r["tokens"] * r["copies"] for r in mine) / total - t["target_share"]) < 0.01
     report = {r["source"]: r for r in queries.p9_report(spark, d).collect()}
+    assert len({r["exponent"] for r in report.values()}) == 1
     assert set(report) == set(targets) and sum(r["share"] for r in report.values()) == pytest.approx(1)
 
 
